@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate
+from larkspur.llm import decontaminate, packing, token_counts
 
-MODULES = [decontaminate]
+MODULES = [decontaminate, token_counts, packing]
 
 
 def queries() -> dict:
