@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, packing, token_counts
+from larkspur.llm import decontaminate, packing, simhash, token_counts
 
-MODULES = [decontaminate, token_counts, packing]
+MODULES = [decontaminate, simhash, token_counts, packing]
 
 
 def queries() -> dict:
