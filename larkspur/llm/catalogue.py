@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, packing, simhash, token_counts
+from larkspur.llm import decontaminate, packing, simhash, token_counts, topk
 
-MODULES = [decontaminate, simhash, token_counts, packing]
+MODULES = [decontaminate, simhash, token_counts, packing, topk]
 
 
 def queries() -> dict:
