@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, packing, simhash, token_counts, topk, toxicity
+from larkspur.llm import decontaminate, packing, simhash, substrings, token_counts, topk, toxicity
 
-MODULES = [decontaminate, simhash, token_counts, packing, toxicity, topk]
+MODULES = [decontaminate, simhash, substrings, token_counts, packing, toxicity, topk]
 
 
 def queries() -> dict:
