@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from larkspur.llm import decontaminate, language_model, packing, simhash, substrings, token_counts, topk, toxicity
+from larkspur.llm import decontaminate, language_model, packing, pii, simhash, substrings, token_counts, topk, toxicity
 
-MODULES = [decontaminate, simhash, substrings, token_counts, packing, toxicity, language_model, topk]
+MODULES = [decontaminate, simhash, substrings, token_counts, packing, toxicity, pii, language_model, topk]
 
 
 def queries() -> dict:
