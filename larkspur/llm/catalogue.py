@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from larkspur.llm import decontaminate, language_model, packing, pii, simhash, substrings, token_counts, topk, toxicity
 
 MODULES = [decontaminate, simhash, substrings, token_counts, packing, toxicity, pii, language_model, topk]
 
 
 def queries() -> dict:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {**{name: f for m in MODULES for name, f in m.QUERIES.items()}, "pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict:
