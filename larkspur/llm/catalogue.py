@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from larkspur.llm import decontaminate, language_model, packing, pii, simhash, substrings, token_counts, topk, toxicity
+from larkspur.llm import decontaminate, language_model, packing, pii, secrets, simhash, substrings, token_counts, topk, toxicity
 
-MODULES = [decontaminate, simhash, substrings, token_counts, packing, toxicity, pii, language_model, topk]
+MODULES = [decontaminate, simhash, substrings, token_counts, packing, toxicity, pii, language_model, topk, secrets]
 
 
 def queries() -> dict:
