@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import io
 import os
@@ -18,13 +19,21 @@ from pyspark.sql import functions as F
 #: Bits in a membership bitmap (16 MiB). Fixed, so what is collected and broadcast does not grow with the data.
 BITMAP_BITS = 1 << 27
 
+#: Rows in an Arrow batch sent to Python.
+ARROW_ROWS = 2000
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def prepare(spark: SparkSession) -> None:
-    """Send the package to the executors once per context, so that functions pickled by reference resolve there."""
+    """Send the package to the executors once per context, so that functions pickled by reference resolve there.
+
+    Arrow batches are cut to ``ARROW_ROWS`` rows where the session has Spark's default of 10,000, which is made for short rows.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(sc, "_larkspur_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -44,6 +53,29 @@ def prepare(spark: SparkSession) -> None:
     sc._larkspur_shipped = True
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write to the session's checkpoint folder as Parquet and read again: lineage ends, and compressed columns take far less room than a checkpoint."""
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession)}/larkspur-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of this context's checkpoints; a temporary one is set only where the session names none."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-ck-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more, instead of at the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -51,9 +83,7 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the session's checkpoint folder (a temporary one only where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-ck-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -166,7 +166,7 @@ def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     variants = [s.bitwiseAND(0xFFFFFFFF ^ (1 << i)) + F.lit((k << 37) | (i << 32)) for k, s in enumerate(segments) for i in range(32)]
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     index = prints.select(F.explode(F.array(*variants)).alias("key"), "fingerprint")
-    first = common.materialize(index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link(BITS, group), schema))
+    first = common.stored(index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link(BITS, group), schema))
     # Second index, over members of large groups only: the 33 bits in which they can differ are the wiped bit and the other segment.
     key = F.col("key")
     i, k = F.shiftright(key, 32).bitwiseAND(31), F.shiftright(key, 37)
@@ -197,7 +197,7 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
     names = docs.columns
     tie = F.xxhash64(*[F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes])
     marked = with_fingerprints(docs, text, "__print").withColumn("__tie", tie)
-    rows = common.materialize(marked.select("doc_id", F.col("__print").alias("fingerprint"), F.col("__tie").alias("tie")))
+    rows = common.stored(marked.select("doc_id", F.col("__print").alias("fingerprint"), F.col("__tie").alias("tie")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
     of_print = rows.groupBy("fingerprint").agg(F.min(order).alias("best"))
     best = of_print.join(classes(rows.select("doc_id", "fingerprint")).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min(F.struct("best", "fingerprint")).alias("x"))
@@ -210,7 +210,7 @@ def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    rows = common.materialize(with_fingerprints(docs, keep_text=False))
+    rows = common.stored(with_fingerprints(docs, keep_text=False))
     out = rows.join(classes(rows).select("fingerprint", "component_id"), "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -112,14 +112,17 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null")
     repeated = docs.mapInArrow(_anchors, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     seen = sc.broadcast(common.membership_bitmap(repeated, "anchor"))
+    del repeated
+    common.release(docs.sparkSession)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, p in _parsed(batches):
             k = np.flatnonzero(common.bitmap_has(seen.value, p.anchor))
             yield _batch(anchor=p.anchor[k], digest=p.digest[k], doc_id=ids[p.text[k]], tag=tags[p.text[k]], start=p.start[k].astype(np.int32), n=p.count[k].astype(np.int32))
 
-    found = common.materialize(docs.mapInArrow(phrases, "anchor long, digest long, doc_id long, tag int, start int, n int"))
-    variants = common.materialize(found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    found = common.stored(docs.mapInArrow(phrases, "anchor long, digest long, doc_id long, tag int, start int, n int"))
+    variants = common.stored(found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
+    common.release(docs.sparkSession)
     copied = variants.where("first < last").select("anchor", "digest", "first")
     whole = found.join(copied, ["anchor", "digest"]).where("doc_id > first").select("doc_id", "tag", "start", (F.col("n") + (WINDOW - 1)).alias("length"))
 
@@ -131,6 +134,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
             yield _batch(place=_place(*(b.column(c).to_numpy() for c in ("anchor", "digest", "first"))))
 
     inside = sc.broadcast(common.membership_bitmap(boundary.mapInArrow(place, "place long"), "place"))
+    common.release(docs.sparkSession)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, p in _parsed(batches):
@@ -139,7 +143,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
             phrase, start, one, two = p.windows(k)
             yield _batch(one=one, two=two, doc_id=ids[p.text[phrase]], tag=tags[p.text[phrase]], start=start.astype(np.int32))
 
-    checked = common.materialize(docs.mapInArrow(windows, "one long, two long, doc_id long, tag int, start int"))
+    checked = common.stored(docs.mapInArrow(windows, "one long, two long, doc_id long, tag int, start int"))
     earliest = checked.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("one", "two", "first")
     single = checked.join(earliest, ["one", "two"]).where("doc_id > first").select("doc_id", "tag", "start", F.lit(WINDOW).alias("length"))
     return whole.unionByName(single)
@@ -161,27 +165,24 @@ def removed(docs: DataFrame) -> DataFrame:
     common.prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), "text")
     spans = duplicate_spans(rows).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    spans = common.materialize(spans)
+    spans = common.stored(spans)
+    common.release(spark)
     touched = spark.sparkContext.broadcast(common.membership_bitmap(spans.select(F.xxhash64("doc_id", "tag").alias("k")), "k"))
     schema = "doc_id long, n_words long, n_removed long, kept string"
 
-    keyed = rows.withColumn("k", F.xxhash64("doc_id", "tag"))
-
-    def only(want: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hit = common.bitmap_has(touched.value, b.column("k").to_numpy())
-                yield b.filter(pa.array(hit == want))
+    def affected(b: pa.RecordBatch, want: bool) -> pa.RecordBatch:
+        return b.filter(pa.array(common.bitmap_has(touched.value, b.column("k").to_numpy()) == want))
 
-        return run
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield affected(b, True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in common.slices(whole, "text", SLICE_BYTES * 8):
-                texts = common.texts_as_bytes(b.column("text")).to_pylist()
-                spans_ = b.column("spans").to_pylist() if "spans" in b.schema.names else [None] * len(texts)
+            for b in common.slices(whole, "text", SLICE_BYTES * 4):
                 total, gone, kept = [], [], []
-                for t, s in zip(texts, spans_, strict=True):
+                spans_ = b.column("spans").to_pylist() if "spans" in b.schema.names else [None] * b.num_rows
+                for t, s in zip(common.texts_as_bytes(b.column("text")).to_pylist(), spans_, strict=True):
                     words = t.split() if t else []
                     left = _kept(words, [(x["start"], x["length"]) for x in s]) if s else words
                     total.append(len(words))
@@ -189,9 +190,12 @@ def removed(docs: DataFrame) -> DataFrame:
                     kept.append(b" ".join(left))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    clear = keyed.mapInArrow(only(False), keyed.schema).mapInArrow(cut, schema)
-    hit = keyed.mapInArrow(only(True), keyed.schema).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
-    return clear.unionByName(hit)
+    def stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return cut(affected(b, False) for b in batches)  # in one Python worker, without a shuffle
+
+    keyed = rows.withColumn("k", F.xxhash64("doc_id", "tag"))
+    hit = keyed.mapInArrow(moved, keyed.schema).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    return keyed.mapInArrow(stay, schema).unionByName(hit.mapInArrow(cut, schema))
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
