@@ -37,6 +37,8 @@ BEGINNINGS = range(4, 9)
 ENTRIES, CANDIDATES = 2000, 60_000
 #: A candidate occurs in this share of the toxic rows (3 rows at least), and texts with it are toxic this often, by a lower bound.
 LEAST_SHARE, LEAST_PRECISION = 0.003, 0.6
+#: Entries that reach only this bound are looked at for exception phrases, without which they may reach the other.
+DOUBTFUL_PRECISION = 0.3
 SLICE_BYTES = 4 << 20
 
 #: Look-alikes of Latin letters (Cyrillic, Greek, full width).
@@ -131,10 +133,16 @@ def fit_mapping(f: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 0.
     return w
 
 
-def _candidates(text: str) -> set[str]:
+def _apart(words: list[str], pairs: set[str]) -> list[str]:
+    """The words that are in none of the pairs."""
+    inside = {k for i in range(len(words) - 1) if f"{words[i]} {words[i + 1]}" in pairs for k in (i, i + 1)}
+    return [w for i, w in enumerate(words) if i not in inside]
+
+
+def _candidates(text: str, without: set[str] | None = None) -> set[str]:
     out: set[str] = set()
     for reading in folded(text):
-        words = set(reading.split())
+        words = set(_apart(reading.split(), without) if without else reading.split())
         out |= {w for w in words if len(w) >= 3}
         for k in BEGINNINGS:
             out |= {w[:k] + "*" for w in words if len(w) >= k}
@@ -148,7 +156,7 @@ def _lower_bound(a: float, b: float) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, precision: float = LEAST_PRECISION) -> dict[str, float]:
     """Lexicon from document frequencies; one entry stands for the longer ones that begin with it, and is left out where longer ones say it all."""
     kept: dict[str, float] = {}
     taken: list[tuple[str, int]] = []
@@ -157,7 +165,7 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
         a, b = toxic[e], clean.get(e, 0)
         stem = e.rstrip("*")
         # rows are sampled by label, so clean rows weigh alike with toxic ones
-        if a < max(3, LEAST_SHARE * n_toxic) or _lower_bound(a, b * max(1.0, n_toxic / max(n_clean, 1))) < LEAST_PRECISION and not (b == 0 and a >= 4):
+        if a < max(3, LEAST_SHARE * n_toxic) or _lower_bound(a, b * max(1.0, n_toxic / max(n_clean, 1))) < precision and not (b == 0 and a >= 4):
             continue
         if any(e != t and t.endswith("*") and stem.startswith(t[:-1]) for t, _ in taken):
             continue
@@ -170,15 +178,16 @@ def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean:
     return {e: w for e, w in kept.items() if w > 0}
 
 
-def _count(rows: DataFrame, only: set[str] | None) -> DataFrame:
-    """(entry, n) document frequencies of candidates over the rows' texts."""
+def _count(rows: DataFrame, only: set[str] | None, phrases: list[str] = ()) -> DataFrame:
+    """(entry, n) document frequencies of candidates over the rows' texts, read without the phrases."""
+    without = set(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if text:
-                    found = _candidates(text)
+                    found = _candidates(text, without)
                     counts.update(found if only is None else found & only)
         names = list(counts)
         for at in range(0, len(names), 50_000):
@@ -240,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     # at most TOXIC_ROWS + CLEAN_ROWS ids
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y").mapInArrow(_families, "text string, y int, family long")
     # copies of one text would make each of its words look toxic: one row a family
-    rows = common.materialize(rows.dropDuplicates(["family", "y"]).select("text", "y"))
+    rows = common.stored(rows.dropDuplicates(["family", "y"]).select("text", "y"))
     sizes = {int(r["y"]): int(r["count"]) for r in rows.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
@@ -248,9 +257,13 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     first = _count(rows.where("y = 1"), None).where(F.col("n") >= max(3, LEAST_SHARE * n1))
     toxic = {r["entry"]: int(r["n"]) for r in first.orderBy(F.col("n").desc(), "entry").limit(CANDIDATES).collect()}
     clean = {r["entry"]: int(r["n"]) for r in _count(rows.where("y = 0"), set(toxic)).collect()}
-    model = Model(choose(toxic, clean, n1, n0))
-    around = _phrases(rows, model.entries).where("clean >= 3 and clean >= 10 * toxic").orderBy(F.col("clean").desc(), "phrase").limit(ENTRIES)
-    model.exceptions = [r["phrase"] for r in around.collect()]
+    doubtful = choose(toxic, clean, n1, n0, DOUBTFUL_PRECISION)
+    around = _phrases(rows, doubtful).where("clean >= 3 and clean >= 10 * toxic").orderBy(F.col("clean").desc(), "phrase").limit(ENTRIES)
+    exceptions = [r["phrase"] for r in around.collect()]
+    if exceptions:  # count again without them
+        names = set(toxic)
+        toxic, clean = ({r["entry"]: int(r["n"]) for r in _count(rows.where(f"y = {y}"), names, exceptions).collect()} for y in (1, 0))
+    model = Model(choose(toxic, clean, n1, n0), exceptions)
     got = rows.mapInArrow(_features(model), "y int, a double, b double, c double").toPandas()
     model.mapping = fit_mapping(got[["a", "b", "c"]].to_numpy(), got["y"].to_numpy(dtype=float))
     return model
