@@ -1,0 +1,520 @@
+"""Corpus operators against brute force, round trips and held-out accuracy, on small tables with awkward rows."""
+
+import hashlib
+import math
+import os
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from larkspur.llm import common, components, decontaminate, language_model, packing, pii, pretokens, secrets, simhash, substrings, token_counts, topk, toxicity
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+DATA = "/root/testdata/sf0.001"
+WORDS = "the of and to in that was his he it with is for as had you not be her on at by".split()
+
+DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("n_words", T.IntegerType())])
+
+
+def table(spark, texts, ids=None):
+    """Documents with clashing extra columns."""
+    rows = [(i, t, "x", 1) for i, t in zip(range(len(texts)) if ids is None else ids, texts, strict=True)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def corpus(seed=1, n=60):
+    r = random.Random(seed)
+
+    def prose(k):
+        return " ".join(r.choice(WORDS) + r.choice(["", "", "s", "ing", ".", ","]) for _ in range(k))
+
+    passage = prose(40)
+    texts = [prose(r.randint(1, 120)) for _ in range(n)]
+    for i in range(0, n, 5):
+        texts[i] += "\n" + passage + " " + prose(3)
+    texts += [texts[3], texts[3], texts[7] + " more", None, "", " \t\n", "one", "é Ünï çode 中文 " * 4, prose(3000), passage]
+    return texts
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return corpus()
+
+
+# 1 decontamination
+
+
+def brute_contamination(texts, items, window=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for t in texts:
+        w, hit, found = split(t), set(), set()
+        for name, text in items:
+            x = split(text)
+            k = min(window, len(x))
+            for i in range(len(x) - k + 1) if k else ():
+                for j in range(len(w) - k + 1):
+                    if w[j : j + k] == x[i : i + k]:
+                        hit |= set(range(j, j + k))
+                        found.add(str(name))
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
+def test_contamination(spark, texts, block_bytes):
+    items = [(1, texts[0]), (22, "The OF; and"), (3, None), (4, ""), (5, texts[60][:200]), (6, "never seen anywhere at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contamination(table(spark, texts), bench, block_bytes=block_bytes).orderBy("doc_id").collect()
+    want = brute_contamination(texts, items)
+    assert [(r.n_words, r.n_hit, sorted(r.items)) for r in got] == want
+    kept = decontaminate.decontaminate(table(spark, texts), bench, block_bytes=block_bytes)
+    assert kept.columns == DOC.names and sorted(r.doc_id for r in kept.collect()) == [i for i, x in enumerate(want) if not x[1]]
+
+
+def test_contamination_without_rows(spark, texts):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert {r.contaminated for r in decontaminate.contamination(table(spark, texts[:5]), none).collect()} == {False}
+    assert decontaminate.contamination(table(spark, []), none).count() == 0
+
+
+def test_longest_match_and_place(spark):
+    item = "a b c d e f g h i j k l m n"
+    docs = table(spark, ["x " + item[:23] + " z", "q q " + item + " q"])
+    got = {r.item_word: (r.doc_id, r.doc_word, r.n_words) for r in decontaminate.longest_matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()}
+    assert got[0] == (1, 2, 14) and got[4] == (1, 6, 10) and 5 not in got
+
+
+def test_suffix_array():
+    for seed in range(5):
+        x = np.random.default_rng(seed).integers(1, 4, 200)
+        assert suffixes(decontaminate.suffix_array(x, 200).tolist(), x) == sorted(suffixes(range(200), x))
+
+
+def suffixes(places, x):
+    return [x[p:].tolist() for p in places]
+
+
+# 2 SimHash
+
+
+def brute_fingerprint(text):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    grams = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(ids, prints):
+    label = list(range(len(ids)))
+    for _ in ids:
+        for i in range(len(ids)):
+            for j in range(i):
+                if (prints[i] ^ prints[j]).bit_count() <= 3:
+                    label[i] = label[j] = min(label[i], label[j])
+    least = {}
+    for i, c in zip(ids, label, strict=True):
+        if i is not None:
+            least[c] = min(least.get(c, i), i)
+    return [least.get(c) for c in label]
+
+
+def test_simhash(spark, texts):
+    prints = [brute_fingerprint(t) for t in texts]
+    docs = simhash.with_fingerprints(table(spark, texts).drop("fingerprint"))
+    rows = docs.join(simhash.classes(docs).select("fingerprint", "component_id"), "fingerprint").orderBy("doc_id").collect()
+    assert [r.fingerprint & (2**64 - 1) for r in rows] == prints
+    assert [r.component_id for r in rows] == brute_components(range(len(texts)), prints)
+
+
+@pytest.mark.parametrize("group", [1024, 8])
+def test_links_of_a_tight_group(spark, group):
+    r = random.Random(5)
+    prints = [r.getrandbits(64)]
+    for _ in range(150):
+        prints.append(r.choice(prints) ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)))
+    prints = list(dict.fromkeys(prints + [r.getrandbits(64) for _ in range(30)]))
+    df = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fingerprint long")
+    pairs = simhash.links(df, group)
+    root = {x.node: x.root for x in components.components(pairs).collect()}
+    want = brute_components(range(len(prints)), prints)
+    mine = [root.get(p - (1 << 64) if p >> 63 else p, p) for p in prints]
+    groups = lambda x: sorted(sorted(i for i, y in enumerate(x) if y == v) for v in set(x))
+    assert groups(mine) == groups(want)
+
+
+def test_one_row_of_each_class_stays(spark):
+    same = "a text that stands here twice and is quite the same in both places"
+    docs = table(spark, [same, same, "another one", None, "", same], [5, 3, 7, 9, None, 3])
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == DOC.names
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, same), (7, "another one"), (9, None)]
+    assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.node: r.root for r in components.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+# 3 substrings
+
+
+def brute_removed(ids, texts, window=13):
+    first = {}
+    split = [(t or "").encode().split() for t in texts]
+    for i, w in zip(ids, split, strict=True):
+        for j in range(len(w) - window + 1):
+            g = tuple(w[j : j + window])
+            if i is not None:
+                first[g] = min(first.get(g, i), i)
+    out = []
+    for i, w in zip(ids, split, strict=True):
+        gone = set()
+        for j in range(len(w) - window + 1):
+            if i is not None and first[tuple(w[j : j + window])] < i:
+                gone |= set(range(j, j + window))
+        out.append((i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()))
+    return out
+
+
+def test_substrings(spark, texts):
+    more = texts + [texts[3], "x " + texts[0], texts[0]]
+    ids = [*range(len(texts)), None, 4, 1]
+    got = [tuple(r) for r in substrings.removed(table(spark, more, ids)).select("doc_id", "n_words", "n_removed", "kept").collect()]
+    assert sorted(got, key=str) == sorted(brute_removed(ids, more), key=str)
+    assert substrings.removed(table(spark, [])).count() == 0
+
+
+# 4 and 5 tokens
+
+ALPHABET = list("abcXYZ 019'stremlvd\t\n\r\x0b\x0c\x1c\x85\xa0!?.,#é ÉßªµºŽɏİ½²×Σσ中文😀")
+
+
+def odd_texts(n=400):
+    r = random.Random(3)
+    return ["".join(r.choices(ALPHABET, k=r.randint(0, 30))) for _ in range(n)] + ["a<|endoftext|>b <|startoftext|>", "<|endoftext|>", "", " ", "x" * 5000]
+
+
+def test_token_counts(spark, texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    all_ = texts + odd_texts()
+    library = Tokenizer.from_file(path)
+    got = token_counts.token_counts(table(spark, all_), path, limit=50).orderBy("doc_id").collect()
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in all_]
+    assert [r.n_tokens for r in got] == want and [r.n_bytes for r in got] == [len((t or "").encode()) for t in all_]
+    assert [r.over_limit for r in got] == [n > 50 for n in want]
+
+
+def test_counter_beyond_its_cache(texts, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    full, small = pretokens.PieceCounter(path), pretokens.PieceCounter(path)
+    want = full.count([t or "" for t in texts])
+    monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 20)
+    assert [small.count([t or ""])[0] for t in texts] == want
+
+
+def test_packing(spark, texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    all_ = texts + odd_texts(200)
+    library = Tokenizer.from_file(path)
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(all_)}
+    rows = packing.pack(table(spark, all_).repartition(3), path).collect()
+    seen, filled = Counter(), {}
+    for r in rows:
+        part = np.array(ids[r.doc_id][r.start : r.start + r.length], dtype="<u4")
+        assert len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        seen.update((r.doc_id, r.start + k) for k in range(r.length))
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(seen) == sum(map(len, ids.values())) and set(seen.values()) == {1}
+    for pieces in filled.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at == 1024 or at & (at - 1) == 0
+
+
+def test_level_minimises_squares():
+    r = random.Random(2)
+    p = packing.Packer(16)
+    for _ in range(300):
+        size = r.randint(1, 15)
+        before = p.count.copy()
+
+        def squares(level, size=size, before=before):
+            n = before.copy()
+            n[level] -= level > 0
+            n[level + size] += level + size < 16
+            return (n[1:16] ** 2).sum()
+
+        allowed = [v for v in range(0, 17 - size) if v == 0 or before[v]]
+        assert squares(p.level_for(size)) == min(map(squares, allowed))
+        p.add(0, np.zeros(size, dtype="<u4"))
+
+
+# 6 toxicity
+
+
+def labelled_corpus():
+    r = random.Random(9)
+    texts, labels = [], []
+    for i in range(600):
+        words = [r.choice(WORDS) + r.choice(["", "a", "er", "ly"]) for _ in range(r.randint(5, 80))]
+        bad = i % 4 == 0
+        for _ in range(r.randint(2, 4) if bad else 0):
+            words.insert(r.randrange(len(words)), r.choice(["zorg", "blarfle", "blarfing", "quux"]))
+        if not bad and i % 7 == 0:
+            words.insert(0, "quux fallacy")
+        texts.append(" ".join(words))
+        labels.append(int(bad))
+    return texts, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    texts, labels = labelled_corpus()
+    docs = table(spark, [*texts, None, "", "zzz"])
+    marks = spark.createDataFrame([*enumerate(labels), (None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks)
+    assert {"zorg"} <= set(model.entries) and "quux fallacy" in model.exceptions
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == labels[i] for i in held]) > 0.95
+    assert got[600] == got[601] and all(0 <= s <= 1 for s in got.values())
+    kept = toxicity.reject(docs, model)
+    assert kept.columns == DOC.names and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
+
+
+def test_toxicity_without_labels(spark):
+    model = toxicity.train(table(spark, ["a"]), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert [r.score for r in toxicity.score(table(spark, ["a", None]), model).collect()] == [0.0, 0.0]
+
+
+def test_folding():
+    assert toxicity.folded("l0ser, WORTHLESS!! Ѕtuріd")[0] == " loser worthless stupid "
+    assert toxicity.folded("c1own 1d10t") == [" ciown idiot ", " clown ldlot "]
+    assert toxicity.folded("") == ["  "]
+
+
+# 7 personal data
+
+
+def brute_base(text):
+    out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(2, m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(pii.digits(m[0])) <= 19 and pii.luhn(pii.digits(m[0]))]
+    out += [(3, m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(pii.digits(m[0])) <= 15]
+    return out
+
+
+def test_base_patterns():
+    r = random.Random(4)
+    pieces = ["a", "b@c.de", "@", "@@", ".", "..", "x@y", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111111111111111", "5105-1051-0510-5100", "12", "+1 (017) 555-7713", "+", "-", " ", "é", "%a+b@c-d.e.f.", "007.0.0.1"]
+    for _ in range(3000):
+        t = "".join(r.choices(pieces, k=r.randint(1, 6)))
+        assert pii.base_spans(t) == brute_base(t), t
+
+
+def test_network_on_held_out_sentences():
+    net = pii.train()
+    tp = fp = fn = 0
+    test = pii.labelled(200, 4242)
+    for tags, (_, spans) in zip(pii.decode(net, [t for t, _ in test]), test, strict=True):
+        a, b = set(pii.tagged(tags)), set(spans)
+        tp, fp, fn = tp + len(a & b), fp + len(a - b), fn + len(b - a)
+    assert 2 * tp / (2 * tp + fp + fn) > 0.9
+
+
+def test_gradients_are_right():
+    net, g = pii.Network.fresh(1), np.random.default_rng(1)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    x, y = g.integers(0, pii.CODES, (2, 6)), g.integers(0, pii.TAGS, (2, 6))
+    _, grad = net.gradients(x, y)
+    for name in net.w:
+        at = np.unravel_index(np.abs(grad[name]).argmax(), grad[name].shape)
+        net.w[name][at] += 1e-3
+        up = net.gradients(x, y)[0]
+        net.w[name][at] -= 2e-3
+        down = net.gradients(x, y)[0]
+        net.w[name][at] += 1e-3
+        assert abs((up - down) / 2e-3 - grad[name][at]) < 1e-3 * max(1, abs(grad[name][at])), name
+
+
+def test_personal_data(spark):
+    texts = ["mail a.b@c.org or call +1 (017) 555-7713 now", None, "", "no data, version 2.0 of 2024", "tail " * 300 + "10.0.0.1", "host [at] mail [dot] com é 4111 1111 1111 1111"]
+    got = pii.find(table(spark, texts)).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        base = sorted(brute_base(t or ""))
+        assert r.base_sha256 == hashlib.sha256(pii.written(base).encode()).hexdigest()
+        assert set(pii.written(base).split(",")) <= set(r.spans.split(",")) or not base
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in range(4)]
+    assert got[3].spans == ""
+    out = {r.doc_id: r.text for r in pii.redact(table(spark, texts)).collect()}
+    assert out[0] == "mail [EMAIL] or call [PHONE] now" and out[1] is None and out[4].endswith("[IP]")
+
+
+# 8 language model
+
+
+def test_scores(spark, texts):
+    docs = table(spark, texts)
+    fold = common.train_split(F.col("doc_id"), 7)
+    rows = {head: language_model.score(docs, docs.where(fold != 2), head_words=head).orderBy("doc_id").collect() for head in (10**6, 10)}
+    tokens = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
+    counts = Counter(w for i, ws in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    for got in rows.values():
+        for r, ws in zip(got, tokens, strict=True):
+            base = sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws)
+            assert r.n_tokens == len(ws) and r.train_tokens == n and r.n_known == sum(counts[w] > 0 for w in ws)
+            assert abs(r.base_score - base) < 1e-6
+    assert sum(r.score for r in rows[10**6]) > sum(r.base_score for r in rows[10**6])
+
+
+def test_distributions_sum_to_one(spark, texts):
+    tree, tokens, total, distinct, _ = language_model.train(table(spark, texts))
+    root = math.log10(total + distinct + 1)
+    words = {w for t in texts for w in (t or "").encode().lower().split()}
+    keys = {w: language_model.tokens_of([w])[0][language_model.DEPTH] for w in words}
+    gain = dict(zip(tree.words.tolist(), tree.gain.tolist(), strict=True))
+    for context in (b"", b"the", b"of the", b"to in that"):
+        mass = 0.0
+        for w in [*words, None]:  # None: the end token; one more symbol stands for all unseen words
+            t, b = language_model.tokens_of([context + b" " + w if w else context])
+            g = language_model.Grams(t, b)
+            at = len(context.split())
+            value, state = 0.0, None
+            for d in range(language_model.DEPTH, 0, -1):
+                i, there = language_model.find(tree.pairs, g.pair(d)[at : at + 1])
+                if there[0]:
+                    state = value + tree.logp[i[0]]
+                    break
+                i, there = language_model.find(tree.states, g.context(d)[at : at + 1])
+                value += tree.weight[i[0]] if there[0] else 0.0
+            key = int(np.uint64(keys[w]).view(np.int64)) if w else language_model.END_KEY
+            mass += 10 ** (state if state is not None else value + gain[key] - root)
+        unseen = 10 ** (value - root) if state is None else 0.0
+        assert 0.97 < mass + unseen < 1.000001, context
+
+
+def test_scores_without_training_rows(spark):
+    r = language_model.score(table(spark, ["a b", None]), table(spark, [])).orderBy("doc_id").collect()
+    assert [(x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in r] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
+
+
+# 9 top-k
+
+
+def test_topk(spark):
+    g = np.random.default_rng(7)
+    base = g.normal(size=(300, 8))
+    base[50:80] = base[50]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(base)]
+    rows += [(1000, None), (1001, [1.0, None, *[0.0] * 6]), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1004, [1.0, 2.0]), (1100, [2.0, 1.0]), (None, [0.0] * 8), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for block in (1024, 2):
+        got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, k=7, block=block).collect())
+        v = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+        want = []
+        for q, a in v:
+            if q % 50 == 0:
+                scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in v if i != q and len(b) == len(a))
+                want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:7])]
+        assert got == sorted(want)
+    assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+# 10 secrets
+
+
+def test_forest_on_held_out_findings(spark):
+    trees = secrets.fitted(spark)
+    rows = secrets.findings(spark, 600, 99).select("label", *secrets.FEATURES).collect()
+    right = [(np.mean([secrets.evaluate(t, r[1:]) for t in trees]) >= 0.5) == bool(r[0]) for r in rows]
+    assert len(right) > 500 and np.mean(right) > 0.97
+
+
+def test_secrets(spark):
+    key, texts = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", []
+    texts = [f'so token = "{key}"### and on', None, "", "plain words only", f"commit : {key}", "card 9807915762804490 is", f"password=hunterZ9x!7qQ {key}", "a" * 100_000, f'token = "{key}" ' * 3]
+    docs = table(spark, texts)
+    got = secrets.scan(docs).collect()
+    assert sorted((r.doc_id, r.word, r.candidate) for r in got if r.is_secret and r.candidate == key and r.doc_id in (0, 8)) == [(0, 3, key), (8, 2, key), (8, 5, key), (8, 8, key)]
+    assert not any(r.is_secret for r in got if r.doc_id in (4, 5)) and {r.doc_id for r in got} <= {0, 4, 5, 6, 8}
+    # the compiled forest says what the trees say
+    trees = secrets.fitted(spark)
+    rows = secrets.features(secrets.candidates(docs)).select("doc_id", "word", *secrets.FEATURES).collect()
+    want = {(r[0], r[1]): round(float(np.mean([secrets.evaluate(t, r[2:]) for t in trees])), 4) for r in rows}
+    assert {(r.doc_id, r.word): round(r.score, 4) for r in got} == want
+    plan = secrets.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# all on the driver's tables
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_queries_with_oracles(spark):
+    import duckdb
+
+    from larkspur.llm import catalogue
+
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f[:-8]} AS SELECT * FROM '{DATA}/{f}'")
+    for name, text in catalogue.oracles().items():
+        df = catalogue.queries()[name](spark, DATA)
+        want = con.execute(text)
+        order = [d[0] for d in want.description]
+        assert sorted(df.columns) == sorted(order)
+        assert sorted(map(tuple, df.select(*order).collect())) == sorted(want.fetchall()), name
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pipeline_against_its_parts(spark):
+    """Each stage's decision, row by row, from the operators' brute-force versions."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "near-duplicates", "decontamination", "personal data", "packing"]
+    before, out = docs, []
+    for _, stage in corpus_pipeline.STAGES:
+        before = stage(spark, before, DATA).cache()
+        out.append(before)
+    for df in out[:-1]:
+        assert df.columns == docs.columns
+    all_, first, second, third, fourth = ({r.doc_id: r for r in df.collect()} for df in (docs, *out[:4]))
+    model = toxicity.train(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    automaton = model.automaton()
+    assert set(first) == {i for i, r in all_.items() if model.score(np.array([model.features(automaton, r.text)]))[0] < 0.5}
+    ids = sorted(first)
+    roots = brute_components(ids, [brute_fingerprint(first[i].text) for i in ids])
+    assert set(second) == set(roots)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+    order = sorted(second)
+    hits = brute_contamination([second[i].text for i in order], items) if len(order) < 60 else None
+    if hits is None:
+        got = {r.doc_id for r in decontaminate.contamination(out[1], spark.read.parquet(f"{DATA}/benchmark.parquet")).collect() if not r.contaminated}
+        assert set(third) == got
+    net = pii.train()
+    for i, r in third.items():
+        assert fourth[i].text == pii.masked(r.text, pii.all_spans(net, [r.text])[0][1])
+    packed = out[4].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert {r.doc_id for r in packed} == set(fourth) and all(r.n == r.t for r in packed)
