@@ -8,7 +8,8 @@ positions (twice at least) and is smoothed by its parent's, with the weight of w
 kept. A word is scored in the state that is the longest suffix of what stands before it.
 
 Counts cover all training texts. A pair of context and word that makes up a share of the whole makes up that share of some
-chunk of ``CHUNK`` tokens, so each chunk names its frequent pairs; a second pass counts the named pairs exactly. As shares sum
+chunk of ``CHUNK`` tokens, so each chunk names its frequent pairs; a second pass counts the named pairs exactly, and a third
+describes those that are frequent. As shares sum
 to 1, at most ``1 / LEAST_PAIR`` pairs of each depth reach the driver and are broadcast, at any input size. Words and contexts
 are told apart by 64-bit hashes. The most frequent words (at most ``HEAD_WORDS``) are looked up in place; the rest of each
 document's words are joined to their counts.
@@ -32,11 +33,13 @@ from pyspark.sql import functions as F
 from larkspur.llm import common
 
 DEPTH = 3
-LEAST_PAIR, DIVERGENCE = 5e-7, 1e-6
-HEAD_WORDS = 2_000_000
+LEAST_PAIR, DIVERGENCE = 1e-5, 1e-6
+HEAD_WORDS = 1_000_000
 SLICE_BYTES = 1 << 20
-#: Tokens of a chunk whose frequent pairs are named; 2 / LEAST_PAIR, so that a pair must occur twice in it.
-CHUNK = 4_000_000
+#: Tokens of a chunk whose frequent pairs are named; 20 / LEAST_PAIR, so that a pair must occur 20 times in a full one.
+CHUNK = 2_000_000
+#: Distinct pairs whose counts a task holds before it hands them on.
+HELD_PAIRS = 500_000
 #: Key of the end token among the word hashes.
 END_KEY = 0x5EED
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -126,24 +129,46 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 PAIR_COLUMNS = ["d", "pair", "context", "context_of", "word", *(f"{x}{j}" for j in range(1, DEPTH) for x in ("pair", "context"))]
 
 
-def _exact(handle):
-    """Rows (PAIR_COLUMNS, n): the named pairs of each slice with their counts."""
+def _counted(handle):
+    """(pair, n): the named pairs, summed within each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         named = handle.value
+        held, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for whole in batches:
-            for batch in common.slices(whole, "text", 4 * SLICE_BYTES):
-                tokens, begin = tokens_of(common.texts_as_bytes(batch.column("text")).to_pylist())
-                g = Grams(tokens, begin)
+            for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
+                g = Grams(*tokens_of(common.texts_as_bytes(batch.column("text")).to_pylist()))
+                hits = [keys[common.bitmap_has(named, keys)] for keys in (g.pair(d) for d in range(1, DEPTH + 1))]
+                keys, n = np.unique(np.concatenate(hits), return_counts=True)
+                held, at = np.unique(np.concatenate([held, keys]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(held)).astype(np.int64)
+                if len(held) > HELD_PAIRS:
+                    yield pa.RecordBatch.from_pydict({"pair": pa.array(held), "n": pa.array(counts)})
+                    held, counts = held[:0], counts[:0]
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(held), "n": pa.array(counts)})
+
+    return run
+
+
+def _described(handle):
+    """PAIR_COLUMNS of the pairs in the map, each once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, told = handle.value, np.zeros(0, dtype=np.int64)
+        for whole in batches:
+            for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
+                g = Grams(*tokens_of(common.texts_as_bytes(batch.column("text")).to_pylist()))
                 for d in range(1, DEPTH + 1):
                     keys = g.pair(d)
-                    hit = np.flatnonzero(common.bitmap_has(named, keys))
-                    keys, first, n = np.unique(keys[hit], return_index=True, return_counts=True)
-                    row = hit[first]
+                    hit = np.flatnonzero(common.bitmap_has(wanted, keys))
+                    keys, first = np.unique(keys[hit], return_index=True)
+                    new = ~find(told, keys)[1]
+                    keys, row = keys[new], hit[first[new]]
                     columns = {"d": np.full(len(keys), d, dtype=np.int32), "pair": keys, "context": g.context(d)[row], "context_of": g.pair(d - 1, g.at[row] - 1), "word": g.pair(0)[row]}
                     for j in range(1, DEPTH):
                         columns |= {f"pair{j}": g.pair(j)[row], f"context{j}": g.context(j)[row]} if j < d else {f"pair{j}": np.zeros(len(keys), dtype=np.int64), f"context{j}": np.zeros(len(keys), dtype=np.int64)}
-                    yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in (columns | {"n": n.astype(np.int64)}).items()})
+                    told = np.union1d(told, keys)
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
     return run
 
@@ -197,14 +222,20 @@ def train(docs: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Tree, DataFram
     """The tree of the training rows; (key, n) of their tokens; N, V; and the count class from which words are in the tree."""
     spark = docs.sparkSession
     common.prepare(spark)
-    sums = common.materialize(docs.select("text").mapInArrow(_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    sums = common.stored(docs.select("text").mapInArrow(_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     tokens = sums.where("kind = 0").select("key", "n")
     total, distinct = (int(x or 0) for x in tokens.agg(F.sum("n"), F.count("*")).first())
+    common.release(spark)
     words, counts, least = _head(tokens, head_words)
     named = spark.sparkContext.broadcast(common.membership_bitmap(sums.where("kind = 1"), "key"))
-    schema = ", ".join(f"{c} {'int' if c == 'd' else 'long'}" for c in PAIR_COLUMNS) + ", n long"
-    found = docs.select("text").mapInArrow(_exact(named), schema).groupBy("pair").agg(*[F.min(c).alias(c) for c in PAIR_COLUMNS if c != "pair"], F.sum("n").alias("n"))
-    pairs = found.where(F.col("n") >= max(2, LEAST_PAIR * total)).toPandas()
+    counted = docs.select("text").mapInArrow(_counted(named), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    frequent = common.stored(counted.where(F.col("n") >= max(2, LEAST_PAIR * total)))
+    common.release(spark)
+    wanted = spark.sparkContext.broadcast(common.membership_bitmap(frequent, "pair"))
+    schema = ", ".join(f"{c} {'int' if c == 'd' else 'long'}" for c in PAIR_COLUMNS)
+    described = docs.select("text").mapInArrow(_described(wanted), schema).groupBy("pair").agg(*[F.min(c).alias(c) for c in PAIR_COLUMNS if c != "pair"])
+    pairs = described.join(frequent, "pair").toArrow().to_pandas()
+    common.release(spark)
     states, weight, keys, logp = grow(pairs, words, counts, total, distinct)
     return Tree(words, np.log10(counts + 1.0), states, weight, keys, logp), tokens, total, distinct, least
 
@@ -220,9 +251,10 @@ def _head(tokens: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, float]
         least, held = b, held + c
     if least is None:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), float("inf")
-    got = tokens.where(bucket >= least).select("key", "n").toPandas()
-    order = np.argsort(got["key"].to_numpy())
-    return got["key"].to_numpy(dtype=np.int64)[order], got["n"].to_numpy(dtype=np.int64)[order], float(least)
+    got = tokens.where(bucket >= least).select("key", "n").toArrow()
+    keys, counts = (got.column(c).to_numpy() for c in ("key", "n"))
+    order = np.argsort(keys)
+    return keys[order], counts[order], float(least)
 
 
 def _scored(tree: Tree, texts: list[bytes | None], root: float) -> tuple[np.ndarray, ...]:
@@ -254,7 +286,7 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.slices(whole, "text", 4 * SLICE_BYTES):
+            for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
                 texts = common.texts_as_bytes(batch.column("text")).to_pylist()
                 n, known, base, value, others, owner = _scored(handle.value, texts, root)
                 rest: list = [None] * len(texts)
@@ -266,7 +298,7 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest array<long>")
     if not complete:  # words outside the table are outside every kept pair too, so they add alike to both scores
-        rows = common.materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+        rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()))
         pieces = rows.where("rest is not null").select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("f"))
         found = pieces.join(tokens.where(F.floor(F.log2("n") * 4) < least), "key")
         tails = found.groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("n") + 1.0)).alias("tail"), F.sum("f").alias("tail_known"))
