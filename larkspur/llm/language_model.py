@@ -40,6 +40,8 @@ SLICE_BYTES = 1 << 20
 CHUNK = 2_000_000
 #: Distinct pairs whose counts a task holds before it hands them on.
 HELD_PAIRS = 500_000
+#: Least size of a training partition, as Spark estimates it.
+PARTITION_BYTES = 16 << 20
 #: Key of the end token among the word hashes.
 END_KEY = 0x5EED
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -222,6 +224,9 @@ def train(docs: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Tree, DataFram
     """The tree of the training rows; (key, n) of their tokens; N, V; and the count class from which words are in the tree."""
     spark = docs.sparkSession
     common.prepare(spark)
+    # many small partitions make chunks in which any pair looks frequent: they are read together, without a shuffle
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    docs = docs.coalesce(max(spark.sparkContext.defaultParallelism, size // PARTITION_BYTES + 1))
     sums = common.stored(docs.select("text").mapInArrow(_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     tokens = sums.where("kind = 0").select("key", "n")
     total, distinct = (int(x or 0) for x in tokens.agg(F.sum("n"), F.count("*")).first())
