@@ -2,17 +2,18 @@
 
 A text is read as its lower-cased words and one end token; ``DEPTH`` end tokens stand before it. The root of the tree is the
 base model, a word unigram with add-one smoothing. A context of up to ``DEPTH`` words is a state if its next-word distribution
-diverges from its parent's (the context without its oldest word) by ``DIVERGENCE`` nats or more, weighted by the context's
-share of all positions. A state's distribution keeps the next words that follow it in at least ``LEAST_PAIR`` of all training
-positions (twice at least) and is smoothed by its parent's, with the weight of what was not kept and of the number of words
-kept. A word is scored in the state that is the longest suffix of what stands before it.
-
-Counts cover all training texts. A pair of context and word that makes up a share of the whole makes up that share of some
-chunk of ``CHUNK`` tokens, so each chunk names its frequent pairs; a second pass counts the named pairs exactly, and a third
-describes those that are frequent. As shares sum
-to 1, at most ``1 / LEAST_PAIR`` pairs of each depth reach the driver and are broadcast, at any input size. Words and contexts
-are told apart by 64-bit hashes. The most frequent words (at most ``HEAD_WORDS``) are looked up in place; the rest of each
-document's words are joined to their counts.
+gains ``DIVERGENCE`` nats or more over its parent's (the context without its oldest word), summed over the context's own
+occurrences. A state's distribution keeps the next words that follow it ``LEAST_PAIR`` times or more in training and is
+smoothed by its parent's, with the weight of what was not kept and of the number of words kept. A word is scored in the state
+that is the longest suffix of what stands before it.
+
+Both floors are counts, not shares, so the tree grows with the training texts (each depth is counted in a pass of its own, over the
+positions whose shorter pairs may repeat). It is never gathered: counts, probabilities and
+states are tables, made depth by depth. As a pair's shorter pairs occur at least as often, its parent's probability is found by
+one join. The score of a text is a sum of one value a key over its words, contexts and pairs: a pair's value is what its state
+gains over the parent and the parent's weight. The most frequent keys (at most ``HEAD_WORDS`` words and as many contexts and
+pairs) are looked up in place; the rest of each document's keys are joined to their values. Words and contexts are told apart
+by 64-bit hashes.
 
 Defined cases: a null or empty text is just the end token; a row with a null id is neither trained on nor held out (its
 held_out is null); without training texts N and V are 0 and every token counts as unseen; each input row gives one row; other
@@ -23,9 +24,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,11 @@ from pyspark.sql import functions as F
 from larkspur.llm import common
 
 DEPTH = 3
-LEAST_PAIR, DIVERGENCE = 1e-5, 1e-6
+LEAST_PAIR, DIVERGENCE = 2, 1.0
 HEAD_WORDS = 1_000_000
 SLICE_BYTES = 1 << 20
-#: Tokens of a chunk whose frequent pairs are named; 20 / LEAST_PAIR, so that a pair must occur 20 times in a full one.
+#: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 2_000_000
-#: Distinct pairs whose counts a task holds before it hands them on.
-HELD_PAIRS = 500_000
 #: Least size of a training partition, as Spark estimates it.
 PARTITION_BYTES = 16 << 20
 #: Key of the end token among the word hashes.
@@ -68,6 +67,7 @@ class Grams:
         self.tokens, self.prefix = tokens, common.SECOND.prefix(tokens)
         self.at = np.flatnonzero(scored)
         self.text = np.searchsorted(begin, self.at, side="right") - 1
+        self.opening = np.diff(self.text, prepend=-1) != 0
 
     def _context(self, at: np.ndarray, depth: int) -> np.ndarray:
         return common.mix(common.SECOND.ranges(self.prefix, at - depth, at) + np.uint64(depth))
@@ -81,29 +81,42 @@ class Grams:
         return common.signed(common.mix(self._context(at, depth) * _ODD + self.tokens[at]) if depth else self.tokens[at])
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind 0, word key, count) and (kind 1, pair key, count) for the frequent pairs of each chunk."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Grams]]:
+    held: list[Grams] = []
     size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        least = max(1, int(np.ceil(LEAST_PAIR * size)))
-        parts = [Grams(t, b) for t, b in held]
-        for d in range(DEPTH + 1):
-            keys, n = np.unique(np.concatenate([g.pair(d) for g in parts]), return_counts=True)
-            if d:
-                keys, n = keys[n >= least], n[n >= least]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(keys), min(d, 1), dtype=np.int32)), "key": pa.array(keys), "n": pa.array(n.astype(np.int64))})
-
     for whole in batches:
         for batch in common.slices(whole, "text", SLICE_BYTES):
-            held.append(tokens_of(common.texts_as_bytes(batch.column("text")).to_pylist()))
-            size += len(held[-1][0])
+            held.append(Grams(*tokens_of(common.texts_as_bytes(batch.column("text")).to_pylist())))
+            size += len(held[-1].tokens)
             if size >= CHUNK:
-                yield from flush()
+                yield held
                 held, size = [], 0
     if held:
-        yield from flush()
+        yield held
+
+
+def _counts(depths: tuple[int, ...], handle=None):
+    """(d, key, n) of the pairs of the given depths (0: of the words), summed within each chunk.
+
+    With a map of the pairs of the next lower depth that occur ``LEAST_PAIR`` times, others are left out whose own pair or
+    context surely occurs less: a longer pair never occurs more often than its parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _chunks(batches):
+            for d in depths:
+                found = []
+                for g in parts:
+                    keys = g.pair(d)
+                    if handle is not None:
+                        hit = np.flatnonzero(common.bitmap_has(handle.value, g.pair(d - 1)))
+                        hit = hit[g.opening[hit] | common.bitmap_has(handle.value, g.pair(d - 1, g.at[hit] - 1))]
+                        keys = keys[hit]
+                    found.append(keys)
+                keys, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(keys), d, dtype=np.int32)), "key": pa.array(keys), "n": pa.array(n.astype(np.int64))})
+
+    return run
 
 
 @dataclass
@@ -126,129 +139,101 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-#: A pair with what its probability depends on: its context (and the key under which that context was counted), its word, and
-#: the pairs and contexts of lower depth.
-PAIR_COLUMNS = ["d", "pair", "context", "context_of", "word", *(f"{x}{j}" for j in range(1, DEPTH) for x in ("pair", "context"))]
-
-
-def _counted(handle):
-    """(pair, n): the named pairs, summed within each task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = handle.value
-        held, counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for whole in batches:
-            for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
-                g = Grams(*tokens_of(common.texts_as_bytes(batch.column("text")).to_pylist()))
-                hits = [keys[common.bitmap_has(named, keys)] for keys in (g.pair(d) for d in range(1, DEPTH + 1))]
-                keys, n = np.unique(np.concatenate(hits), return_counts=True)
-                held, at = np.unique(np.concatenate([held, keys]), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(held)).astype(np.int64)
-                if len(held) > HELD_PAIRS:
-                    yield pa.RecordBatch.from_pydict({"pair": pa.array(held), "n": pa.array(counts)})
-                    held, counts = held[:0], counts[:0]
-        yield pa.RecordBatch.from_pydict({"pair": pa.array(held), "n": pa.array(counts)})
-
-    return run
+#: A pair with what its probability depends on: its context, the key under which that context was counted, and the pair of the
+#: next lower depth (at depth 1 the word).
+PAIR_COLUMNS = ["context", "context_of", "parent"]
 
 
-def _described(handle):
-    """PAIR_COLUMNS of the pairs in the map, each once a task."""
+def _described(handle, d: int):
+    """PAIR_COLUMNS of the pairs of one depth in the map, each once a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, told = handle.value, np.zeros(0, dtype=np.int64)
-        for whole in batches:
-            for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
-                g = Grams(*tokens_of(common.texts_as_bytes(batch.column("text")).to_pylist()))
-                for d in range(1, DEPTH + 1):
-                    keys = g.pair(d)
-                    hit = np.flatnonzero(common.bitmap_has(wanted, keys))
-                    keys, first = np.unique(keys[hit], return_index=True)
-                    new = ~find(told, keys)[1]
-                    keys, row = keys[new], hit[first[new]]
-                    columns = {"d": np.full(len(keys), d, dtype=np.int32), "pair": keys, "context": g.context(d)[row], "context_of": g.pair(d - 1, g.at[row] - 1), "word": g.pair(0)[row]}
-                    for j in range(1, DEPTH):
-                        columns |= {f"pair{j}": g.pair(j)[row], f"context{j}": g.context(j)[row]} if j < d else {f"pair{j}": np.zeros(len(keys), dtype=np.int64), f"context{j}": np.zeros(len(keys), dtype=np.int64)}
-                    told = np.union1d(told, keys)
-                    yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+        for parts in _chunks(batches):
+            rows = []
+            for g in parts:
+                keys = g.pair(d)
+                hit = np.flatnonzero(common.bitmap_has(handle.value, keys))
+                # the context of a text's first word occurs once a text, as its end token does
+                of = np.where(g.opening[hit], np.int64(END_KEY), g.pair(d - 1, g.at[hit] - 1))
+                rows.append((keys[hit], g.context(d)[hit], of, g.pair(d - 1)[hit]))
+            columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
+            keys, first = np.unique(columns[0], return_index=True)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(keys)} | {c: pa.array(x[first]) for c, x in zip(PAIR_COLUMNS, columns[1:], strict=True)})
 
     return run
 
 
-def grow(pairs: pd.DataFrame, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> tuple[np.ndarray, ...]:
-    """Sorted states with their log10 parent weights, and sorted pairs with their log10 probabilities, parents first."""
-    root = float(total + distinct + 1)
-    tables: list[tuple[np.ndarray, ...]] = []  # by depth: states, weights, pairs, probabilities
-    counted = {0: (words, counts.astype(float))}
-
-    def lookup(table: np.ndarray, values: np.ndarray, keys: np.ndarray, default: float) -> np.ndarray:
-        at, there = find(table, keys)
-        return np.where(there, values[at] if len(values) else default, default)
-
-    def probability(g: pd.DataFrame, depth: int) -> np.ndarray:
-        """P(word) in each row's context of the given depth."""
-        if depth == 0:
-            return (lookup(words, counts.astype(float), g["word"].to_numpy(), 0.0) + 1) / root
-        states, weights, keys, p = tables[depth - 1]
-        kept = lookup(keys, p, g[f"pair{depth}"].to_numpy(), np.nan)
-        return np.where(np.isnan(kept), lookup(states, weights, g[f"context{depth}"].to_numpy(), 1.0) * probability(g, depth - 1), kept)
-
-    for d in range(1, DEPTH + 1):
-        g = pairs[pairs["d"] == d]
-        counted[d] = tuple(x[np.argsort(g["pair"].to_numpy())] for x in (g["pair"].to_numpy(), g["n"].to_numpy(dtype=float)))
-        parent = probability(g, d - 1)
-        n = g["n"].to_numpy(dtype=float)
-        _, of = np.unique(g["context"].to_numpy(), return_inverse=True)
-        kept, number = np.bincount(of, weights=n)[of] if len(of) else n, np.bincount(of)[of] if len(of) else n
-        count = np.maximum(lookup(*counted[d - 1], g["context_of"].to_numpy(), 0.0), kept)
-        beta = number + count - kept
-        p = (n + beta * parent) / (kept + beta)
-        gain = count / max(total, 1) * p * np.log(p / parent)
-        rest, rest_parent = beta / (kept + beta), 1.0  # what is not kept: its parent's probability times the weight
-        left = np.maximum(1 - np.bincount(of, weights=p)[of], 1e-12) if len(of) else p
-        gain_rest = count / max(total, 1) * left * np.log(np.maximum(rest, 1e-12) / rest_parent)
-        divergence = (np.bincount(of, weights=gain)[of] if len(of) else gain) + gain_rest
-        good = np.flatnonzero(divergence >= DIVERGENCE)
-        states, first = np.unique(g["context"].to_numpy()[good], return_index=True)
-        order = good[np.argsort(g["pair"].to_numpy()[good])]
-        tables.append((states, rest[good][first], g["pair"].to_numpy()[order], p[order]))
+def _grown(pairs: DataFrame, sums: DataFrame, root: float) -> DataFrame:
+    """(state, key, n, logp, value): states with the log10 weight of their parent, and their pairs with the log10 probability; parents first."""
+    below = sums.where("d = 0").select(F.col("key").alias("parent"), ((F.col("n") + 1) / root).alias("m"))
     out = []
-    for key, value in ((0, 1), (2, 3)):
-        keys, values = np.concatenate([t[key] for t in tables]), np.concatenate([t[value] for t in tables])
-        order = np.argsort(keys)
-        out += [keys[order].astype(np.int64), np.log10(values[order].astype(float))]
-    return tuple(out)
-
-
-def train(docs: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Tree, DataFrame, int, int, float]:
-    """The tree of the training rows; (key, n) of their tokens; N, V; and the count class from which words are in the tree."""
+    for d in range(1, DEPTH + 1):
+        g = pairs.where(F.col("d") == d).drop("d").join(below, "parent")
+        counted = sums.where((F.col("d") == d - 1) | (F.col("key") == END_KEY)).select(F.col("key").alias("context_of"), F.col("n").alias("seen"))
+        c = g.groupBy("context").agg(F.sum("n").alias("kept"), F.count("*").alias("number"), F.min("context_of").alias("context_of")).join(counted, "context_of", "left")
+        c = c.select("context", "kept", "number", F.greatest("kept", F.coalesce("seen", "kept")).alias("count")).withColumn("beta", F.col("number") + F.col("count") - F.col("kept"))
+        g = g.join(c, "context").withColumn("p", (F.col("n") + F.col("beta") * F.col("m")) / (F.col("kept") + F.col("beta")))
+        g = common.stored(g.select("context", "pair", "n", "count", "m", "p", (F.col("beta") / (F.col("kept") + F.col("beta"))).alias("rest")))
+        gain = F.sum(F.col("p") * F.log(F.col("p") / F.col("m"))) + F.greatest(1 - F.sum("p"), F.lit(1e-12)) * F.log(F.greatest(F.max("rest"), F.lit(1e-12)))
+        states = g.groupBy("context").agg(F.max("count").alias("n"), F.max("rest").alias("rest"), gain.alias("gain")).where(F.col("n") * F.col("gain") >= DIVERGENCE)
+        states = common.stored(states.select(F.col("context").alias("key"), "n", F.log10("rest").alias("value")))
+        g = g.join(states.select(F.col("key").alias("context"), F.col("value").alias("weight")), "context", "left")
+        g = common.stored(g.select("pair", "n", F.when(F.col("weight").isNull(), F.col("m")).otherwise(F.col("p")).alias("p"), (F.log10("p") - F.log10("m") - F.col("weight")).alias("value")))
+        out.append(states.select(F.lit(True).alias("state"), "key", "n", F.lit(None).cast("double").alias("logp"), "value"))
+        out.append(g.where("value is not null").select(F.lit(False).alias("state"), F.col("pair").alias("key"), "n", F.log10("p").alias("logp"), "value"))
+        below = g.select(F.col("pair").alias("parent"), F.col("p").alias("m"))
+        common.release(pairs.sparkSession)
+    return reduce(DataFrame.unionByName, out)
+
+
+def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """The table of _grown of the training rows; (key, n) of their tokens; N and V."""
     spark = docs.sparkSession
     common.prepare(spark)
-    # many small partitions make chunks in which any pair looks frequent: they are read together, without a shuffle
+    # many small partitions make chunks in which little repeats: they are read together, without a shuffle
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    docs = docs.coalesce(max(spark.sparkContext.defaultParallelism, size // PARTITION_BYTES + 1))
-    sums = common.stored(docs.select("text").mapInArrow(_words, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    tokens = sums.where("kind = 0").select("key", "n")
+    docs = docs.coalesce(min(max(spark.sparkContext.defaultParallelism, size // PARTITION_BYTES + 1), 2**31 - 1))
+    # a depth at a time, each dealt out before it is summed, as few keys repeat within a task
+    made, handle = [], None
+    for d in range(1, DEPTH + 1):
+        counted = docs.select("text").mapInArrow(_counts((0, 1) if d == 1 else (d,), handle), "d int, key long, n long").repartition("key").groupBy("d", "key").agg(F.sum("n").alias("n"))
+        made.append(common.stored(counted.where((F.col("d") == 0) | (F.col("n") >= LEAST_PAIR))))
+        del counted
+        common.release(spark)
+        if d < DEPTH:
+            handle = spark.sparkContext.broadcast(common.membership_bitmap(made[-1].where(F.col("d") == d), "key"))
+    sums = reduce(DataFrame.unionByName, made)
+    tokens = sums.where("d = 0").select("key", "n")
     total, distinct = (int(x or 0) for x in tokens.agg(F.sum("n"), F.count("*")).first())
-    common.release(spark)
+    pairs = []
+    for d in range(1, DEPTH + 1):
+        frequent = sums.where(F.col("d") == d).select(F.col("key").alias("pair"), "n")
+        wanted = spark.sparkContext.broadcast(common.membership_bitmap(frequent, "pair"))
+        described = docs.select("text").mapInArrow(_described(wanted, d), "pair long, " + ", ".join(f"{c} long" for c in PAIR_COLUMNS))
+        described = described.repartition("pair").groupBy("pair").agg(*[F.min(c).alias(c) for c in PAIR_COLUMNS])
+        pairs.append(common.stored(described.join(frequent, "pair").withColumn("d", F.lit(d))))
+        del described
+        common.release(spark)
+    pairs = reduce(DataFrame.unionByName, pairs)
+    return _grown(pairs, sums, float(total + distinct + 1)), tokens, total, distinct
+
+
+def train(docs: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Tree, DataFrame, int, int, float]:
+    """The tree of a small corpus gathered, to look at; (key, n) of its tokens; N, V; and the count class from which words are in the tree."""
+    grown, tokens, total, distinct = tables(docs)
     words, counts, least = _head(tokens, head_words)
-    named = spark.sparkContext.broadcast(common.membership_bitmap(sums.where("kind = 1"), "key"))
-    counted = docs.select("text").mapInArrow(_counted(named), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    frequent = common.stored(counted.where(F.col("n") >= max(2, LEAST_PAIR * total)))
-    common.release(spark)
-    wanted = spark.sparkContext.broadcast(common.membership_bitmap(frequent, "pair"))
-    schema = ", ".join(f"{c} {'int' if c == 'd' else 'long'}" for c in PAIR_COLUMNS)
-    described = docs.select("text").mapInArrow(_described(wanted), schema).groupBy("pair").agg(*[F.min(c).alias(c) for c in PAIR_COLUMNS if c != "pair"])
-    pairs = described.join(frequent, "pair").toArrow().to_pandas()
-    common.release(spark)
-    states, weight, keys, logp = grow(pairs, words, counts, total, distinct)
-    return Tree(words, np.log10(counts + 1.0), states, weight, keys, logp), tokens, total, distinct, least
-
-
-def _head(tokens: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Keys (sorted) and counts of the most frequent tokens, at most ``limit``, and the count from which they are complete."""
+
+    def sorted_(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+        got = rows.select("key", value).orderBy("key").toArrow()
+        return got.column("key").to_numpy(), got.column(value).to_numpy()
+
+    return Tree(words, np.log10(counts + 1.0), *sorted_(grown.where("state"), "value"), *sorted_(grown.where("not state"), "logp")), tokens, total, distinct, least
+
+
+def _head(keys: DataFrame, limit: int, value: str = "n") -> tuple[np.ndarray, np.ndarray, float]:
+    """Keys (sorted) and values of the most frequent keys, at most ``limit``, and the count class from which they are complete."""
     bucket = F.floor(F.log2("n") * 4).cast("long")
-    rows = sorted(((int(b), int(c)) for b, c in tokens.groupBy(bucket.alias("b")).count().collect()), reverse=True)
+    rows = sorted(((int(b), int(c)) for b, c in keys.groupBy(bucket.alias("b")).count().collect()), reverse=True)
     least, held = None, 0
     for b, c in rows:
         if held + c > limit:
@@ -256,59 +241,82 @@ def _head(tokens: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray, float]
         least, held = b, held + c
     if least is None:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), float("inf")
-    got = tokens.where(bucket >= least).select("key", "n").toArrow()
-    keys, counts = (got.column(c).to_numpy() for c in ("key", "n"))
-    order = np.argsort(keys)
-    return keys[order], counts[order], float(least)
+    got = keys.where(bucket >= least).select("key", value).toArrow()
+    found, values = (got.column(c).to_numpy() for c in ("key", value))
+    order = np.argsort(found)
+    return found[order], values[order], float(least)
+
+
+@dataclass
+class Head:
+    """Sorted keys looked up in place, with their values: words with log10(c + 1), contexts and pairs; and the map of the other contexts and pairs."""
+
+    words: np.ndarray
+    gain: np.ndarray
+    keys: np.ndarray
+    value: np.ndarray
+    others: np.ndarray
 
 
-def _scored(tree: Tree, texts: list[bytes | None], root: float) -> tuple[np.ndarray, ...]:
-    """By text: tokens, known tokens, base and score but for the words outside the tree's table; those words; the text of each."""
+def _scored(head: Head, texts: list[bytes | None], root: float) -> tuple[np.ndarray, ...]:
+    """By text: tokens, known tokens, base and score but for the keys outside the head; those keys and where each text's begin."""
     tokens, begin = tokens_of(texts)
     g, n = Grams(tokens, begin), len(texts)
     words = g.pair(0)
-    at, known = find(tree.words, words)
-    gain = np.where(known, tree.gain[at], 0.0) if len(tree.words) else np.zeros(len(at))
-    base = gain - root
-    value, open_ = np.zeros(len(at)), np.arange(len(at))
-    for d in range(DEPTH, 0, -1):
-        place, kept = find(tree.pairs, g.pair(d)[open_])
-        value[open_[kept]] += tree.logp[place[kept]]
-        open_ = open_[~kept]
-        place, state = find(tree.states, g.context(d)[open_])
-        value[open_[state]] += tree.weight[place[state]]
-    value[open_] += base[open_]
+    at, known = find(head.words, words)
+    base = (np.where(known, head.gain[at], 0.0) if len(head.words) else np.zeros(len(at))) - root
+    value, keys, owner = base.copy(), [words[~known]], [g.text[~known]]
+    for d in range(1, DEPTH + 1):
+        for k in (g.pair(d), g.context(d)):
+            at, there = find(head.keys, k)
+            value[there] += head.value[at[there]]
+            rest = np.flatnonzero(~there)
+            rest = rest[common.bitmap_has(head.others, k[rest])]
+            keys.append(k[rest])
+            owner.append(g.text[rest])
     total = [np.bincount(g.text, weights=x, minlength=n) for x in (base, value)]
-    return np.diff(begin) - DEPTH, np.bincount(g.text[known], minlength=n), *total, words[~known], g.text[~known]
+    of = np.concatenate(owner)
+    order = np.argsort(of, kind="stable")
+    bounds = np.searchsorted(of[order], np.arange(n + 1))
+    return np.diff(begin) - DEPTH, np.bincount(g.text[known], minlength=n), *total, np.concatenate(keys)[order], bounds
 
 
 def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learned from the rows of training."""
     spark = docs.sparkSession
-    tree, tokens, total, distinct, least = train(training, head_words)
-    handle, complete = spark.sparkContext.broadcast(tree), len(tree.words) == distinct
+    grown, tokens, total, distinct = tables(training)
+    words, counts, least = _head(tokens, head_words)
+    keys, values, least_key = _head(grown, head_words, "value")
+
+    def tail(x: DataFrame, above: float) -> DataFrame:
+        return x.where(F.floor(F.log2("n") * 4) < above)
+
+    others = common.membership_bitmap(tail(grown, least_key), "key")
+    handle = spark.sparkContext.broadcast(Head(words, np.log10(counts + 1.0), keys, values.astype(float), others))
+    complete = len(words) == distinct and not others.any()
     root = float(np.log10(total + distinct + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
                 texts = common.texts_as_bytes(batch.column("text")).to_pylist()
-                n, known, base, value, others, owner = _scored(handle.value, texts, root)
-                rest: list = [None] * len(texts)
-                if not complete:
-                    bounds = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
-                    rest = [others[a:b] if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(value), "rest": pa.array(rest, pa.list_(pa.int64()))})
+                n, known, base, value, keys, bounds = _scored(handle.value, texts, root)
+                if complete:
+                    keys, bounds = keys[:0], np.zeros_like(bounds)
+                rest = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(value), "rest": rest})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest array<long>")
-    if not complete:  # words outside the table are outside every kept pair too, so they add alike to both scores
+    if not complete:
         rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()))
-        pieces = rows.where("rest is not null").select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("f"))
-        found = pieces.join(tokens.where(F.floor(F.log2("n") * 4) < least), "key")
-        tails = found.groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("n") + 1.0)).alias("tail"), F.sum("f").alias("tail_known"))
-        more = rows.join(tails, "row", "left").fillna({"tail": 0.0, "tail_known": 0})
-        rows = more.withColumns({"n_known": F.col("n_known") + F.col("tail_known"), **{c: F.col(c) + F.col("tail") for c in ("base_score", "score")}})
+        gain = F.log10(F.col("n") + 1.0)
+        worth = tail(tokens, least).select("key", gain.alias("b"), gain.alias("s"), F.lit(1).alias("k"))
+        worth = worth.unionByName(tail(grown, least_key).select("key", F.lit(0.0).alias("b"), F.col("value").alias("s"), F.lit(0).alias("k")))
+        found = rows.select("row", F.explode("rest").alias("key")).join(worth, "key")
+        more = found.groupBy("row").agg(F.sum("b").alias("more_base"), F.sum("s").alias("more_score"), F.sum("k").alias("more_known"))
+        rows = rows.drop("rest").join(more, "row", "left").fillna(0)
+        rows = rows.withColumns({"n_known": F.col("n_known") + F.col("more_known"), "base_score": F.col("base_score") + F.col("more_base"), "score": F.col("score") + F.col("more_score")})
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -413,6 +413,29 @@ def test_distributions_sum_to_one(spark, texts):
         assert 0.97 < mass + unseen < 1.000001, context
 
 
+def test_pairs_are_kept_by_count_at_any_size(spark):
+    """Contexts seen a few times among many other tokens are states, and scores are those of the gathered tree."""
+    r = random.Random(5)
+    filler = [" ".join(r.choice(WORDS) for _ in range(2000)) for _ in range(150)]
+    docs = table(spark, [*filler, *["rare words stand here together"] * 3, "rare words stand here alone"])
+    tree, *_ = language_model.train(docs)
+    g = language_model.Grams(*language_model.tokens_of([b"rare words stand here together"]))
+    assert language_model.find(tree.pairs, g.pair(1)[1:5])[1].all()  # 1e-5 of all positions is above 3
+    got = {head: {x.doc_id: x.score for x in language_model.score(docs, docs, head_words=head).collect()} for head in (10**6, 30)}
+    assert all(abs(got[30][i] - x) < 1e-6 for i, x in got[10**6].items())
+    root = math.log10(150 * 2001 + 4 * 6 + len(tree.words) + 1)
+    want = 0.0
+    for i in range(len(g.at)):
+        for d in range(language_model.DEPTH, -1, -1):
+            at, there = language_model.find(tree.pairs if d else tree.words, g.pair(d)[i : i + 1])
+            if there[0]:
+                want += tree.logp[at[0]] if d else tree.gain[at[0]] - root
+                break
+            at, there = language_model.find(tree.states, g.context(d)[i : i + 1])
+            want += tree.weight[at[0]] if there[0] else 0.0
+    assert abs(got[10**6][150] - want) < 1e-6
+
+
 def test_scores_without_training_rows(spark):
     r = language_model.score(table(spark, ["a b", None]), table(spark, [])).orderBy("doc_id").collect()
     assert [(x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in r] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
