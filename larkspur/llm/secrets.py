@@ -1,12 +1,13 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 The scan uses DataFrame functions only. A text's words are looked at with their neighbours; a word is a candidate if it holds a
-run of ``RUN`` or more key characters with a digit among them, or a value of ``VALUE`` or more after a credential's name and an
-``=`` or ``:``. Features are SQL expressions: length, shares of character classes, character transitions, dictionary coverage,
+run of ``RUN`` or more key characters (other than one character over and over), or a value of ``VALUE`` or more after a
+credential's name and an ``=`` or ``:``. A word gives all its runs and all its values, but for values equal to one of its runs;
+features look at ``NEAR`` characters of a word on either side of the candidate. Features are SQL expressions: length, shares of character classes, character transitions, dictionary coverage,
 path marks and neighbouring words. The forest is fitted on the driver from labelled findings (made by a seeded rule,
 ``labelled``; their number ``FINDINGS`` is the bound), from the same expressions, and becomes one CASE expression a tree.
 
-Nothing is shuffled and nothing grows on the driver. Each candidate of each row gives one row; repeated rows and null ids are
+Nothing is shuffled and nothing grows on the driver. Each candidate of each word of each row gives one row; repeated rows and null ids are
 kept; null, empty and wordless texts give none; positions count words from 0; other columns are ignored.
 """
 
@@ -21,15 +22,17 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import common
 
-RUN, VALUE = 16, 8
+RUN, VALUE, NEAR = 16, 8, 256
 FINDINGS, TREES, DEPTH, LEAF, SEED = 2400, 15, 6, 5, 11
 THRESHOLD = 0.5
 
 _KEYS = r"[A-Za-z0-9_+/=-]"
 #: Tried only where a run begins, so a long one is read once.
-_RUN = rf"(?<!{_KEYS})(?=[A-Za-z_+/=-]*[0-9]){_KEYS}{{{RUN},}}"
+_RUN = rf"(?<!{_KEYS})(?!({_KEYS})\1*+(?!{_KEYS})){_KEYS}{{{RUN},}}"
 _NAME = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
-_ASSIGNED = rf"{_NAME}[\"']?\s*[:=]+\s*[\"']?([^\s\"']{{{VALUE},}})"
+#: Looked ahead, so that values may overlap: one ends at a quote, at the word's end, or before the next name and its sign. It
+#: lies in the last word of what is looked at.
+_ASSIGNED = rf"(?={_NAME}[\"']?\s*[:=]+\s*[\"']?([^\s\"']{{{VALUE},}}?)(?=[\"']|[,;&][A-Za-z_][A-Za-z0-9_.-]*[:=]|$)\S*$)"
 _OTHER = r"(?i)(?:commit|sha-?[0-9]*|md5|hash|checksum|digest|revision|uuid|guid|build|version|isbn|etag|order|invoice|ticket|phone|card)"
 #: Pieces of words that occur in identifiers and prose but not in keys.
 _DICTIONARY = "about,access,account,after,and,app,archive,background,backup,batch,before,builder,button,cache,class,client,cluster,color,common,config,connection,container,content,context,controller,count,create,customer,data,date,default,delete,demo,document,domain,download,employee,error,event,example,factory,field,file,filter,font,for,format,from,function,group,handler,height,helper,image,index,info,input,instance,internal,invoice,item,java,job,key,language,layout,length,level,library,line,list,local,log,main,manager,message,method,model,module,name,network,number,object,option,order,output,package,page,param,parser,path,pipeline,pixel,position,private,process,product,project,property,public,query,queue,record,release,report,request,resource,response,result,sample,schema,screen,server,service,session,setting,size,sort,source,static,status,storage,stream,string,style,system,table,tag,task,template,test,text,the,thread,time,type,update,upload,user,utils,value,version,view,width,window,with,worker"
@@ -54,16 +57,20 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     near = F.filter(around, lambda s: s["holder"].rlike(_RUN) | (s["holder"].rlike(_NAME) & s["holder"].rlike("[:=]")) | (s["before"].rlike("[:=]") & (s["before"].rlike(_NAME) | s["before2"].rlike(_NAME))))
     rows = parts.select("doc_id", F.explode(near).alias("s")).select("doc_id", "s.*")
-    return chosen(rows).where("candidate <> ''")
+    return chosen(rows)
 
 
 def chosen(rows: DataFrame) -> DataFrame:
-    """Add candidate and rule to words with their neighbours."""
-    assigned = F.regexp_extract(F.concat_ws(" ", "before2", "before", "holder"), _ASSIGNED + "$", 1)
-    own = F.regexp_extract("holder", _ASSIGNED, 1)
-    value = F.regexp_replace(F.when(own != "", own).otherwise(assigned), r"[\"'.,;:!)\]}*%#$&|]+$", "")
-    run = F.regexp_extract("holder", f"({_RUN})", 1)
-    return rows.withColumn("candidate", F.when(run != "", run).when(F.length(value) >= VALUE, value).otherwise("")).withColumn("rule", F.when(run != "", "run").otherwise("assigned"))
+    """A row for each candidate of words with their neighbours: ordinal (within the word), candidate and rule added, the holder cut to what is near."""
+    runs = F.regexp_extract_all("holder", F.lit(_RUN), F.lit(0))
+    values = F.regexp_extract_all(F.concat_ws(" ", "before2", "before", "holder"), F.lit(_ASSIGNED), F.lit(1))
+    values = F.transform(values, lambda v: F.regexp_replace(v, r"[\"'.,;:!)\]}*%#$&|]+$", ""))
+    rows = rows.withColumns({"runs": runs, "values": values})
+    values = F.filter("values", lambda v: (F.length(v) >= VALUE) & ~F.array_contains("runs", v))
+    found = F.concat(F.transform("runs", lambda v: F.struct(v.alias("candidate"), F.lit("run").alias("rule"))), F.transform(values, lambda v: F.struct(v.alias("candidate"), F.lit("assigned").alias("rule"))))
+    rows = rows.select("*", F.posexplode(found).alias("ordinal", "found")).drop("runs", "values").select("*", "found.*").drop("found")
+    start = F.expr(f"greatest(instr(holder, candidate) - {NEAR}, 1)")
+    return rows.withColumn("holder", F.substring("holder", start, F.length("candidate") + 2 * NEAR))
 
 
 def features(rows: DataFrame) -> DataFrame:
@@ -100,7 +107,7 @@ def features(rows: DataFrame) -> DataFrame:
 
 
 def labelled(n: int, seed: int) -> list[dict]:
-    """Findings with a label: words and neighbours, 1 for a secret."""
+    """Findings with a label: words and neighbours, 1 for a secret, and the secret."""
     r = random.Random(seed)
     words = _DICTIONARY.split(",")
 
@@ -113,16 +120,16 @@ def labelled(n: int, seed: int) -> list[dict]:
     def name() -> str:
         return r.choice(["", "", "my_", "aws_", "db-"]) + (s if (s := r.choice(names)) and r.random() < 0.7 else s.upper())
 
-    def secret() -> tuple[str, str, str]:
+    def secret() -> tuple[str, str, str, str]:
         s = r.choice([lambda: of(hexa, r.choice([32, 40, 64])), lambda: of(alnum, r.randint(20, 44)), lambda: "AKIA" + of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + of(alnum, 36), lambda: of(alnum + "+/", 40) + "=", lambda: of(alnum + "!@#%^", r.randint(10, 18)), lambda: "sk-" + of(alnum, 32), lambda: of(hexa.upper(), 40)])()
         form = r.random()
         if form < 0.5:
-            return name(), r.choice(["=", "=", ":", ":="]), f'"{s}"'
+            return name(), r.choice(["=", "=", ":", ":="]), f'"{s}"', s
         if form < 0.75:
-            return r.choice(words), r.choice(words), f'{name()}{r.choice("=:")}{r.choice(["", chr(34)])}{s}'
-        return r.choice(words), r.choice(["Bearer", "token:", "secret:", "key:", "Authorization:"]), s
+            return r.choice(words), r.choice(words), f'{name()}{r.choice("=:")}{r.choice(["", chr(34)])}{s}', s
+        return r.choice(words), r.choice(["Bearer", "token:", "secret:", "key:", "Authorization:"]), s, s
 
-    def harmless() -> tuple[str, str, str]:
+    def harmless() -> tuple[str, str, str, str]:
         made = r.choice(
             [
                 lambda: (r.choice(["commit", "sha1", "md5", "checksum", "revision"]), r.choice(["=", ":", "is"]), of(hexa, r.choice([32, 40, 64]))),
@@ -138,22 +145,24 @@ def labelled(n: int, seed: int) -> list[dict]:
                 lambda: (r.choice(words), r.choice(words), "=" * r.randint(10, 30) + of("0123456789", 1) + "=" * 6),
             ]
         )
-        return made()
+        return *made(), ""
 
     out = []
     for i in range(n):
-        a, b, c = secret() if i % 2 else harmless()
+        a, b, c, s = secret() if i % 2 else harmless()
         c += r.choice(["", "", ",", ".", "###", "***", "!!"])
-        row = {"before2": a, "before": b, "holder": c, "after": r.choice(words), "label": i % 2}
+        row = {"before2": a, "before": b, "holder": c, "after": r.choice(words), "secret": s, "label": i % 2}
         out.append({k: v.upper() for k, v in row.items() if k != "label"} | {"label": i % 2} if r.random() < 0.05 else row)
     return out
 
 
 def findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
     """The labelled findings as rows with features."""
-    schema = "array<struct<before2:string,before:string,holder:string,after:string,label:int>>"
+    schema = "array<struct<before2:string,before:string,holder:string,after:string,secret:string,label:int>>"
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(labelled(n, seed))), schema)).alias("s")).select("s.*")
-    return features(chosen(rows).where("candidate <> ''"))
+    # beside its secret a word may hold other candidates, such as a long name
+    part = F.contains("secret", "candidate") | F.contains("candidate", "secret")
+    return features(chosen(rows)).withColumn("label", F.when(part, F.col("label")).otherwise(0))
 
 
 Node = tuple  # (share of secrets,) or (feature number, threshold, at most, above)
