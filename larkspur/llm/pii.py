@@ -2,9 +2,9 @@
 
 The network is written and trained in numpy, once per driver process, from labelled spans: sentences made by a seeded rule
 (``labelled``), with e-mail addresses, IP addresses, card and phone numbers in plain and disguised spellings, among look-alikes
-that are none (hashes, versions, dates, prices, years). Its kinds all hold a digit, an ``@`` or a spelled-out ``dot`` or ``at``
-in brackets, so it reads the stretches of ``MARGIN`` characters around such places, wherever they are in the text, and no
-others. A stretch is cut into overlapping windows; the emissions of a position are averaged over its windows, more weight to
+that are none (hashes, versions, dates, prices, years). Its kinds all hold a digit, an ``@`` or a spelled-out or bracketed
+``dot`` or ``at``, so it reads the stretches of ``MARGIN`` characters around such places, wherever they are in the text, each
+grown to whole runs of address characters on both sides, and no others. A stretch is cut into overlapping windows; the emissions of a position are averaged over its windows, more weight to
 windows in which it lies further inside, and the CRF decodes the whole stretch at once, so windows agree on one set of spans.
 An added span overlaps no base span and has the right make-up for its kind (``plausible``).
 
@@ -40,7 +40,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_GATE = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]| dot ", re.IGNORECASE)
+_GATE = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]| at | dot ", re.IGNORECASE)
 
 
 def digits(s: str) -> str:
@@ -280,15 +280,27 @@ def train(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = SEED) ->
 def stretches(text: str) -> list[tuple[int, int]]:
     """Parts of a text around every place that could belong to a span."""
     out: list[tuple[int, int]] = []
+    n = len(text)
     for m in _GATE.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
+        done = out[-1][1] if out else 0
+        a, b = max(0, m.start() - MARGIN), min(n, m.end() + MARGIN)
+        if b <= done:
+            continue
+        while a > done and _address(text[a - 1]):
+            a -= 1
+        while b < n and _address(text[b]):
+            b += 1
+        if out and a <= done:
             out[-1] = (out[-1][0], b)
         else:
             out.append((a, b))
     return out
 
 
+def _address(c: str) -> bool:
+    return c in _LOCAL or c.isalnum()
+
+
 def decode(net: Network, parts: list[str]) -> list[np.ndarray]:
     """Tags of each part: averaged emissions of overlapping windows, one Viterbi path over the whole part."""
     coded = [codes(p) for p in parts]

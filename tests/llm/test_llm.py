@@ -356,6 +356,22 @@ def test_gradients_are_right():
         assert abs((up - down) / 2e-3 - grad[name][at]) < 1e-3 * max(1, abs(grad[name][at])), name
 
 
+def test_stretches_hold_whole_addresses():
+    """No stretch begins or ends inside an address, however long its parts are."""
+    local, domain = "maximiliane.oberhuber-lindenbaum", "landesvermessungsamt-niederbayern"
+    for address in (f"{local} at {domain} dot example dot com", f"{local}(at){domain}(dot)com", f"{local} [at] {domain}.com", "maria.gonzalez at example dot com", f"x@ {domain}"):
+        text = f"please write soon to {address} or come by some other day if you like"
+        at = text.index(address)
+        assert any(a <= at and at + len(address) <= b for a, b in pii.stretches(text)), address
+    assert pii.stretches("a1" * 50_000) == [(0, 100_000)]
+
+
+def test_disguised_address_is_found_whole():
+    text = "please write soon to maria.gonzalez at example dot com or come by"
+    (_, spans), = pii.all_spans(pii.train(), [text])
+    assert [text[a:b] for k, a, b in spans if k == 0] == ["maria.gonzalez at example dot com"]
+
+
 def test_personal_data(spark):
     texts = ["mail a.b@c.org or call +1 (017) 555-7713 now", None, "", "no data, version 2.0 of 2024", "tail " * 300 + "10.0.0.1", "host [at] mail [dot] com é 4111 1111 1111 1111"]
     got = pii.find(table(spark, texts)).orderBy("doc_id").collect()
