@@ -146,6 +146,12 @@ def _(spark, d):
     return joins.lateral_top_n(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ("c_custkey", "o_custkey"), 3, [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("c_custkey", "o_orderkey")
 
 
+# Whole tables: the operators of named queries above and below whose texts read ranges or residues of keys ---------------------
+
+both("filter_comparison_whole", "SELECT p_partkey, p_size FROM {part} WHERE p_size >= 10 AND p_size < 40 AND p_size != 20 AND p_retailprice > 900")
+both("join_full_whole", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM {customer} WHERE c_acctbal > 0) c FULL JOIN (SELECT * FROM {supplier} WHERE s_acctbal > 0) s ON c_custkey = s_suppkey")
+both("join_self_whole", "SELECT a.c_mktsegment AS segment, a.c_nationkey AS nation, count(*) AS n, sum(b.c_custkey - a.c_custkey) AS apart FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey GROUP BY a.c_mktsegment, a.c_nationkey")
+
 # Set operations and CTEs -----------------------------------------------------------------------------------------------------
 
 for _name, _f, _sql in (("union_all", sets.union_all, "UNION ALL"), ("union_distinct", sets.union, "UNION"), ("intersect_distinct", sets.intersect, "INTERSECT"), ("except_distinct", sets.except_, "EXCEPT")):
@@ -155,6 +161,14 @@ for _name, _f, _sql in (("union_all", sets.union_all, "UNION ALL"), ("union_dist
 
     BOOK.add(_name, _run, f"SELECT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0 {_sql} SELECT s_nationkey FROM supplier")
 
+for _name, _f, _sql in (("union_all", sets.union_all, "UNION ALL"), ("union_distinct", sets.union, "UNION"), ("intersect_distinct", sets.intersect, "INTERSECT"), ("except_distinct", sets.except_, "EXCEPT")):
+
+    def _run(spark, d, f=_f):
+        return f(table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select("s_nationkey"))
+
+    BOOK.add(f"{_name}_whole", _run, f"SELECT c_nationkey AS k FROM customer {_sql} SELECT s_nationkey FROM supplier")
+
+both("set_chain_whole", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT r_regionkey FROM {region} UNION SELECT c_nationkey FROM {customer}")
 both("set_chain", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT r_regionkey FROM {region} UNION SELECT c_nationkey FROM {customer} WHERE c_custkey < 5")
 both("cte_single", "WITH big AS (SELECT * FROM {orders} WHERE o_totalprice > 200000) SELECT o_orderstatus, count(*) AS n FROM big GROUP BY o_orderstatus")
 both("cte_chain", "WITH a AS (SELECT o_custkey, sum(o_totalprice) AS s FROM {orders} GROUP BY o_custkey), b AS (SELECT max(s) AS m FROM a) SELECT o_custkey FROM a, b WHERE s = m")
@@ -177,3 +191,9 @@ def _(spark, d):
 def _(spark, d):
     edges = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_regionkey"), F.col("n_nationkey"))
     return recursive.recursive_union(spark.range(1).toDF("n"), lambda t: t.join(edges, F.col("n") % 5 == F.col("n_regionkey")).select("n_nationkey"))
+
+
+@query("recursive_graph_whole", "WITH RECURSIVE t(n) AS (SELECT CAST(0 AS BIGINT) UNION SELECT CAST(n_nationkey AS BIGINT) FROM t JOIN nation ON n_regionkey = t.n % 5) SELECT n FROM t")
+def _(spark, d):
+    edges = table(spark, d, "nation").select(F.col("n_regionkey"), F.col("n_nationkey"))
+    return recursive.recursive_union(spark.range(1).toDF("n"), lambda t: t.join(edges, F.col("n") % 5 == F.col("n_regionkey")).select("n_nationkey"))

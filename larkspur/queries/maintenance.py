@@ -79,6 +79,11 @@ def _(spark, d):
     return tables.orphans(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], table(spark, d, "customer").where("c_custkey % 7 <> 0"), ["c_custkey"])
 
 
+@query("fk_violations_whole", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def _(spark, d):
+    return tables.orphans(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], table(spark, d, "customer").where("c_acctbal > 0"), ["c_custkey"])
+
+
 @query("check_violations", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT coalesce(nullif(l_quantity, 50) < 40 AND l_discount <= 0.1, true)")
 def _(spark, d):
     return tables.check_violations(table(spark, d, "lineitem"), "nullif(l_quantity, 50) < 40 AND l_discount <= 0.1").select("l_orderkey", "l_linenumber")
