@@ -1,13 +1,13 @@
-"""Removal of word windows that an earlier document already has, by relative Lempel-Ziv parsing.
+"""Removal of word windows that an earlier document already has, by content-defined phrases.
 
-Documents are parsed into factors relative to an index of everything that stands in documents with smaller ids. Parsing each
-document against each block of the reference in turn costs the square of the corpus, so reference blocks are content-defined:
+This stands in place of a relative Lempel-Ziv parse: no longest match is searched. Parsing each document against each block of
+the reference in turn costs the square of the corpus, so reference blocks are content-defined:
 the window of ``WINDOW`` words belongs to the block of its anchor (the least hash of its ``GRAM``-word shingles), and a
 document's text meets just the blocks of its own anchors.
 
-* A *phrase* is a maximal run of consecutive windows with one anchor; it is the step of the greedy parse. A phrase that an
-  earlier document has as a whole is (part of) a factor: all its windows are duplicates. Adjoining ones make longer factors.
-* Where a phrase differs between documents, a factor begins or ends inside it. These *boundary* phrases, one copy of each
+* A *phrase* is a maximal run of consecutive windows with one anchor. Of a phrase that an earlier document has as a whole, all
+  windows are duplicates.
+* Where a phrase differs between documents, a repeat may begin or end inside it. These *boundary* phrases, one copy of each
   variant, are checked window by window.
 
 Both steps are equality shuffles of fixed-width hashes (128 bits decide); exact and near copies collapse to one variant by
