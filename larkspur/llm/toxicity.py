@@ -7,11 +7,17 @@ weights of the matches, without those inside an exception phrase, are summed, no
 The lexicon, the exception phrases and the mapping are learned from labelled training rows only: at most ``TOXIC_ROWS`` rows
 labelled toxic and ``CLEAN_ROWS`` labelled clean (the first by a hash of their id, one of each
 family of near copies), which is a documented bound for fitting a
-classifier. Scoring covers every text whole, in one pass without a shuffle.
+classifier. Within that sample nothing is cut off: every word or beginning in ``LEAST_SHARE`` of the toxic rows is a candidate.
+A candidate's precision is that among rows weighed so that both labels have the same mass, by its lower bound, so neutral words
+stand at one half at any mixture of labels. Candidates above ``LEAST_PRECISION`` become entries. Those that stand above
+``DOUBTFUL_PRECISION`` only are looked at for exception phrases: word pairs around them that hold ``EXCEPTION_SHARE`` of their
+clean rows and are hardly ever toxic; read without these, such a candidate may reach the bound.
+Scoring covers every text whole, in one pass without a shuffle.
 
 Defined cases: a null or wordless text has no matches and gets the score of such a text; a label row with a null id or label
 is left out, and repeated label rows for one id count as toxic if any is; without usable labels nothing is learned and every
-score is 0; every input row gives one row; other columns are ignored by ``score`` and kept by ``reject``.
+score is 0 (1 if all usable labels are toxic); an empty table gives an empty result; every input row gives one row; a text of
+any length is read whole; other columns are ignored by ``score`` and kept by ``reject``.
 """
 
 from __future__ import annotations
@@ -33,12 +39,12 @@ from larkspur.llm import common
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 #: Word beginnings of these lengths are candidates for the lexicon.
 BEGINNINGS = range(4, 9)
-#: Most entries of the lexicon, and most candidates whose frequencies are gathered.
-ENTRIES, CANDIDATES = 2000, 60_000
-#: A candidate occurs in this share of the toxic rows (3 rows at least), and texts with it are toxic this often, by a lower bound.
-LEAST_SHARE, LEAST_PRECISION = 0.003, 0.6
-#: Entries that reach only this bound are looked at for exception phrases, without which they may reach the other.
-DOUBTFUL_PRECISION = 0.3
+#: A candidate occurs in this share of the toxic rows (3 rows at least).
+LEAST_SHARE = 0.003
+#: Lower bounds of the precision, with equal masses of toxic and clean rows, of entries and of doubtful candidates.
+LEAST_PRECISION, DOUBTFUL_PRECISION = 0.8, 0.6
+#: An exception phrase holds this share of a doubtful candidate's clean rows (3 at least), and so many clean rows for one toxic row.
+EXCEPTION_SHARE, EXCEPTION_ODDS = 0.05, 10
 SLICE_BYTES = 4 << 20
 
 #: Look-alikes of Latin letters (Cyrillic, Greek, full width).
@@ -156,25 +162,31 @@ def _lower_bound(a: float, b: float) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, precision: float = LEAST_PRECISION) -> dict[str, float]:
-    """Lexicon from document frequencies; one entry stands for the longer ones that begin with it, and is left out where longer ones say it all."""
+def precision(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
+    """Lower bound of the share of toxic rows among those with a candidate, were there as many clean rows as toxic ones; neutral: one half."""
+    return _lower_bound(toxic * min(1.0, n_clean / max(n_toxic, 1)), clean * min(1.0, n_toxic / max(n_clean, 1)))
+
+
+def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, low: float = LEAST_PRECISION, high: float = 1.0) -> dict[str, float]:
+    """Candidates whose precision lies from ``low`` to below ``high``, with their weights, most frequent first.
+
+    One entry stands for the longer ones that begin with it, and is left out where longer ones say it all.
+    """
     kept: dict[str, float] = {}
-    taken: list[tuple[str, int]] = []
-    ranked = sorted(toxic, key=lambda e: (-toxic[e], clean.get(e, 0), -len(e.rstrip("*")), e))
-    for e in ranked:
+    said: Counter = Counter()  # rows of the taken entries, by their beginnings
+    for e in sorted(toxic, key=lambda e: (-toxic[e], clean.get(e, 0), -len(e.rstrip("*")), e)):
         a, b = toxic[e], clean.get(e, 0)
         stem = e.rstrip("*")
-        # rows are sampled by label, so clean rows weigh alike with toxic ones
-        if a < max(3, LEAST_SHARE * n_toxic) or _lower_bound(a, b * max(1.0, n_toxic / max(n_clean, 1))) < precision and not (b == 0 and a >= 4):
+        sure = b == 0 and a >= 4
+        if a < max(3, LEAST_SHARE * n_toxic) or not (low <= (1.0 if sure and high == 1.0 else precision(a, b, n_toxic, n_clean)) < high + (high == 1.0)):
             continue
-        if any(e != t and t.endswith("*") and stem.startswith(t[:-1]) for t, _ in taken):
+        if any(stem[:k] + "*" in kept for k in BEGINNINGS if k <= len(stem) and stem[:k] + "*" != e):
             continue
-        if sum(n for t, n in taken if t.rstrip("*").startswith(stem)) >= 0.8 * a:
+        if said[stem] >= 0.8 * a:
             continue
-        taken.append((e, a))
+        for k in range(1, len(stem) + 1):
+            said[stem[:k]] += a
         kept[e] = math.log((a + 0.5) / (n_toxic + 1)) - math.log((b + 0.5) / (n_clean + 1))
-        if len(kept) == ENTRIES:
-            break
     return {e: w for e, w in kept.items() if w > 0}
 
 
@@ -198,25 +210,27 @@ def _count(rows: DataFrame, only: set[str] | None, phrases: list[str] = ()) -> D
 
 
 def _phrases(rows: DataFrame, entries: dict[str, float]) -> DataFrame:
-    """(phrase, toxic, clean): document frequencies of word pairs around matches."""
+    """(entry, phrase, toxic, clean): document frequencies of the word pairs around matches of the entries, summed in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = {e for e in entries if not e.endswith("*")}
-        begin = {e[:-1] for e in entries if e.endswith("*")}
-        counts: Counter = Counter()
+        counts: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 found = set()
                 for reading in folded(text or ""):
                     words = reading.split()
                     for i, w in enumerate(words):
-                        if w in whole or any(w[:k] in begin for k in BEGINNINGS):
-                            found |= {" ".join(words[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(words) - 1}
-                counts.update((p, y) for p in found)
+                        for e in (w, *(w[:k] + "*" for k in BEGINNINGS if k <= len(w))):
+                            if e in entries:
+                                found |= {(e, " ".join(words[j : j + 2])) for j in (i - 1, i) if 0 <= j < len(words) - 1}
+                for x in found:
+                    counts.setdefault(x, [0, 0])[1 - y] += 1
         keys = list(counts)
-        yield pa.RecordBatch.from_pydict({"phrase": pa.array([p for p, _ in keys], pa.string()), "toxic": pa.array([counts[k] * (k[1] == 1) for k in keys], pa.int64()), "clean": pa.array([counts[k] * (k[1] == 0) for k in keys], pa.int64())})
+        for at in range(0, len(keys), 50_000):
+            part = keys[at : at + 50_000]
+            yield pa.RecordBatch.from_pydict({"entry": pa.array([e for e, _ in part], pa.string()), "phrase": pa.array([p for _, p in part], pa.string()), "toxic": pa.array([counts[k][0] for k in part], pa.int64()), "clean": pa.array([counts[k][1] for k in part], pa.int64())})
 
-    return rows.mapInArrow(run, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return rows.mapInArrow(run, "entry string, phrase string, toxic long, clean long").groupBy("entry", "phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,6 +253,14 @@ def _features(model: Model):
     return run
 
 
+def _exceptions(rows: DataFrame, doubtful: dict[str, float], clean: dict[str, int]) -> list[tuple[str, str]]:
+    """(candidate, phrase): phrases around doubtful candidates in which these are not toxic."""
+    if not doubtful:
+        return []
+    around = _phrases(rows, doubtful).where(F.col("clean") >= F.greatest(F.lit(3), EXCEPTION_ODDS * F.col("toxic")))
+    return [(r["entry"], r["phrase"]) for r in around.collect() if r["clean"] >= EXCEPTION_SHARE * clean.get(r["entry"], 0)]
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0) -> Model:
     """Learn from labelled rows whose crc32(doc_id as text) mod ``modulus`` is not ``held_out``."""
     common.prepare(docs.sparkSession)
@@ -255,15 +277,14 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     if not n1 or not n0:
         return Model(prior=1.0 if n1 else 0.0)
     first = _count(rows.where("y = 1"), None).where(F.col("n") >= max(3, LEAST_SHARE * n1))
-    toxic = {r["entry"]: int(r["n"]) for r in first.orderBy(F.col("n").desc(), "entry").limit(CANDIDATES).collect()}
+    toxic = {r["entry"]: int(r["n"]) for r in first.collect()}
     clean = {r["entry"]: int(r["n"]) for r in _count(rows.where("y = 0"), set(toxic)).collect()}
-    doubtful = choose(toxic, clean, n1, n0, DOUBTFUL_PRECISION)
-    around = _phrases(rows, doubtful).where("clean >= 3 and clean >= 10 * toxic").orderBy(F.col("clean").desc(), "phrase").limit(ENTRIES)
-    exceptions = [r["phrase"] for r in around.collect()]
+    exceptions = _exceptions(rows, choose(toxic, clean, n1, n0, DOUBTFUL_PRECISION, LEAST_PRECISION), clean)
     if exceptions:  # count again without them
-        names = set(toxic)
-        toxic, clean = ({r["entry"]: int(r["n"]) for r in _count(rows.where(f"y = {y}"), names, exceptions).collect()} for y in (1, 0))
-    model = Model(choose(toxic, clean, n1, n0), exceptions)
+        names, phrases = set(toxic), sorted({p for _, p in exceptions})
+        toxic, clean = ({r["entry"]: int(r["n"]) for r in _count(rows.where(f"y = {y}"), names, phrases).collect()} for y in (1, 0))
+    entries = choose(toxic, clean, n1, n0)
+    model = Model(entries, sorted({p for e, p in exceptions if e in entries}))
     got = rows.mapInArrow(_features(model), "y int, a double, b double, c double").toPandas()
     model.mapping = fit_mapping(got[["a", "b", "c"]].to_numpy(), got["y"].to_numpy(dtype=float))
     return model

@@ -301,6 +301,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == DOC.names and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
 
 
+def test_neutral_words_are_never_doubtful():
+    """Words as frequent in clean rows as in toxic ones stay out at any mixture of labels; a marked one is in."""
+    g = np.random.default_rng(3)
+    for n1, n0 in ((4000, 8000), (340, 2601), (3000, 1000)):
+        share = g.uniform(0.01, 0.9, 6000)
+        toxic = {f"w{i}": int(k) for i, k in enumerate(g.binomial(n1, share))}
+        clean = {f"w{i}": int(k) for i, k in enumerate(g.binomial(n0, share))}
+        assert not toxicity.choose(toxic, clean, n1, n0, toxicity.DOUBTFUL_PRECISION, toxicity.LEAST_PRECISION)
+        assert set(toxicity.choose(toxic | {"vile": n1 // 10}, clean | {"vile": n0 // 300}, n1, n0)) == {"vile"}
+        mixed = toxicity.choose(toxic | {"both": n1 // 5}, clean | {"both": n0 // 12}, n1, n0, toxicity.DOUBTFUL_PRECISION, toxicity.LEAST_PRECISION)
+        assert set(mixed) == {"both"}
+
+
+def test_toxicity_of_empty_and_long_texts(spark):
+    texts, labels = labelled_corpus()
+    model = toxicity.train(table(spark, texts), spark.createDataFrame([*enumerate(labels)], "doc_id long, toxic int"))
+    assert toxicity.score(table(spark, []), model).count() == 0 and toxicity.reject(table(spark, []), model).count() == 0
+    filler = "of the and " * 100_000
+    got = {r.doc_id: r.matches for r in toxicity.score(table(spark, [filler + "zorg", filler, filler + "zorg blarfle " * 50]), model).collect()}
+    assert got == {0: 1, 1: 0, 2: 100}
+
+
 def test_toxicity_without_labels(spark):
     model = toxicity.train(table(spark, ["a"]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert [r.score for r in toxicity.score(table(spark, ["a", None]), model).collect()] == [0.0, 0.0]
