@@ -1,23 +1,24 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 A text is read as its lower-cased words and one end token; ``DEPTH`` end tokens stand before it. The root of the tree is the
-base model, a word unigram with add-one smoothing. A context of up to ``DEPTH`` words is a state if its next-word distribution
-gains ``DIVERGENCE`` nats or more over its parent's (the context without its oldest word), summed over the context's own
-occurrences. A state's distribution keeps the next words that follow it ``LEAST_PAIR`` times or more in training and is
-smoothed by its parent's, with the weight of what was not kept and of the number of words kept. A word is scored in the state
-that is the longest suffix of what stands before it.
-
-Both floors are counts, not shares, so the tree grows with the training texts (each depth is counted in a pass of its own, over the
-positions whose shorter pairs may repeat). It is never gathered: counts, probabilities and
-states are tables, made depth by depth. As a pair's shorter pairs occur at least as often, its parent's probability is found by
-one join. The score of a text is a sum of one value a key over its words, contexts and pairs: a pair's value is what its state
-gains over the parent and the parent's weight. The most frequent keys (at most ``HEAD_WORDS`` words and as many contexts and
-pairs) are looked up in place; the rest of each document's keys are joined to their values. Words and contexts are told apart
-by 64-bit hashes.
-
-Defined cases: a null or empty text is just the end token; a row with a null id is neither trained on nor held out (its
-held_out is null); without training texts N and V are 0 and every token counts as unseen; each input row gives one row; other
-columns are ignored.
+base model, a word unigram with add-one smoothing. A context of up to ``DEPTH`` words is a state if its parent (the context
+without its oldest word) is one and its next-word distribution gains ``DIVERGENCE`` nats over the parent's for each word that it
+keeps, summed over the context's own occurrences. A state's distribution keeps the next words that follow it ``LEAST_PAIR`` times
+or more in training and is smoothed by its parent's, with the weight of what was not kept and of the number of words kept. A word
+is scored in the state that is the longest suffix of what stands before it.
+
+Both floors are counts, not shares, so the tree grows with the training texts. It is never gathered: counts, probabilities and
+states are tables, made depth by depth; a depth is counted only where its shorter pairs may repeat, in the pass that describes the
+pairs of the depth before. As a pair's shorter pairs occur at least as often, its parent's probability is found by one join. The
+score of a text is a sum of one value a key over its words, contexts and pairs: a pair's value is what its state gains over the
+parent and the parent's weight. As a state's parents are states, keys of a depth are looked up only where those of the depth before
+were there. The most frequent keys (at most ``HEAD_WORDS`` words and ``HEAD_KEYS`` contexts and pairs) are looked up in place; the
+rest of each document's keys are joined to their values. All counts are exact, so results do not depend on partitions. Words and
+contexts are told apart by 64-bit hashes.
+
+Defined cases: a null or empty text is just the end token; a text of any length is read whole; a row with a null id is neither
+trained on nor held out (its held_out is null); without training texts N and V are 0 and every token counts as unseen; an empty
+table gives an empty result; each input row gives one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,13 +35,11 @@ from pyspark.sql import functions as F
 from larkspur.llm import common
 
 DEPTH = 3
-LEAST_PAIR, DIVERGENCE = 2, 1.0
-HEAD_WORDS = 1_000_000
+LEAST_PAIR, DIVERGENCE = 2, 4.0
+HEAD_WORDS, HEAD_KEYS = 1_000_000, 2_000_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 2_000_000
-#: Least size of a training partition, as Spark estimates it.
-PARTITION_BYTES = 16 << 20
 #: Key of the end token among the word hashes.
 END_KEY = 0x5EED
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -72,8 +71,9 @@ class Grams:
     def _context(self, at: np.ndarray, depth: int) -> np.ndarray:
         return common.mix(common.SECOND.ranges(self.prefix, at - depth, at) + np.uint64(depth))
 
-    def context(self, depth: int) -> np.ndarray:
-        return common.signed(self._context(self.at, depth))
+    def context(self, depth: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Key of the ``depth`` words before each position."""
+        return common.signed(self._context(self.at if at is None else at, depth))
 
     def pair(self, depth: int, at: np.ndarray | None = None) -> np.ndarray:
         """Key of the word at each position after the context of this depth; depth 0: of the word alone."""
@@ -95,26 +95,46 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Grams]]:
         yield held
 
 
-def _counts(depths: tuple[int, ...], handle=None):
-    """(d, key, n) of the pairs of the given depths (0: of the words), summed within each chunk.
+#: A pair with what its probability depends on: its context, the key under which that context was counted, the pair of the next
+#: lower depth (at depth 1 the word), and the context's parent.
+PAIR_COLUMNS = ["context", "context_of", "parent", "above"]
+GRAM_SCHEMA = "d int, key long, n long, " + ", ".join(f"{c} long" for c in PAIR_COLUMNS)
 
-    With a map of the pairs of the next lower depth that occur ``LEAST_PAIR`` times, others are left out whose own pair or
-    context surely occurs less: a longer pair never occurs more often than its parts.
+
+def _grams(depth: int, handle=None):
+    """Rows of GRAM_SCHEMA, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and PAIR_COLUMNS of the pairs of the depth before.
+
+    ``handle`` is a map of the pairs of the depth before that occur ``LEAST_PAIR`` times. Pairs are left out whose own shorter
+    pair or whose context surely occurs less: a longer pair never occurs more often than its parts.
     """
 
+    def counts(d: int, keys: np.ndarray) -> pa.RecordBatch:
+        keys, n = np.unique(keys, return_counts=True)
+        none = pa.nulls(len(keys), pa.int64())
+        return pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(keys), d, dtype=np.int32)), "key": pa.array(keys), "n": pa.array(n.astype(np.int64)), **dict.fromkeys(PAIR_COLUMNS, none)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _chunks(batches):
-            for d in depths:
-                found = []
-                for g in parts:
-                    keys = g.pair(d)
-                    if handle is not None:
-                        hit = np.flatnonzero(common.bitmap_has(handle.value, g.pair(d - 1)))
-                        hit = hit[g.opening[hit] | common.bitmap_has(handle.value, g.pair(d - 1, g.at[hit] - 1))]
-                        keys = keys[hit]
-                    found.append(keys)
-                keys, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(keys), d, dtype=np.int32)), "key": pa.array(keys), "n": pa.array(n.astype(np.int64))})
+            if depth == 1:
+                for d in (0, 1):
+                    yield counts(d, np.concatenate([g.pair(d) for g in parts]))
+                continue
+            before, described, found = depth - 1, [], []
+            for g in parts:
+                keys = g.pair(before)
+                hit = np.flatnonzero(common.bitmap_has(handle.value, keys))
+                at = g.at[hit]
+                of = g.pair(before - 1, at - 1)
+                # the context of a text's first word occurs once a text, as its end token does
+                described.append((keys[hit], g.context(before, at), np.where(g.opening[hit], np.int64(END_KEY), of), g.pair(before - 1, at), g.context(before - 1, at)))
+                if depth <= DEPTH:
+                    ok = g.opening[hit] | common.bitmap_has(handle.value, g.pair(before, at - 1))
+                    found.append(g.pair(depth, at[ok]))
+            if depth <= DEPTH:
+                yield counts(depth, np.concatenate(found))
+            columns = [np.concatenate(x) for x in zip(*described, strict=True)]
+            keys, first = np.unique(columns[0], return_index=True)
+            yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(keys), before, dtype=np.int32)), "key": pa.array(keys), "n": pa.array(np.zeros(len(keys), dtype=np.int64)), **{c: pa.array(x[first]) for c, x in zip(PAIR_COLUMNS, columns[1:], strict=True)}})
 
     return run
 
@@ -139,44 +159,23 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-#: A pair with what its probability depends on: its context, the key under which that context was counted, and the pair of the
-#: next lower depth (at depth 1 the word).
-PAIR_COLUMNS = ["context", "context_of", "parent"]
-
-
-def _described(handle, d: int):
-    """PAIR_COLUMNS of the pairs of one depth in the map, each once a chunk."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in _chunks(batches):
-            rows = []
-            for g in parts:
-                keys = g.pair(d)
-                hit = np.flatnonzero(common.bitmap_has(handle.value, keys))
-                # the context of a text's first word occurs once a text, as its end token does
-                of = np.where(g.opening[hit], np.int64(END_KEY), g.pair(d - 1, g.at[hit] - 1))
-                rows.append((keys[hit], g.context(d)[hit], of, g.pair(d - 1)[hit]))
-            columns = [np.concatenate(x) for x in zip(*rows, strict=True)]
-            keys, first = np.unique(columns[0], return_index=True)
-            yield pa.RecordBatch.from_pydict({"pair": pa.array(keys)} | {c: pa.array(x[first]) for c, x in zip(PAIR_COLUMNS, columns[1:], strict=True)})
-
-    return run
-
-
 def _grown(pairs: DataFrame, sums: DataFrame, root: float) -> DataFrame:
     """(state, key, n, logp, value): states with the log10 weight of their parent, and their pairs with the log10 probability; parents first."""
     below = sums.where("d = 0").select(F.col("key").alias("parent"), ((F.col("n") + 1) / root).alias("m"))
-    out = []
+    out, parents = [], None
     for d in range(1, DEPTH + 1):
         g = pairs.where(F.col("d") == d).drop("d").join(below, "parent")
         counted = sums.where((F.col("d") == d - 1) | (F.col("key") == END_KEY)).select(F.col("key").alias("context_of"), F.col("n").alias("seen"))
-        c = g.groupBy("context").agg(F.sum("n").alias("kept"), F.count("*").alias("number"), F.min("context_of").alias("context_of")).join(counted, "context_of", "left")
-        c = c.select("context", "kept", "number", F.greatest("kept", F.coalesce("seen", "kept")).alias("count")).withColumn("beta", F.col("number") + F.col("count") - F.col("kept"))
-        g = g.join(c, "context").withColumn("p", (F.col("n") + F.col("beta") * F.col("m")) / (F.col("kept") + F.col("beta")))
-        g = common.stored(g.select("context", "pair", "n", "count", "m", "p", (F.col("beta") / (F.col("kept") + F.col("beta"))).alias("rest")))
+        c = g.groupBy("context").agg(F.sum("n").alias("kept"), F.count("*").alias("number"), F.min("context_of").alias("context_of"), F.min("above").alias("above")).join(counted, "context_of", "left")
+        c = c.select("context", "above", "kept", "number", F.greatest("kept", F.coalesce("seen", "kept")).alias("count")).withColumn("beta", F.col("number") + F.col("count") - F.col("kept"))
+        if parents is not None:
+            c = c.join(parents, "above", "left_semi")
+        g = g.join(c.drop("above"), "context", "left").withColumn("p", F.coalesce((F.col("n") + F.col("beta") * F.col("m")) / (F.col("kept") + F.col("beta")), "m"))
+        g = common.stored(g.select("context", "pair", "n", "count", "number", "m", "p", (F.col("beta") / (F.col("kept") + F.col("beta"))).alias("rest")))
         gain = F.sum(F.col("p") * F.log(F.col("p") / F.col("m"))) + F.greatest(1 - F.sum("p"), F.lit(1e-12)) * F.log(F.greatest(F.max("rest"), F.lit(1e-12)))
-        states = g.groupBy("context").agg(F.max("count").alias("n"), F.max("rest").alias("rest"), gain.alias("gain")).where(F.col("n") * F.col("gain") >= DIVERGENCE)
+        states = g.where("rest is not null").groupBy("context").agg(F.max("count").alias("n"), F.max("number").alias("number"), F.max("rest").alias("rest"), gain.alias("gain")).where(F.col("n") * F.col("gain") >= DIVERGENCE * F.col("number"))
         states = common.stored(states.select(F.col("context").alias("key"), "n", F.log10("rest").alias("value")))
+        parents = states.select(F.col("key").alias("above"))
         g = g.join(states.select(F.col("key").alias("context"), F.col("value").alias("weight")), "context", "left")
         g = common.stored(g.select("pair", "n", F.when(F.col("weight").isNull(), F.col("m")).otherwise(F.col("p")).alias("p"), (F.log10("p") - F.log10("m") - F.col("weight")).alias("value")))
         out.append(states.select(F.lit(True).alias("state"), "key", "n", F.lit(None).cast("double").alias("logp"), "value"))
@@ -190,32 +189,23 @@ def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """The table of _grown of the training rows; (key, n) of their tokens; N and V."""
     spark = docs.sparkSession
     common.prepare(spark)
-    # many small partitions make chunks in which little repeats: they are read together, without a shuffle
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    docs = docs.coalesce(min(max(spark.sparkContext.defaultParallelism, size // PARTITION_BYTES + 1), 2**31 - 1))
-    # a depth at a time, each dealt out before it is summed, as few keys repeat within a task
-    made, handle = [], None
-    for d in range(1, DEPTH + 1):
-        counted = docs.select("text").mapInArrow(_counts((0, 1) if d == 1 else (d,), handle), "d int, key long, n long").repartition("key").groupBy("d", "key").agg(F.sum("n").alias("n"))
-        made.append(common.stored(counted.where((F.col("d") == 0) | (F.col("n") >= LEAST_PAIR))))
-        del counted
+    counted, described, handle = [], [], None
+    for depth in range(1, DEPTH + 2):
+        # dealt out before it is summed, as few keys repeat within a task
+        rows = docs.select("text").mapInArrow(_grams(depth, handle), GRAM_SCHEMA).repartition("key")
+        rows = rows.groupBy("d", "key").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in PAIR_COLUMNS])
+        rows = common.stored(rows.where((F.col("n") >= LEAST_PAIR) | (F.col("d") == 0) | F.col("context").isNotNull()))
         common.release(spark)
-        if d < DEPTH:
-            handle = spark.sparkContext.broadcast(common.membership_bitmap(made[-1].where(F.col("d") == d), "key"))
-    sums = reduce(DataFrame.unionByName, made)
+        counted.append(rows.where("context is null").select("d", "key", "n"))
+        if depth > 1:
+            frequent = counted[-2].where(F.col("d") == depth - 1).select(F.col("key").alias("pair"), "n")
+            described.append(rows.where("context is not null").select("d", F.col("key").alias("pair"), *PAIR_COLUMNS).join(frequent, "pair"))
+        if depth <= DEPTH:
+            handle = spark.sparkContext.broadcast(common.membership_bitmap(counted[-1].where(F.col("d") == depth), "key"))
+    sums = reduce(DataFrame.unionByName, counted)
     tokens = sums.where("d = 0").select("key", "n")
     total, distinct = (int(x or 0) for x in tokens.agg(F.sum("n"), F.count("*")).first())
-    pairs = []
-    for d in range(1, DEPTH + 1):
-        frequent = sums.where(F.col("d") == d).select(F.col("key").alias("pair"), "n")
-        wanted = spark.sparkContext.broadcast(common.membership_bitmap(frequent, "pair"))
-        described = docs.select("text").mapInArrow(_described(wanted, d), "pair long, " + ", ".join(f"{c} long" for c in PAIR_COLUMNS))
-        described = described.repartition("pair").groupBy("pair").agg(*[F.min(c).alias(c) for c in PAIR_COLUMNS])
-        pairs.append(common.stored(described.join(frequent, "pair").withColumn("d", F.lit(d))))
-        del described
-        common.release(spark)
-    pairs = reduce(DataFrame.unionByName, pairs)
-    return _grown(pairs, sums, float(total + distinct + 1)), tokens, total, distinct
+    return _grown(reduce(DataFrame.unionByName, described), sums, float(total + distinct + 1)), tokens, total, distinct
 
 
 def train(docs: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Tree, DataFrame, int, int, float]:
@@ -247,9 +237,36 @@ def _head(keys: DataFrame, limit: int, value: str = "n") -> tuple[np.ndarray, np
     return found[order], values[order], float(least)
 
 
+class Lookup:
+    """Sorted keys with values, found through the offsets of their leading bits, as keys are hashes."""
+
+    def __init__(self, keys: np.ndarray, value: np.ndarray):
+        order = np.argsort(keys.view(np.uint64), kind="stable")
+        self.keys, self.value = keys.view(np.uint64)[order], value[order]
+        self.bits = max(1, len(keys).bit_length())
+        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        self.first = np.append(np.searchsorted(self.keys, edges), len(keys)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its value (0 where it is not)."""
+        u, there, value = keys.view(np.uint64), np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
+        bucket = (u >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        live = np.flatnonzero(at < end)
+        at, end, u = at[live], end[live], u[live]
+        while len(live):
+            same = self.keys[at] == u
+            there[live[same]] = True
+            value[live[same]] = self.value[at[same]]
+            at = at + 1
+            on = ~same & (at < end)
+            live, at, end, u = live[on], at[on], end[on], u[on]
+        return there, value
+
+
 @dataclass
 class Head:
-    """Sorted keys looked up in place, with their values: words with log10(c + 1), contexts and pairs; and the map of the other contexts and pairs."""
+    """Keys looked up in place, with their values: words with log10(c + 1), contexts and pairs; and the map of the other contexts and pairs."""
 
     words: np.ndarray
     gain: np.ndarray
@@ -257,23 +274,35 @@ class Head:
     value: np.ndarray
     others: np.ndarray
 
+    def lookups(self) -> tuple[Lookup, Lookup]:
+        return Lookup(self.words, self.gain), Lookup(self.keys, self.value)
+
 
-def _scored(head: Head, texts: list[bytes | None], root: float) -> tuple[np.ndarray, ...]:
+def _scored(head: tuple[Lookup, Lookup], others: np.ndarray, texts: list[bytes | None], root: float) -> tuple[np.ndarray, ...]:
     """By text: tokens, known tokens, base and score but for the keys outside the head; those keys and where each text's begin."""
     tokens, begin = tokens_of(texts)
     g, n = Grams(tokens, begin), len(texts)
     words = g.pair(0)
-    at, known = find(head.words, words)
-    base = (np.where(known, head.gain[at], 0.0) if len(head.words) else np.zeros(len(at))) - root
+    known, gain = head[0].find(words)
+    base = gain - root
     value, keys, owner = base.copy(), [words[~known]], [g.text[~known]]
+
+    def add(places: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Add the values of keys at these places; the places whose key is there, or may be in the tables."""
+        there, v = head[1].find(k)
+        value[places] += v
+        rest = np.flatnonzero(~there)
+        rest = rest[common.bitmap_has(others, k[rest])]
+        keys.append(k[rest])
+        owner.append(g.text[places[rest]])
+        there[rest] = True
+        return places[there]
+
+    inside = paired = np.arange(len(g.at))  # positions in a state of the depth before; those whose word it keeps
     for d in range(1, DEPTH + 1):
-        for k in (g.pair(d), g.context(d)):
-            at, there = find(head.keys, k)
-            value[there] += head.value[at[there]]
-            rest = np.flatnonzero(~there)
-            rest = rest[common.bitmap_has(head.others, k[rest])]
-            keys.append(k[rest])
-            owner.append(g.text[rest])
+        inside = add(inside, g.context(d, g.at[inside]))
+        paired = paired[np.isin(paired, inside, assume_unique=True)] if len(inside) < len(g.at) else paired
+        paired = add(paired, g.pair(d, g.at[paired]))
     total = [np.bincount(g.text, weights=x, minlength=n) for x in (base, value)]
     of = np.concatenate(owner)
     order = np.argsort(of, kind="stable")
@@ -281,12 +310,12 @@ def _scored(head: Head, texts: list[bytes | None], root: float) -> tuple[np.ndar
     return np.diff(begin) - DEPTH, np.bincount(g.text[known], minlength=n), *total, np.concatenate(keys)[order], bounds
 
 
-def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, head_keys: int = HEAD_KEYS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learned from the rows of training."""
     spark = docs.sparkSession
     grown, tokens, total, distinct = tables(training)
     words, counts, least = _head(tokens, head_words)
-    keys, values, least_key = _head(grown, head_words, "value")
+    keys, values, least_key = _head(grown, head_keys, "value")
 
     def tail(x: DataFrame, above: float) -> DataFrame:
         return x.where(F.floor(F.log2("n") * 4) < above)
@@ -297,10 +326,11 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS) ->
     root = float(np.log10(total + distinct + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = handle.value.lookups()
         for whole in batches:
             for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
                 texts = common.texts_as_bytes(batch.column("text")).to_pylist()
-                n, known, base, value, keys, bounds = _scored(handle.value, texts, root)
+                n, known, base, value, keys, bounds = _scored(head, handle.value.others, texts, root)
                 if complete:
                     keys, bounds = keys[:0], np.zeros_like(bounds)
                 rest = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys))

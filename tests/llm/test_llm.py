@@ -413,7 +413,7 @@ def test_personal_data(spark):
 def test_scores(spark, texts):
     docs = table(spark, texts)
     fold = common.train_split(F.col("doc_id"), 7)
-    rows = {head: language_model.score(docs, docs.where(fold != 2), head_words=head).orderBy("doc_id").collect() for head in (10**6, 10)}
+    rows = {head: language_model.score(docs, docs.where(fold != 2), head, head).orderBy("doc_id").collect() for head in (10**6, 10)}
     tokens = [[*(t or "").encode().lower().split(), b"\n"] for t in texts]
     counts = Counter(w for i, ws in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
     n, v = sum(counts.values()), len(counts)
@@ -459,7 +459,7 @@ def test_pairs_are_kept_by_count_at_any_size(spark):
     tree, *_ = language_model.train(docs)
     g = language_model.Grams(*language_model.tokens_of([b"rare words stand here together"]))
     assert language_model.find(tree.pairs, g.pair(1)[1:5])[1].all()  # 1e-5 of all positions is above 3
-    got = {head: {x.doc_id: x.score for x in language_model.score(docs, docs, head_words=head).collect()} for head in (10**6, 30)}
+    got = {head: {x.doc_id: x.score for x in language_model.score(docs, docs, head, head).collect()} for head in (10**6, 30)}
     assert all(abs(got[30][i] - x) < 1e-6 for i, x in got[10**6].items())
     root = math.log10(150 * 2001 + 4 * 6 + len(tree.words) + 1)
     want = 0.0
