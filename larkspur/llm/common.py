@@ -191,6 +191,31 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, family:
     return mix(family.ranges(p, starts, ends) + (ends - starts).astype(np.uint64))
 
 
+def buckets(keys: np.ndarray, n: int) -> np.ndarray:
+    """Number of the one of ``n`` equal ranges of all 64-bit keys that holds each key; ascending with the key."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted unsigned keys as their differences, in as many bytes each as the largest one takes."""
+    if not len(keys):
+        return b""
+    step = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, (int(step[1:].max(initial=0)).bit_length() + 7) // 8)
+    return keys[:1].tobytes() + bytes([width]) + np.ascontiguousarray(step[1:].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=np.uint64)
+    width = data[8]
+    body = np.frombuffer(data, dtype=np.uint8, offset=9).reshape(-1, width)
+    step = np.zeros((len(body) + 1, 8), dtype=np.uint8)
+    step[1:, :width] = body
+    step[0] = np.frombuffer(data, dtype=np.uint8, count=8)
+    return np.cumsum(step.view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -29,17 +29,20 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import common
 
 DEPTH = 3
-LEAST_PAIR, DIVERGENCE = 2, 4.0
+LEAST_PAIR, DIVERGENCE = 3, 2.0
 HEAD_WORDS, HEAD_KEYS = 1_000_000, 2_000_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 2_000_000
+#: Keys outside the head that are gathered before they are dealt out.
+ASKED = 1_000_000
 #: Key of the end token among the word hashes.
 END_KEY = 0x5EED
 _ODD = np.uint64(0x9FB21C651E98DF25)
@@ -99,19 +102,35 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Grams]]:
 #: lower depth (at depth 1 the word), and the context's parent.
 PAIR_COLUMNS = ["context", "context_of", "parent", "above"]
 GRAM_SCHEMA = "d int, key long, n long, " + ", ".join(f"{c} long" for c in PAIR_COLUMNS)
+#: A sorted run of keys of one bucket (a range of keys): packed keys, their counts, and, one after the other, PAIR_COLUMNS or nothing.
+RUN_SCHEMA = "d int, bucket int, keys binary, n binary, columns binary"
 
 
-def _grams(depth: int, handle=None):
-    """Rows of GRAM_SCHEMA, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and PAIR_COLUMNS of the pairs of the depth before.
+def _run_rows(d: int, keys: np.ndarray, n: np.ndarray | None, columns: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+    """Rows of RUN_SCHEMA of sorted unsigned keys."""
+    cuts = _cut(keys, n_buckets)
+    small = n is not None and n.max(initial=0) < 256
+    return pa.RecordBatch.from_pydict(
+        {
+            "d": pa.array([d] * len(cuts), pa.int32()),
+            "bucket": pa.array([x for x, _, _ in cuts], pa.int32()),
+            "keys": pa.array([common.packed(keys[a:b]) for _, a, b in cuts], pa.binary()),
+            "n": pa.array([None if n is None else n[a:b].astype(np.uint8 if small else np.int64).tobytes() for _, a, b in cuts], pa.binary()),
+            "columns": pa.array([b"".join(c[a:b].tobytes() for c in columns) for _, a, b in cuts], pa.binary()),
+        }
+    )
+
+
+def _grams(depth: int, n_buckets: int, handle=None):
+    """Runs, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and PAIR_COLUMNS of the pairs of the depth before.
 
     ``handle`` is a map of the pairs of the depth before that occur ``LEAST_PAIR`` times. Pairs are left out whose own shorter
     pair or whose context surely occurs less: a longer pair never occurs more often than its parts.
     """
 
     def counts(d: int, keys: np.ndarray) -> pa.RecordBatch:
-        keys, n = np.unique(keys, return_counts=True)
-        none = pa.nulls(len(keys), pa.int64())
-        return pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(keys), d, dtype=np.int32)), "key": pa.array(keys), "n": pa.array(n.astype(np.int64)), **dict.fromkeys(PAIR_COLUMNS, none)})
+        keys, n = np.unique(keys.view(np.uint64), return_counts=True)
+        return _run_rows(d, keys, n, [], n_buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _chunks(batches):
@@ -133,12 +152,43 @@ def _grams(depth: int, handle=None):
             if depth <= DEPTH:
                 yield counts(depth, np.concatenate(found))
             columns = [np.concatenate(x) for x in zip(*described, strict=True)]
-            keys, first = np.unique(columns[0], return_index=True)
-            yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(keys), before, dtype=np.int32)), "key": pa.array(keys), "n": pa.array(np.zeros(len(keys), dtype=np.int64)), **{c: pa.array(x[first]) for c, x in zip(PAIR_COLUMNS, columns[1:], strict=True)}})
+            keys, first = np.unique(columns[0].view(np.uint64), return_index=True)
+            yield _run_rows(before, keys, None, [x[first] for x in columns[1:]], n_buckets)
 
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs dealt out by bucket -> rows of GRAM_SCHEMA: sums of at least ``LEAST_PAIR`` (of words: all), and each described pair once."""
+    held: dict[tuple, list] = {}
+    for batch in batches:
+        for d, bucket, keys, n, columns in zip(*(batch.column(c).to_pylist() for c in ("d", "bucket", "keys", "n", "columns")), strict=True):
+            held.setdefault((d, bucket, n is None), []).append((keys, n, columns))
+    while held:
+        (d, _, described), runs = held.popitem()
+        keys = [common.unpacked(k) for k, _, _ in runs]
+        if described:
+            columns = [np.concatenate(x) for x in zip(*(np.frombuffer(c, dtype=np.int64).reshape(len(PAIR_COLUMNS), -1) for _, _, c in runs), strict=True)]
+            unique, first = np.unique(np.concatenate(keys), return_index=True)
+            made = [np.zeros(len(unique), dtype=np.int64), *(c[first] for c in columns)]
+        else:
+            n = np.concatenate([np.frombuffer(n, dtype=np.uint8 if len(n) == len(k) else np.int64).astype(np.int64) for k, (_, n, _) in zip(keys, runs, strict=True)])
+            every = np.concatenate(keys)
+            order = np.argsort(every)
+            every, n = every[order], n[order]
+            head = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, dtype=np.int64)
+            total = np.add.reduceat(n, head) if len(head) else n
+            keep = total >= (LEAST_PAIR if d else 1)
+            unique, total = every[head][keep], total[keep]
+            made = [total, *[pa.nulls(len(unique), pa.int64())] * len(PAIR_COLUMNS)]
+        yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(unique), d, dtype=np.int32)), "key": pa.array(common.signed(unique)), **{c: x if isinstance(x, pa.Array) else pa.array(x) for c, x in zip(["n", *PAIR_COLUMNS], made, strict=True)}})
+
+
+def _dealt(spark: SparkSession) -> int:
+    """Partitions that runs are dealt out to; buckets are three times as many, so a partition's are alike in size and are merged one by one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+
 @dataclass
 class Tree:
     """Sorted tables: words with the gain log10(c + 1); states with the log10 weight of the parent; pairs with log10 P."""
@@ -191,10 +241,9 @@ def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     common.prepare(spark)
     counted, described, handle = [], [], None
     for depth in range(1, DEPTH + 2):
-        # dealt out before it is summed, as few keys repeat within a task
-        rows = docs.select("text").mapInArrow(_grams(depth, handle), GRAM_SCHEMA).repartition("key")
-        rows = rows.groupBy("d", "key").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in PAIR_COLUMNS])
-        rows = common.stored(rows.where((F.col("n") >= LEAST_PAIR) | (F.col("d") == 0) | F.col("context").isNotNull()))
+        n = _dealt(spark)
+        rows = docs.select("text").mapInArrow(_grams(depth, 3 * n, handle), RUN_SCHEMA).repartition(n, "bucket").mapInArrow(_merged, GRAM_SCHEMA)
+        rows = common.stored(rows)
         common.release(spark)
         counted.append(rows.where("context is null").select("d", "key", "n"))
         if depth > 1:
@@ -325,31 +374,118 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, he
     complete = len(words) == distinct and not others.any()
     root = float(np.log10(total + distinct + 1.0))
 
+    kind, n = docs.schema["doc_id"].dataType.simpleString(), _dealt(spark)
+    sums = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
+    schema = f"row long, doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in sums.items())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = handle.value.lookups()
+        row, held, size = TaskContext.get().partitionId() << 40, [], 0
         for whole in batches:
             for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
                 texts = common.texts_as_bytes(batch.column("text")).to_pylist()
-                n, known, base, value, keys, bounds = _scored(head, handle.value.others, texts, root)
-                if complete:
-                    keys, bounds = keys[:0], np.zeros_like(bounds)
-                rest = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(value), "rest": rest})
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rest array<long>")
-    if not complete:
-        rows = common.stored(rows.withColumn("row", F.monotonically_increasing_id()))
+                n_tokens, known, base, value, keys, bounds = _scored(head, handle.value.others, texts, root)
+                rows = row + np.arange(len(texts))
+                row += len(texts)
+                none = pa.nulls(len(texts), pa.binary())
+                made = {"row": pa.array(rows), "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(value)}
+                yield pa.RecordBatch.from_pydict(made if complete else made | {"bucket": pa.array((rows % (3 * n)).astype(np.int32)), "keys": none, "columns": none})
+                if not complete:
+                    held.append((keys.view(np.uint64), np.repeat(rows, np.diff(bounds))))
+                    size += len(keys)
+                    if size >= ASKED:
+                        yield _asked(held, 3 * n, batch.column("doc_id").type)
+                        held, size = [], 0
+        if size:
+            yield _asked(held, 3 * n, batch.column("doc_id").type)
+
+    rows = docs.select("doc_id", "text")
+    if complete:
+        rows = rows.mapInArrow(run, schema)
+    else:
         gain = F.log10(F.col("n") + 1.0)
-        worth = tail(tokens, least).select("key", gain.alias("b"), gain.alias("s"), F.lit(1).alias("k"))
-        worth = worth.unionByName(tail(grown, least_key).select("key", F.lit(0.0).alias("b"), F.col("value").alias("s"), F.lit(0).alias("k")))
-        found = rows.select("row", F.explode("rest").alias("key")).join(worth, "key")
-        more = found.groupBy("row").agg(F.sum("b").alias("more_base"), F.sum("s").alias("more_score"), F.sum("k").alias("more_known"))
-        rows = rows.drop("rest").join(more, "row", "left").fillna(0)
-        rows = rows.withColumns({"n_known": F.col("n_known") + F.col("more_known"), "base_score": F.col("base_score") + F.col("more_base"), "score": F.col("score") + F.col("more_score")})
+        worth = tail(tokens, least).select("key", gain.alias("b"), gain.alias("s"), F.lit(True).alias("word"))
+        worth = worth.unionByName(tail(grown, least_key).select("key", F.lit(0.0).alias("b"), F.col("value").alias("s"), F.lit(False).alias("word")))
+        asked = rows.mapInArrow(run, f"{schema}, bucket int, keys binary, columns binary")
+        known = worth.mapInArrow(_known(3 * n, asked.schema), asked.schema)
+        rows = asked.unionByName(known).repartition(n, "bucket").mapInArrow(_answered, schema)
+        rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in sums])
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _rows(row, doc_id: pa.Array, sums: list, bucket, keys: list, columns: list) -> pa.RecordBatch:
+    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "bucket", "keys", "columns"]
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), doc_id, *sums, pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(columns, pa.binary())], names=names)
+
+
+def _cut(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted keys."""
+    of = common.buckets(keys, n_buckets)
+    head = np.flatnonzero(np.diff(of, prepend=-1))
+    return list(zip(of[head].tolist(), head.tolist(), [*head[1:].tolist(), len(keys)], strict=True)) if len(head) else []
+
+
+def _asked(held: list, n_buckets: int, kind: pa.DataType) -> pa.RecordBatch:
+    """Keys that rows look for, a run a bucket; row: the least one of the run; columns: each key's row from there."""
+    keys, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys, rows = keys[order], rows[order]
+    cuts, first = _cut(keys, n_buckets), int(rows.min()) if len(rows) else 0
+    none = [pa.nulls(len(cuts), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+    return _rows([first] * len(cuts), pa.nulls(len(cuts), kind), none, [c for c, _, _ in cuts], [common.packed(keys[a:b]) for _, a, b in cuts], [(rows[a:b] - first).astype(np.uint32).tobytes() for _, a, b in cuts])
+
+
+def _known(n_buckets: int, schema):
+    """Rows (key, b, s, word) of the tables as runs of their values; row: null."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, b, s, word = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            order = np.argsort(keys.view(np.uint64))
+            keys, b, s, word = keys.view(np.uint64)[order], b[order], s[order], word[order]
+            cuts = _cut(keys, n_buckets)
+            none = [pa.nulls(len(cuts), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield _rows([None] * len(cuts), pa.nulls(len(cuts), kind), none, [c for c, _, _ in cuts], [common.packed(keys[x:y]) for _, x, y in cuts], [b[x:y].tobytes() + s[x:y].tobytes() + word[x:y].tobytes() for _, x, y in cuts])
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs dealt out by bucket -> the sums of each row's keys in a bucket; rows of documents pass through."""
+    tables_, asked = {}, {}
+    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
+    kind = None
+    for batch in batches:
+        kind = batch.column("doc_id").type
+        plain = batch.filter(pa.compute.is_null(batch.column("keys")))
+        if plain.num_rows:
+            yield plain.select(names)
+        runs = batch.filter(pa.compute.is_valid(batch.column("keys")))
+        for row, bucket, keys, columns in zip(*(runs.column(c).to_pylist() for c in ("row", "bucket", "keys", "columns")), strict=True):
+            (tables_ if row is None else asked).setdefault(bucket, []).append((row, keys, columns))
+    while asked:
+        bucket, wanted = asked.popitem()
+        parts = [(common.unpacked(k), c) for _, k, c in tables_.pop(bucket, [])]
+        if not parts:
+            continue
+        keys, b, s, word = (np.concatenate(x) for x in zip(*((k, np.frombuffer(c, count=len(k)), np.frombuffer(c, count=len(k), offset=8 * len(k)), np.frombuffer(c, dtype=bool, offset=16 * len(k))) for k, c in parts), strict=True))
+        order = np.argsort(keys)
+        keys, b, s, word = keys[order], b[order], s[order], word[order]
+        for first, k, c in wanted:
+            mine, rows = common.unpacked(k), np.frombuffer(c, dtype=np.uint32).astype(np.int64)
+            at, there = find(keys, mine)
+            at, rows = at[there], rows[there]
+            out, of = np.unique(rows, return_inverse=True)
+            n = len(out)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out + first), pa.nulls(n, kind), pa.array(np.zeros(n, dtype=np.int64)), pa.array(np.bincount(of, weights=word[at], minlength=n).astype(np.int64)), pa.array(np.bincount(of, weights=b[at], minlength=n)), pa.array(np.bincount(of, weights=s[at], minlength=n))],
+                names=names,
+            )
+
+
 def op8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document, learned from six sevenths of the ids."""
     docs = common.documents(spark, sf_dir)
