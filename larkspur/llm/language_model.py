@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from larkspur.llm import common
 
@@ -40,12 +41,13 @@ LEAST_PAIR, DIVERGENCE = 3, 2.0
 HEAD_WORDS, HEAD_KEYS = 1_000_000, 2_000_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Keys outside the head that are gathered before they are dealt out.
 ASKED = 1_000_000
+#: A state's key among the looked-up ones is its context's key with these bits turned, as pairs and words have the plain ones.
+STATE_BITS = 0x2545F4914F6CDD1D
 #: Key of the end token among the word hashes.
 END_KEY = 0x5EED
-_ODD = np.uint64(0x9FB21C651E98DF25)
 
 
 def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,27 +63,44 @@ def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Grams:
-    """Contexts and pairs of a run of tokens at its scored positions, as keys by depth."""
+    """Contexts and pairs of a run of tokens at its scored positions, as keys by depth; a context has the key of the pair that it is."""
 
     def __init__(self, tokens: np.ndarray, begin: np.ndarray):
         scored = np.ones(len(tokens), dtype=bool)
         scored[(begin[:-1, None] + np.arange(DEPTH)).ravel()] = False
-        self.tokens, self.prefix = tokens, common.SECOND.prefix(tokens)
+        self.tokens, self.prefix, self.begin = tokens, common.SECOND.prefix(tokens), begin
         self.at = np.flatnonzero(scored)
-        self.text = np.searchsorted(begin, self.at, side="right") - 1
-        self.opening = np.diff(self.text, prepend=-1) != 0
 
-    def _context(self, at: np.ndarray, depth: int) -> np.ndarray:
-        return common.mix(common.SECOND.ranges(self.prefix, at - depth, at) + np.uint64(depth))
+    @property
+    def text(self) -> np.ndarray:
+        """Number of the text of each scored position."""
+        return np.repeat(np.arange(len(self.begin) - 1), np.diff(self.begin) - DEPTH)
+
+    def opening(self, at: np.ndarray) -> np.ndarray:
+        """Whether a position is a text's first scored one."""
+        out = np.zeros(len(self.tokens), dtype=bool)
+        out[self.begin[:-1] + DEPTH] = True
+        return out[at]
 
     def context(self, depth: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Key of the ``depth`` words before each position."""
-        return common.signed(self._context(self.at if at is None else at, depth))
+        """Key of the ``depth`` words before each position; none at depth 0."""
+        at = self.at if at is None else at
+        return self.pair(depth - 1, at - 1) if depth else np.zeros(len(at), dtype=np.int64)
+
+    def state(self, depth: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Key under which the state of the ``depth`` words before each position is looked up."""
+        return self.context(depth, at) ^ np.int64(STATE_BITS)
 
     def pair(self, depth: int, at: np.ndarray | None = None) -> np.ndarray:
         """Key of the word at each position after the context of this depth; depth 0: of the word alone."""
         at = self.at if at is None else at
-        return common.signed(common.mix(self._context(at, depth) * _ODD + self.tokens[at]) if depth else self.tokens[at])
+        return common.signed(common.mix(common.SECOND.ranges(self.prefix, at - depth, at + 1) + np.uint64(depth)) if depth else self.tokens[at])
+
+
+def opening_contexts() -> list[int]:
+    """Keys of the contexts of end tokens only, from depth 2 on."""
+    g = Grams(*tokens_of([None]))
+    return [int(g.context(d)[0]) for d in range(2, DEPTH + 1)]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Grams]]:
@@ -98,90 +117,87 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Grams]]:
         yield held
 
 
-#: A pair with what its probability depends on: its context, the key under which that context was counted, the pair of the next
-#: lower depth (at depth 1 the word), and the context's parent.
-PAIR_COLUMNS = ["context", "context_of", "parent", "above"]
+#: What a pair's probability depends on: its context, the pair of the next lower depth (at depth 1 the word), the context's parent.
+PAIR_COLUMNS = ["context", "parent", "above"]
 GRAM_SCHEMA = "d int, key long, n long, " + ", ".join(f"{c} long" for c in PAIR_COLUMNS)
 #: A sorted run of keys of one bucket (a range of keys): packed keys, their counts, and, one after the other, PAIR_COLUMNS or nothing.
 RUN_SCHEMA = "d int, bucket int, keys binary, n binary, columns binary"
 
 
-def _run_rows(d: int, keys: np.ndarray, n: np.ndarray | None, columns: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
+def _run_rows(d: int, keys: np.ndarray, n: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
     """Rows of RUN_SCHEMA of sorted unsigned keys."""
     cuts = _cut(keys, n_buckets)
-    small = n is not None and n.max(initial=0) < 256
+    small = n.max(initial=0) < 256
     return pa.RecordBatch.from_pydict(
         {
             "d": pa.array([d] * len(cuts), pa.int32()),
             "bucket": pa.array([x for x, _, _ in cuts], pa.int32()),
             "keys": pa.array([common.packed(keys[a:b]) for _, a, b in cuts], pa.binary()),
-            "n": pa.array([None if n is None else n[a:b].astype(np.uint8 if small else np.int64).tobytes() for _, a, b in cuts], pa.binary()),
+            "n": pa.array([n[a:b].astype(np.uint8 if small else np.int64).tobytes() for _, a, b in cuts], pa.binary()),
             "columns": pa.array([b"".join(c[a:b].tobytes() for c in columns) for _, a, b in cuts], pa.binary()),
         }
     )
 
 
 def _grams(depth: int, n_buckets: int, handle=None):
-    """Runs, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and PAIR_COLUMNS of the pairs of the depth before.
+    """Runs, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and the counts and PAIR_COLUMNS of the pairs of the depth before.
 
-    ``handle`` is a map of the pairs of the depth before that occur ``LEAST_PAIR`` times. Pairs are left out whose own shorter
-    pair or whose context surely occurs less: a longer pair never occurs more often than its parts.
+    ``handle`` is a map of the pairs of the depth before that occur ``LEAST_PAIR`` times; these are described. Pairs of
+    ``depth`` are left out whose own shorter pair or whose context surely occurs less: a longer pair never occurs more often than
+    its parts.
     """
 
-    def counts(d: int, keys: np.ndarray) -> pa.RecordBatch:
-        keys, n = np.unique(keys.view(np.uint64), return_counts=True)
-        return _run_rows(d, keys, n, [], n_buckets)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _chunks(batches):
             if depth == 1:
                 for d in (0, 1):
-                    yield counts(d, np.concatenate([g.pair(d) for g in parts]))
+                    keys, n = np.unique(np.concatenate([g.pair(d) for g in parts]).view(np.uint64), return_counts=True)
+                    yield _run_rows(d, keys, n, [], n_buckets)
                 continue
             before, described, found = depth - 1, [], []
             for g in parts:
                 keys = g.pair(before)
                 hit = np.flatnonzero(common.bitmap_has(handle.value, keys))
                 at = g.at[hit]
-                of = g.pair(before - 1, at - 1)
-                # the context of a text's first word occurs once a text, as its end token does
-                described.append((keys[hit], g.context(before, at), np.where(g.opening[hit], np.int64(END_KEY), of), g.pair(before - 1, at), g.context(before - 1, at)))
+                described.append((keys[hit], g.context(before, at), g.pair(before - 1, at), g.context(before - 1, at)))
                 if depth <= DEPTH:
-                    ok = g.opening[hit] | common.bitmap_has(handle.value, g.pair(before, at - 1))
+                    ok = g.opening(at) | common.bitmap_has(handle.value, g.context(depth, at))
                     found.append(g.pair(depth, at[ok]))
             if depth <= DEPTH:
-                yield counts(depth, np.concatenate(found))
+                keys, n = np.unique(np.concatenate(found).view(np.uint64), return_counts=True)
+                yield _run_rows(depth, keys, n, [], n_buckets)
             columns = [np.concatenate(x) for x in zip(*described, strict=True)]
-            keys, first = np.unique(columns[0].view(np.uint64), return_index=True)
-            yield _run_rows(before, keys, None, [x[first] for x in columns[1:]], n_buckets)
+            del described, found
+            keys, first, n = np.unique(columns[0].view(np.uint64), return_index=True, return_counts=True)
+            yield _run_rows(before, keys, n, [x[first] for x in columns[1:]], n_buckets)
 
     return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs dealt out by bucket -> rows of GRAM_SCHEMA: sums of at least ``LEAST_PAIR`` (of words: all), and each described pair once."""
+    """Runs dealt out by bucket -> rows of GRAM_SCHEMA with sums of at least ``LEAST_PAIR`` (of words: all)."""
     held: dict[tuple, list] = {}
     for batch in batches:
         for d, bucket, keys, n, columns in zip(*(batch.column(c).to_pylist() for c in ("d", "bucket", "keys", "n", "columns")), strict=True):
-            held.setdefault((d, bucket, n is None), []).append((keys, n, columns))
+            held.setdefault((d, bucket, bool(columns)), []).append((keys, n, columns))
     while held:
         (d, _, described), runs = held.popitem()
         keys = [common.unpacked(k) for k, _, _ in runs]
+        n = np.concatenate([np.frombuffer(n, dtype=np.uint8 if len(n) == len(k) else np.int64).astype(np.int64) for k, (_, n, _) in zip(keys, runs, strict=True)])
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        every = every[order]
+        head = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        total = np.add.reduceat(n[order], head)
+        keep = total >= (LEAST_PAIR if d else 1)
+        head = head[keep]
+        made = {"d": pa.array(np.full(len(head), d, dtype=np.int32)), "key": pa.array(common.signed(every[head])), "n": pa.array(total[keep])}
         if described:
             columns = [np.concatenate(x) for x in zip(*(np.frombuffer(c, dtype=np.int64).reshape(len(PAIR_COLUMNS), -1) for _, _, c in runs), strict=True)]
-            unique, first = np.unique(np.concatenate(keys), return_index=True)
-            made = [np.zeros(len(unique), dtype=np.int64), *(c[first] for c in columns)]
+            made |= {c: pa.array(x[order[head]]) for c, x in zip(PAIR_COLUMNS, columns, strict=True)}
         else:
-            n = np.concatenate([np.frombuffer(n, dtype=np.uint8 if len(n) == len(k) else np.int64).astype(np.int64) for k, (_, n, _) in zip(keys, runs, strict=True)])
-            every = np.concatenate(keys)
-            order = np.argsort(every)
-            every, n = every[order], n[order]
-            head = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, dtype=np.int64)
-            total = np.add.reduceat(n, head) if len(head) else n
-            keep = total >= (LEAST_PAIR if d else 1)
-            unique, total = every[head][keep], total[keep]
-            made = [total, *[pa.nulls(len(unique), pa.int64())] * len(PAIR_COLUMNS)]
-        yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(unique), d, dtype=np.int32)), "key": pa.array(common.signed(unique)), **{c: x if isinstance(x, pa.Array) else pa.array(x) for c, x in zip(["n", *PAIR_COLUMNS], made, strict=True)}})
+            made |= dict.fromkeys(PAIR_COLUMNS, pa.nulls(len(head), pa.int64()))
+        yield pa.RecordBatch.from_pydict(made)
 
 
 def _dealt(spark: SparkSession) -> int:
@@ -209,29 +225,34 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _grown(pairs: DataFrame, sums: DataFrame, root: float) -> DataFrame:
+def _grown(pairs: list[DataFrame], words: DataFrame, root: float) -> DataFrame:
     """(state, key, n, logp, value): states with the log10 weight of their parent, and their pairs with the log10 probability; parents first."""
-    below = sums.where("d = 0").select(F.col("key").alias("parent"), ((F.col("n") + 1) / root).alias("m"))
+    spark = words.sparkSession
+    below = words.select(F.col("key").alias("parent"), ((F.col("n") + 1) / root).alias("m"))
+    seen = words.select(F.col("key").alias("context"), "n")
+    texts = words.where(F.col("key") == END_KEY).select(F.explode(F.array(*map(F.lit, opening_contexts())).cast("array<long>")).alias("context"), "n")
     out, parents = [], None
-    for d in range(1, DEPTH + 1):
-        g = pairs.where(F.col("d") == d).drop("d").join(below, "parent")
-        counted = sums.where((F.col("d") == d - 1) | (F.col("key") == END_KEY)).select(F.col("key").alias("context_of"), F.col("n").alias("seen"))
-        c = g.groupBy("context").agg(F.sum("n").alias("kept"), F.count("*").alias("number"), F.min("context_of").alias("context_of"), F.min("above").alias("above")).join(counted, "context_of", "left")
-        c = c.select("context", "above", "kept", "number", F.greatest("kept", F.coalesce("seen", "kept")).alias("count")).withColumn("beta", F.col("number") + F.col("count") - F.col("kept"))
-        if parents is not None:
-            c = c.join(parents, "above", "left_semi")
-        g = g.join(c.drop("above"), "context", "left").withColumn("p", F.coalesce((F.col("n") + F.col("beta") * F.col("m")) / (F.col("kept") + F.col("beta")), "m"))
-        g = common.stored(g.select("context", "pair", "n", "count", "number", "m", "p", (F.col("beta") / (F.col("kept") + F.col("beta"))).alias("rest")))
+    for d, g in enumerate(pairs, 1):
+        seen = seen if d == 1 else pairs[d - 2].select(F.col("key").alias("context"), "n").unionByName(texts)
+        of = Window.partitionBy("context")
+        g = g.join(below, "parent").select("key", "n", "context", "above", "m").join(seen.withColumnRenamed("n", "seen"), "context")
+        g = g.withColumns({"kept": F.sum("n").over(of), "number": F.count("*").over(of)})
+        g = g.withColumn("count", F.greatest("kept", "seen")).withColumn("beta", F.col("number") + F.col("count") - F.col("kept"))
+        g = g.withColumns({"p": (F.col("n") + F.col("beta") * F.col("m")) / (F.col("kept") + F.col("beta")), "rest": F.col("beta") / (F.col("kept") + F.col("beta"))})
+        g = common.stored(g.select("context", "above", "key", "n", "count", "number", "m", "p", "rest"))
+        common.release(spark)
         gain = F.sum(F.col("p") * F.log(F.col("p") / F.col("m"))) + F.greatest(1 - F.sum("p"), F.lit(1e-12)) * F.log(F.greatest(F.max("rest"), F.lit(1e-12)))
-        states = g.where("rest is not null").groupBy("context").agg(F.max("count").alias("n"), F.max("number").alias("number"), F.max("rest").alias("rest"), gain.alias("gain")).where(F.col("n") * F.col("gain") >= DIVERGENCE * F.col("number"))
+        states = g.groupBy("context").agg(F.max("count").alias("n"), F.max("number").alias("number"), F.max("rest").alias("rest"), F.max("above").alias("above"), gain.alias("gain")).where(F.col("n") * F.col("gain") >= DIVERGENCE * F.col("number"))
+        if parents is not None:
+            states = states.join(parents, "above", "left_semi")
         states = common.stored(states.select(F.col("context").alias("key"), "n", F.log10("rest").alias("value")))
         parents = states.select(F.col("key").alias("above"))
-        g = g.join(states.select(F.col("key").alias("context"), F.col("value").alias("weight")), "context", "left")
-        g = common.stored(g.select("pair", "n", F.when(F.col("weight").isNull(), F.col("m")).otherwise(F.col("p")).alias("p"), (F.log10("p") - F.log10("m") - F.col("weight")).alias("value")))
-        out.append(states.select(F.lit(True).alias("state"), "key", "n", F.lit(None).cast("double").alias("logp"), "value"))
-        out.append(g.where("value is not null").select(F.lit(False).alias("state"), F.col("pair").alias("key"), "n", F.log10("p").alias("logp"), "value"))
-        below = g.select(F.col("pair").alias("parent"), F.col("p").alias("m"))
-        common.release(pairs.sparkSession)
+        g = g.select("context", "key", "n", "m", "p").join(states.select(F.col("key").alias("context"), F.col("value").alias("weight")), "context", "left")
+        g = common.stored(g.select("key", "n", F.when(F.col("weight").isNull(), F.col("m")).otherwise(F.col("p")).alias("p"), (F.log10("p") - F.log10("m") - F.col("weight")).alias("value")))
+        out.append(states.select(F.lit(True).alias("state"), F.col("key").bitwiseXOR(F.lit(STATE_BITS)).alias("key"), "n", F.lit(None).cast("double").alias("logp"), "value"))
+        out.append(g.where("value is not null").select(F.lit(False).alias("state"), "key", "n", F.log10("p").alias("logp"), "value"))
+        below = g.select(F.col("key").alias("parent"), F.col("p").alias("m"))
+        common.release(spark)
     return reduce(DataFrame.unionByName, out)
 
 
@@ -239,22 +260,18 @@ def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """The table of _grown of the training rows; (key, n) of their tokens; N and V."""
     spark = docs.sparkSession
     common.prepare(spark)
-    counted, described, handle = [], [], None
+    n, pairs, handle = _dealt(spark), [], None
     for depth in range(1, DEPTH + 2):
-        n = _dealt(spark)
-        rows = docs.select("text").mapInArrow(_grams(depth, 3 * n, handle), RUN_SCHEMA).repartition(n, "bucket").mapInArrow(_merged, GRAM_SCHEMA)
-        rows = common.stored(rows)
+        rows = common.stored(docs.select("text").mapInArrow(_grams(depth, 3 * n, handle), RUN_SCHEMA).repartition(n, "bucket").mapInArrow(_merged, GRAM_SCHEMA))
         common.release(spark)
-        counted.append(rows.where("context is null").select("d", "key", "n"))
-        if depth > 1:
-            frequent = counted[-2].where(F.col("d") == depth - 1).select(F.col("key").alias("pair"), "n")
-            described.append(rows.where("context is not null").select("d", F.col("key").alias("pair"), *PAIR_COLUMNS).join(frequent, "pair"))
+        if depth == 1:
+            tokens = rows.where("d = 0").select("key", "n")
+        else:
+            pairs.append(rows.where(F.col("context").isNotNull()).select("key", "n", *PAIR_COLUMNS))
         if depth <= DEPTH:
-            handle = spark.sparkContext.broadcast(common.membership_bitmap(counted[-1].where(F.col("d") == depth), "key"))
-    sums = reduce(DataFrame.unionByName, counted)
-    tokens = sums.where("d = 0").select("key", "n")
+            handle = spark.sparkContext.broadcast(common.membership_bitmap(rows.where((F.col("d") == depth) & F.col("context").isNull()), "key"))
     total, distinct = (int(x or 0) for x in tokens.agg(F.sum("n"), F.count("*")).first())
-    return _grown(reduce(DataFrame.unionByName, described), sums, float(total + distinct + 1)), tokens, total, distinct
+    return _grown(pairs, tokens, float(total + distinct + 1)), tokens, total, distinct
 
 
 def train(docs: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Tree, DataFrame, int, int, float]:
@@ -334,7 +351,8 @@ def _scored(head: tuple[Lookup, Lookup], others: np.ndarray, texts: list[bytes |
     words = g.pair(0)
     known, gain = head[0].find(words)
     base = gain - root
-    value, keys, owner = base.copy(), [words[~known]], [g.text[~known]]
+    text = g.text
+    value, keys, owner = base.copy(), [words[~known]], [text[~known]]
 
     def add(places: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Add the values of keys at these places; the places whose key is there, or may be in the tables."""
@@ -343,20 +361,20 @@ def _scored(head: tuple[Lookup, Lookup], others: np.ndarray, texts: list[bytes |
         rest = np.flatnonzero(~there)
         rest = rest[common.bitmap_has(others, k[rest])]
         keys.append(k[rest])
-        owner.append(g.text[places[rest]])
+        owner.append(text[places[rest]])
         there[rest] = True
         return places[there]
 
     inside = paired = np.arange(len(g.at))  # positions in a state of the depth before; those whose word it keeps
     for d in range(1, DEPTH + 1):
-        inside = add(inside, g.context(d, g.at[inside]))
+        inside = add(inside, g.state(d, g.at[inside]))
         paired = paired[np.isin(paired, inside, assume_unique=True)] if len(inside) < len(g.at) else paired
         paired = add(paired, g.pair(d, g.at[paired]))
-    total = [np.bincount(g.text, weights=x, minlength=n) for x in (base, value)]
+    total = [np.bincount(text, weights=x, minlength=n) for x in (base, value)]
     of = np.concatenate(owner)
     order = np.argsort(of, kind="stable")
     bounds = np.searchsorted(of[order], np.arange(n + 1))
-    return np.diff(begin) - DEPTH, np.bincount(g.text[known], minlength=n), *total, np.concatenate(keys)[order], bounds
+    return np.diff(begin) - DEPTH, np.bincount(text[known], minlength=n), *total, np.concatenate(keys)[order], bounds
 
 
 def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, head_keys: int = HEAD_KEYS) -> DataFrame:
@@ -462,7 +480,7 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.column("doc_id").type
         plain = batch.filter(pa.compute.is_null(batch.column("keys")))
         if plain.num_rows:
-            yield plain.select(names)
+            yield pa.RecordBatch.from_arrays([plain.column(c) for c in names], names=names)
         runs = batch.filter(pa.compute.is_valid(batch.column("keys")))
         for row, bucket, keys, columns in zip(*(runs.column(c).to_pylist() for c in ("row", "bucket", "keys", "columns")), strict=True):
             (tables_ if row is None else asked).setdefault(bucket, []).append((row, keys, columns))

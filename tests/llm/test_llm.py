@@ -443,7 +443,7 @@ def test_distributions_sum_to_one(spark, texts):
                 if there[0]:
                     state = value + tree.logp[i[0]]
                     break
-                i, there = language_model.find(tree.states, g.context(d)[at : at + 1])
+                i, there = language_model.find(tree.states, g.state(d)[at : at + 1])
                 value += tree.weight[i[0]] if there[0] else 0.0
             key = int(np.uint64(keys[w]).view(np.int64)) if w else language_model.END_KEY
             mass += 10 ** (state if state is not None else value + gain[key] - root)
@@ -469,11 +469,88 @@ def test_pairs_are_kept_by_count_at_any_size(spark):
             if there[0]:
                 want += tree.logp[at[0]] if d else tree.gain[at[0]] - root
                 break
-            at, there = language_model.find(tree.states, g.context(d)[i : i + 1])
+            at, there = language_model.find(tree.states, g.state(d)[i : i + 1])
             want += tree.weight[at[0]] if there[0] else 0.0
     assert abs(got[10**6][150] - want) < 1e-6
 
 
+def brute_tree_scores(train, texts, depth, least, divergence):
+    """log10 probabilities by a suffix tree grown from plain dictionaries."""
+    split = lambda t: ["<end>"] * depth + [*(t or "").encode().lower().split(), "<end>"]
+    grams = [Counter() for _ in range(depth + 1)]
+    seen = [Counter() for _ in range(depth + 1)]
+    for t in train:
+        w = split(t)
+        for i in range(depth, len(w)):
+            for d in range(depth + 1):
+                grams[d][tuple(w[i - d : i + 1])] += 1
+                seen[d][tuple(w[i - d : i])] += 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    root = lambda x: (grams[0][(x,)] + 1) / (n + v + 1)
+    states = [{(): (None, 1.0)}] + [{} for _ in range(depth)]
+
+    def p(context, word):
+        """In the longest suffix state of the context."""
+        for d in range(len(context), 0, -1):
+            c = context[len(context) - d :]
+            if c in states[d]:
+                kept, rest = states[d][c]
+                return kept[word] if word in kept else rest * p(c[1:], word)
+        return root(word)
+
+    for d in range(1, depth + 1):
+        kept = {}
+        for g, k in grams[d].items():
+            if k >= least:
+                kept.setdefault(g[:-1], {})[g[-1]] = k
+        found = {}
+        for c, words in kept.items():
+            if c[1:] not in states[d - 1]:
+                continue
+            total, held = seen[d][c], sum(words.values())
+            beta = len(words) + total - held
+            m = {w: p(c[1:], w) for w in words}
+            q = {w: (k + beta * m[w]) / (held + beta) for w, k in words.items()}
+            rest = beta / (held + beta)
+            gain = sum(x * math.log(x / m[w]) for w, x in q.items()) + max(1 - sum(q.values()), 1e-12) * math.log(max(rest, 1e-12))
+            if total * gain >= divergence * len(words):
+                found[c] = (q, rest)
+        states[d] = found
+    out = []
+    for t in texts:
+        w = split(t)
+        out.append(sum(math.log10(p(tuple(w[i - depth : i]), w[i])) for i in range(depth, len(w))))
+    return out, sum(map(len, states)) - 1
+
+
+def test_scores_against_a_brute_force_tree_under_any_partitions(spark, texts):
+    r = random.Random(8)
+    more = texts + [" ".join(r.choice(["a rose is a rose", "the cat sat on the mat", "and so on", r.choice(WORDS)]) for _ in range(60)) for _ in range(40)]
+    want, n_states = brute_tree_scores(more[::2], more, language_model.DEPTH, language_model.LEAST_PAIR, language_model.DIVERGENCE)
+    assert n_states > 30
+    for parts, head in ((1, 10**6), (7, 20), (60, 3)):
+        docs = table(spark, more).repartition(parts)
+        got = {x.doc_id: x.score for x in language_model.score(docs, docs.where("doc_id % 2 = 0"), head, head).collect()}
+        assert len(got) == len(more) and max(abs(got[i] - x) for i, x in enumerate(want)) < 1e-6
+
+
+def test_packed_keys():
+    g = np.random.default_rng(1)
+    for n in (0, 1, 2, 5000):
+        keys = np.sort(g.integers(0, 2**64, n, dtype=np.uint64))
+        assert (common.unpacked(common.packed(keys)) == keys).all()
+        assert (np.diff(common.buckets(keys, 7)) >= 0).all()
+    found = language_model.Lookup(common.signed(keys), np.arange(len(keys)) + 1.0).find(common.signed(np.append(keys[::3], g.integers(0, 2**64, 50, dtype=np.uint64))))
+    assert found[0].sum() == len(keys[::3]) and (found[1][: len(keys[::3])] == np.arange(len(keys))[::3] + 1).all()
+
+
+def test_scores_of_empty_and_long_texts(spark):
+    docs = table(spark, ["the cat sat on the mat " * 30_000, "", None, "the cat"])
+    got = {r.doc_id: r for r in language_model.score(docs, docs).collect()}
+    assert got[0].n_tokens == 180_001 and got[0].score > got[0].base_score and got[1].score == got[2].score and got[1].n_tokens == 1
+    assert language_model.score(table(spark, []), docs).count() == 0
+
+
 def test_scores_without_training_rows(spark):
     r = language_model.score(table(spark, ["a b", None]), table(spark, [])).orderBy("doc_id").collect()
     assert [(x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) for x in r] == [(3, 0, 0, 0.0, 0.0), (1, 0, 0, 0.0, 0.0)]
