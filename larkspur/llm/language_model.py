@@ -496,6 +496,8 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine, rows = common.unpacked(k), np.frombuffer(c, dtype=np.uint32).astype(np.int64)
             at, there = find(keys, mine)
             at, rows = at[there], rows[there]
+            if not len(at):
+                continue
             out, of = np.unique(rows, return_inverse=True)
             n = len(out)
             yield pa.RecordBatch.from_arrays(
