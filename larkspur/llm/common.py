@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -53,12 +55,25 @@ def prepare(spark: SparkSession) -> None:
     sc._larkspur_shipped = True
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def used_once(spark: SparkSession) -> Iterator[None]:
+    """Queries that run here are not read again: Spark deletes their shuffle files as each ends, instead of at the driver's next collection."""
+    old = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, old)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write to the session's checkpoint folder as Parquet and read again: lineage ends, and compressed columns take far less room than a checkpoint."""
-    import uuid
-
     path = f"{checkpoint_dir(df.sparkSession)}/larkspur-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with used_once(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -93,12 +108,13 @@ def membership_bitmap(keys: DataFrame, column: str) -> np.ndarray:
     A clear bit proves absence. A set bit only lets a row through to an exact join, so a full map costs speed, not rows.
     """
     pos = F.pmod(F.col(column), F.lit(BITMAP_BITS)).alias("p")
-    rows = (
-        keys.select(pos)
-        .groupBy(F.bitmap_bucket_number("p").alias("b"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-        .collect()
-    )
+    with used_once(keys.sparkSession):
+        rows = (
+            keys.select(pos)
+            .groupBy(F.bitmap_bucket_number("p").alias("b"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+            .collect()
+        )
     out = np.zeros(BITMAP_BITS // 8 + 4096 * 2, dtype=np.uint8)
     for b, m in rows:  # bucket n covers the values (n-1)*32768+1 .. n*32768 (value 0 falls into bucket 0, last bit)
         at = int(b) * 4096
