@@ -74,7 +74,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/larkspur-{uuid.uuid4().hex}"
     with used_once(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._larkspur_path = path
+    return out
+
+
+def discard(*stored_: DataFrame) -> None:
+    """Delete what ``stored`` wrote for frames that nothing will read again."""
+    for df in stored_:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._larkspur_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -41,7 +41,7 @@ LEAST_PAIR, DIVERGENCE = 3, 2.0
 HEAD_WORDS, HEAD_KEYS = 1_000_000, 2_000_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
-CHUNK = 1_000_000
+CHUNK = 600_000
 #: Keys outside the head that are gathered before they are dealt out.
 ASKED = 1_000_000
 #: A state's key among the looked-up ones is its context's key with these bits turned, as pairs and words have the plain ones.
@@ -124,10 +124,16 @@ GRAM_SCHEMA = "d int, key long, n long, " + ", ".join(f"{c} long" for c in PAIR_
 RUN_SCHEMA = "d int, bucket int, keys binary, n binary, columns binary"
 
 
-def _run_rows(d: int, keys: np.ndarray, n: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> pa.RecordBatch:
-    """Rows of RUN_SCHEMA of sorted unsigned keys."""
-    cuts = _cut(keys, n_buckets)
+def _run_rows(d: int, keys: np.ndarray, n: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows of RUN_SCHEMA of sorted unsigned keys, some at a time."""
+    every = _cut(keys, n_buckets)
     small = n.max(initial=0) < 256
+    for at in range(0, len(every), 32):
+        cuts = every[at : at + 32]
+        yield _run_batch(d, keys, n, columns, cuts, small)
+
+
+def _run_batch(d: int, keys: np.ndarray, n: np.ndarray, columns: list[np.ndarray], cuts: list, small: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(
         {
             "d": pa.array([d] * len(cuts), pa.int32()),
@@ -152,7 +158,7 @@ def _grams(depth: int, n_buckets: int, handle=None):
             if depth == 1:
                 for d in (0, 1):
                     keys, n = np.unique(np.concatenate([g.pair(d) for g in parts]).view(np.uint64), return_counts=True)
-                    yield _run_rows(d, keys, n, [], n_buckets)
+                    yield from _run_rows(d, keys, n, [], n_buckets)
                 continue
             before, described, found = depth - 1, [], []
             for g in parts:
@@ -165,11 +171,12 @@ def _grams(depth: int, n_buckets: int, handle=None):
                     found.append(g.pair(depth, at[ok]))
             if depth <= DEPTH:
                 keys, n = np.unique(np.concatenate(found).view(np.uint64), return_counts=True)
-                yield _run_rows(depth, keys, n, [], n_buckets)
+                yield from _run_rows(depth, keys, n, [], n_buckets)
             columns = [np.concatenate(x) for x in zip(*described, strict=True)]
             del described, found
             keys, first, n = np.unique(columns[0].view(np.uint64), return_index=True, return_counts=True)
-            yield _run_rows(before, keys, n, [x[first] for x in columns[1:]], n_buckets)
+            columns = [x[first] for x in columns[1:]]
+            yield from _run_rows(before, keys, n, columns, n_buckets)
 
     return run
 
@@ -226,21 +233,26 @@ def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grown(pairs: list[DataFrame], words: DataFrame, root: float) -> DataFrame:
-    """(state, key, n, logp, value): states with the log10 weight of their parent, and their pairs with the log10 probability; parents first."""
+    """(state, key, n, logp, value): states with the log10 weight of their parent, and their pairs with the log10 probability; parents first.
+
+    ``pairs`` are the stored tables of _merged by depth, from the one that describes depth 1; those no longer needed are deleted.
+    """
+    described = [p.where(F.col("context").isNotNull()).select("key", "n", *PAIR_COLUMNS) for p in pairs]
     spark = words.sparkSession
     below = words.select(F.col("key").alias("parent"), ((F.col("n") + 1) / root).alias("m"))
     seen = words.select(F.col("key").alias("context"), "n")
     texts = words.where(F.col("key") == END_KEY).select(F.explode(F.array(*map(F.lit, opening_contexts())).cast("array<long>")).alias("context"), "n")
     out, parents = [], None
-    for d, g in enumerate(pairs, 1):
-        seen = seen if d == 1 else pairs[d - 2].select(F.col("key").alias("context"), "n").unionByName(texts)
+    for d, g in enumerate(described, 1):
+        seen = seen if d == 1 else described[d - 2].select(F.col("key").alias("context"), "n").unionByName(texts)
         of = Window.partitionBy("context")
         g = g.join(below, "parent").select("key", "n", "context", "above", "m").join(seen.withColumnRenamed("n", "seen"), "context")
         g = g.withColumns({"kept": F.sum("n").over(of), "number": F.count("*").over(of)})
         g = g.withColumn("count", F.greatest("kept", "seen")).withColumn("beta", F.col("number") + F.col("count") - F.col("kept"))
         g = g.withColumns({"p": (F.col("n") + F.col("beta") * F.col("m")) / (F.col("kept") + F.col("beta")), "rest": F.col("beta") / (F.col("kept") + F.col("beta"))})
-        g = common.stored(g.select("context", "above", "key", "n", "count", "number", "m", "p", "rest"))
-        common.release(spark)
+        g = looked = common.stored(g.select("context", "above", "key", "n", "count", "number", "m", "p", "rest"))
+        if d > 1:
+            common.discard(pairs[d - 2])
         gain = F.sum(F.col("p") * F.log(F.col("p") / F.col("m"))) + F.greatest(1 - F.sum("p"), F.lit(1e-12)) * F.log(F.greatest(F.max("rest"), F.lit(1e-12)))
         states = g.groupBy("context").agg(F.max("count").alias("n"), F.max("number").alias("number"), F.max("rest").alias("rest"), F.max("above").alias("above"), gain.alias("gain")).where(F.col("n") * F.col("gain") >= DIVERGENCE * F.col("number"))
         if parents is not None:
@@ -252,7 +264,8 @@ def _grown(pairs: list[DataFrame], words: DataFrame, root: float) -> DataFrame:
         out.append(states.select(F.lit(True).alias("state"), F.col("key").bitwiseXOR(F.lit(STATE_BITS)).alias("key"), "n", F.lit(None).cast("double").alias("logp"), "value"))
         out.append(g.where("value is not null").select(F.lit(False).alias("state"), "key", "n", F.log10("p").alias("logp"), "value"))
         below = g.select(F.col("key").alias("parent"), F.col("p").alias("m"))
-        common.release(spark)
+        common.discard(looked)
+    common.discard(pairs[-1])
     return reduce(DataFrame.unionByName, out)
 
 
@@ -263,11 +276,10 @@ def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     n, pairs, handle = _dealt(spark), [], None
     for depth in range(1, DEPTH + 2):
         rows = common.stored(docs.select("text").mapInArrow(_grams(depth, 3 * n, handle), RUN_SCHEMA).repartition(n, "bucket").mapInArrow(_merged, GRAM_SCHEMA))
-        common.release(spark)
         if depth == 1:
             tokens = rows.where("d = 0").select("key", "n")
         else:
-            pairs.append(rows.where(F.col("context").isNotNull()).select("key", "n", *PAIR_COLUMNS))
+            pairs.append(rows)
         if depth <= DEPTH:
             handle = spark.sparkContext.broadcast(common.membership_bitmap(rows.where((F.col("d") == depth) & F.col("context").isNull()), "key"))
     total, distinct = (int(x or 0) for x in tokens.agg(F.sum("n"), F.count("*")).first())
