@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import hashlib
 import io
@@ -140,6 +141,14 @@ def bitmap_has(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bitmap[bucket * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1 == 1
 
 
+def returned() -> None:
+    """Give freed memory of this worker process back to the system: large arrays one by one as they go, the rest now (glibc; elsewhere nothing happens)."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows to the largest array freed
+        libc.malloc_trim(0)
+
+
 def texts_as_bytes(column: pa.Array) -> pa.Array:
     """A string column as binary (nulls kept)."""
     return column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column.cast(pa.binary())

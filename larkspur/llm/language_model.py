@@ -38,12 +38,12 @@ from larkspur.llm import common
 
 DEPTH = 3
 LEAST_PAIR, DIVERGENCE = 3, 2.0
-HEAD_WORDS, HEAD_KEYS = 1_000_000, 2_000_000
+HEAD_WORDS, HEAD_KEYS = 1_000_000, 1_000_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 600_000
 #: Keys outside the head that are gathered before they are dealt out.
-ASKED = 1_000_000
+ASKED = 300_000
 #: A state's key among the looked-up ones is its context's key with these bits turned, as pairs and words have the plain ones.
 STATE_BITS = 0x2545F4914F6CDD1D
 #: Key of the end token among the word hashes.
@@ -154,6 +154,7 @@ def _grams(depth: int, n_buckets: int, handle=None):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.returned()
         for parts in _chunks(batches):
             if depth == 1:
                 for d in (0, 1):
@@ -184,6 +185,7 @@ def _grams(depth: int, n_buckets: int, handle=None):
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs dealt out by bucket -> rows of GRAM_SCHEMA with sums of at least ``LEAST_PAIR`` (of words: all)."""
     held: dict[tuple, list] = {}
+    common.returned()
     for batch in batches:
         for d, bucket, keys, n, columns in zip(*(batch.column(c).to_pylist() for c in ("d", "bucket", "keys", "n", "columns")), strict=True):
             held.setdefault((d, bucket, bool(columns)), []).append((keys, n, columns))
@@ -205,6 +207,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             made |= dict.fromkeys(PAIR_COLUMNS, pa.nulls(len(head), pa.int64()))
         yield pa.RecordBatch.from_pydict(made)
+    common.returned()
 
 
 def _dealt(spark: SparkSession) -> int:
@@ -316,14 +319,18 @@ def _head(keys: DataFrame, limit: int, value: str = "n") -> tuple[np.ndarray, np
 
 
 class Lookup:
-    """Sorted keys with values, found through the offsets of their leading bits, as keys are hashes."""
+    """Keys in unsigned order with values, found through the offsets of their leading bits, as keys are hashes."""
 
     def __init__(self, keys: np.ndarray, value: np.ndarray):
-        order = np.argsort(keys.view(np.uint64), kind="stable")
-        self.keys, self.value = keys.view(np.uint64)[order], value[order]
-        self.bits = max(1, len(keys).bit_length())
+        self.keys, self.value = keys, value
+        self.bits = max(1, len(keys).bit_length() - 1)
         edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.first = np.append(np.searchsorted(self.keys, edges), len(keys)).astype(np.int64)
+        self.first = np.append(np.searchsorted(self.keys, edges), len(keys)).astype(np.int32)
+
+    @staticmethod
+    def of(keys: np.ndarray, value: np.ndarray) -> Lookup:
+        order = np.argsort(keys.view(np.uint64), kind="stable")
+        return Lookup(keys.view(np.uint64)[order], value[order])
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is there, and its value (0 where it is not)."""
@@ -346,32 +353,27 @@ class Lookup:
 class Head:
     """Keys looked up in place, with their values: words with log10(c + 1), contexts and pairs; and the map of the other contexts and pairs."""
 
-    words: np.ndarray
-    gain: np.ndarray
-    keys: np.ndarray
-    value: np.ndarray
+    words: Lookup
+    keys: Lookup
     others: np.ndarray
 
-    def lookups(self) -> tuple[Lookup, Lookup]:
-        return Lookup(self.words, self.gain), Lookup(self.keys, self.value)
-
 
-def _scored(head: tuple[Lookup, Lookup], others: np.ndarray, texts: list[bytes | None], root: float) -> tuple[np.ndarray, ...]:
+def _scored(head: Head, texts: list[bytes | None], root: float) -> tuple[np.ndarray, ...]:
     """By text: tokens, known tokens, base and score but for the keys outside the head; those keys and where each text's begin."""
     tokens, begin = tokens_of(texts)
     g, n = Grams(tokens, begin), len(texts)
     words = g.pair(0)
-    known, gain = head[0].find(words)
+    known, gain = head.words.find(words)
     base = gain - root
     text = g.text
     value, keys, owner = base.copy(), [words[~known]], [text[~known]]
 
     def add(places: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Add the values of keys at these places; the places whose key is there, or may be in the tables."""
-        there, v = head[1].find(k)
+        there, v = head.keys.find(k)
         value[places] += v
         rest = np.flatnonzero(~there)
-        rest = rest[common.bitmap_has(others, k[rest])]
+        rest = rest[common.bitmap_has(head.others, k[rest])]
         keys.append(k[rest])
         owner.append(text[places[rest]])
         there[rest] = True
@@ -400,7 +402,7 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, he
         return x.where(F.floor(F.log2("n") * 4) < above)
 
     others = common.membership_bitmap(tail(grown, least_key), "key")
-    handle = spark.sparkContext.broadcast(Head(words, np.log10(counts + 1.0), keys, values.astype(float), others))
+    handle = spark.sparkContext.broadcast(Head(Lookup.of(words, np.log10(counts + 1.0)), Lookup.of(keys, values.astype(float)), others))
     complete = len(words) == distinct and not others.any()
     root = float(np.log10(total + distinct + 1.0))
 
@@ -409,12 +411,13 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, he
     schema = f"row long, doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in sums.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = handle.value.lookups()
+        common.returned()
+        head = handle.value
         row, held, size = TaskContext.get().partitionId() << 40, [], 0
         for whole in batches:
-            for batch in common.slices(whole, "text", 2 * SLICE_BYTES):
+            for batch in common.slices(whole, "text", SLICE_BYTES):
                 texts = common.texts_as_bytes(batch.column("text")).to_pylist()
-                n_tokens, known, base, value, keys, bounds = _scored(head, handle.value.others, texts, root)
+                n_tokens, known, base, value, keys, bounds = _scored(head, texts, root)
                 rows = row + np.arange(len(texts))
                 row += len(texts)
                 none = pa.nulls(len(texts), pa.binary())
@@ -485,6 +488,7 @@ def _known(n_buckets: int, schema):
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs dealt out by bucket -> the sums of each row's keys in a bucket; rows of documents pass through."""
+    common.returned()
     tables_, asked = {}, {}
     names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
     kind = None

@@ -540,7 +540,7 @@ def test_packed_keys():
         keys = np.sort(g.integers(0, 2**64, n, dtype=np.uint64))
         assert (common.unpacked(common.packed(keys)) == keys).all()
         assert (np.diff(common.buckets(keys, 7)) >= 0).all()
-    found = language_model.Lookup(common.signed(keys), np.arange(len(keys)) + 1.0).find(common.signed(np.append(keys[::3], g.integers(0, 2**64, 50, dtype=np.uint64))))
+    found = language_model.Lookup.of(common.signed(keys), np.arange(len(keys)) + 1.0).find(common.signed(np.append(keys[::3], g.integers(0, 2**64, 50, dtype=np.uint64))))
     assert found[0].sum() == len(keys[::3]) and (found[1][: len(keys[::3])] == np.arange(len(keys))[::3] + 1).all()
 
 
