@@ -45,11 +45,26 @@ def int_div(a: str, b: str) -> Column:
 
 
 def int_sqrt(x: Column) -> Column:
-    return F.floor(F.sqrt(x)).cast("long")
+    """Greatest whole number whose square is not above x; a negative x is an error."""
+    x = x.cast("long")
+    near = F.floor(F.sqrt(x)).cast("long")  # a double may be one off either way beyond 2^53
+    square = lambda r: r.cast("decimal(20,0)") * r.cast("decimal(20,0)")
+    root = F.when(square(near) > x, near - 1).when(square(near + 1) <= x, near + 1).otherwise(near)
+    return F.when(x < 0, F.raise_error(F.lit("square root of a negative number"))).otherwise(root)
 
 
 def int_power(x: Column, n: Column | int) -> Column:
-    return F.round(F.pow(x, n)).cast("long")
+    """x to the n-th by repeated squaring on whole numbers; a negative n, or a result beyond 64 bits, is an error."""
+    x, n = x.cast("long"), (n if isinstance(n, Column) else F.lit(n)).cast("long")
+    # state: result, square, what is left of the exponent; the square is not made where no bit is left to use it
+    start = F.struct(F.lit(1).cast("long").alias("r"), x.alias("s"), n.alias("n"))
+
+    def step(a: Column, _: Column) -> Column:
+        odd, more = a["n"] % 2 == 1, a["n"] > 1
+        return F.struct(F.when(odd, a["r"] * a["s"]).otherwise(a["r"]).alias("r"), F.when(more & ~a["s"].isin(0, 1, -1), a["s"] * a["s"]).when(a["s"] == -1, F.lit(1).cast("long")).otherwise(a["s"]).alias("s"), F.shiftright(a["n"], 1).alias("n"))
+
+    got = F.aggregate(F.sequence(F.lit(1), F.lit(63)), start, step)["r"]
+    return F.when(n < 0, F.raise_error(F.lit("negative exponent"))).when(x.isNull() | n.isNull(), F.lit(None).cast("long")).otherwise(got)
 
 
 def random_int(below: int = 1000) -> Column:
@@ -147,8 +162,11 @@ def _quoted(j: Column, path: str) -> Column:
 
 
 def json_has(j: Column, key: str) -> Column:
-    """j ? key, on the top level."""
-    return F.coalesce(F.array_contains(F.json_object_keys(j), key), F.lit(False))
+    """j ? key, on the top level: a key of an object, or an index of an array."""
+    found = F.array_contains(F.json_object_keys(j), key)
+    if key.isdigit():
+        found = F.coalesce(found, F.json_array_length(j) > int(key))
+    return F.coalesce(found, F.lit(False))
 
 
 def json_has_any(j: Column, names: list[str]) -> Column:

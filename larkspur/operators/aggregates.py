@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Most values of a group that a fold with a merge function gathers at once.
+PIECE = 4096
 #: Initial state by type name where an aggregate names none.
 INITIAL = {"int": 0, "bigint": 0, "double": 0.0, "string": "", "boolean": False}
 
@@ -22,8 +24,11 @@ class Fold:
     """A user-defined aggregate: state type, step(state, value), optional finish(state), initial state.
 
     Values are folded in ascending order (nulls are skipped unless ``keep_nulls``), so the result does not depend on how rows
-    are spread. A fold that is given ``merge`` as well (associative, with the initial state as its neutral element) is computed
-    over ``buckets`` salted parts of a group first, so a large group is never gathered whole.
+    are spread. A fold that is given ``merge`` as well (associative and commutative, with the initial state as its neutral
+    element) is computed over pieces of at most ``PIECE`` rows of a partition, these are merged by partition and the partitions'
+    states in the end, so no more than ``PIECE`` values, or a state a partition, of a group are gathered, however large it is. A
+    fold without ``merge`` is a sequence by its definition: its group must fit a task. ``built_in`` names an aggregate of Spark's own
+    that gives the same result, which then replaces the fold.
     """
 
     state: str
@@ -32,7 +37,7 @@ class Fold:
     initial: object = None
     merge: Callable[[Column, Column], Column] | None = None
     keep_nulls: bool = False
-    buckets: int = 64
+    built_in: Callable[[Column], Column] | None = None
 
     def _start(self) -> Column:
         return F.lit(INITIAL.get(self.state) if self.initial is None else self.initial).cast(self.state)
@@ -44,9 +49,13 @@ class Fold:
         value = F.struct(F.col(column).alias("v")) if self.keep_nulls else F.col(column)
         step = (lambda a, x: self.step(a, x["v"])) if self.keep_nulls else self.step
         end = self.finish or (lambda s: s)
+        if self.built_in is not None:
+            return df.groupBy(*by).agg(end(F.coalesce(self.built_in(F.col(column)).cast(self.state), self._start())).alias(name))
         if self.merge is None:
             return df.groupBy(*by).agg(end(self._fold(F.array_sort(F.collect_list(value)), step)).alias(name))
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(self.buckets)))
-        parts = salted.groupBy(*by, "_salt").agg(self._fold(F.array_sort(F.collect_list(value)), step).alias("_part"))
         merge = self.merge
-        return parts.groupBy(*by).agg(end(F.aggregate(F.array_sort(F.collect_list("_part")), self._start(), lambda a, x: merge(a, x).cast(self.state))).alias(name))
+        merged = lambda: F.aggregate(F.array_sort(F.collect_list("_part")), self._start(), lambda a, x: merge(a, x).cast(self.state))
+        row = F.monotonically_increasing_id()
+        pieces = df.select(*by, column, F.shiftright(row, 33).alias("_from"), F.floor(row.bitwiseAND((1 << 33) - 1) / PIECE).alias("_piece"))
+        parts = pieces.groupBy(*by, "_from", "_piece").agg(self._fold(F.array_sort(F.collect_list(value)), step).alias("_part"))
+        return parts.groupBy(*by, "_from").agg(merged().alias("_part")).groupBy(*by).agg(end(merged()).alias(name))

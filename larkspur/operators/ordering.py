@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur.session import checkpointed
+
 
 def keys(*names: str) -> list[Column]:
     """Sort keys; a leading minus sorts down. Nulls come last going up and first going down."""
@@ -30,21 +32,32 @@ def top_k_per_group(df: DataFrame, k: int, by: list[str], *names: str) -> DataFr
     return df.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place (from 1) in an order, as a column ``name``: a range-partitioned sort, then each partition's offset.
+
+    Ties are broken by the order in which the sort leaves them; the sorted rows are checkpointed, so places stay the same.
+    """
+    ids = "_row"
+    rows = checkpointed(df.orderBy(*order).withColumn(ids, F.monotonically_increasing_id()))
+    part, at = F.shiftright(ids, 33), F.col(ids).bitwiseAND((1 << 33) - 1)
+    offsets, total = [], 0
+    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect()):  # a row a partition
+        offsets += [F.lit(p), F.lit(total)]
+        total += n
+    offset = F.create_map(*offsets)[part] if offsets else F.lit(0)
+    return rows.withColumn(name, (offset + at + 1).cast("long")).drop(ids)
+
+
 class Cursor:
     """A scrollable cursor over an ordered result.
 
-    Rows are numbered once without moving them to the driver: each fetch reads just the rows asked for. Position 0 is before
-    the first row; going past an end leaves the cursor there.
+    Rows are numbered once by partition offsets, without Python and without moving them to the driver, and are kept in the
+    checkpoint folder; each fetch reads just the rows asked for. Position 0 is before the first row; going past an end leaves
+    the cursor there.
     """
 
     def __init__(self, df: DataFrame, *names: str):
-        names = names or tuple(df.columns)
-        spark = df.sparkSession
-        ordered = df.orderBy(*keys(*names))
-        numbered = ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-        from pyspark.sql import types as T
-
-        self.rows = spark.createDataFrame(numbered, T.StructType([*df.schema.fields, T.StructField("_place", T.LongType())])).cache()
+        self.rows = numbered(df, keys(*(names or tuple(df.columns))), "_place")
         self.size, self.at, self.is_open = self.rows.count(), 0, True
 
     def _move(self, to: int) -> Row | None:
@@ -83,7 +96,6 @@ class Cursor:
         return self.rows.where(F.col("_place").between(low, high)).orderBy(order).drop("_place")
 
     def close(self) -> None:
-        self.rows.unpersist()
         self.is_open = False
 
 

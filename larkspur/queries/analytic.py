@@ -17,7 +17,7 @@ both("agg_group", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l
 both("agg_group_expr", "SELECT upper(o_orderstatus) AS s, o_custkey % 10 AS k, count(*) AS n FROM {orders} GROUP BY upper(o_orderstatus), o_custkey % 10")
 both("agg_having", "SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey HAVING count(*) > 12 AND sum(o_totalprice) > 1000")
 both("agg_count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderpriority) AS priorities FROM {orders} GROUP BY o_orderstatus")
-both("agg_empty_input", "SELECT count(*) AS n, count(o_custkey) AS m, sum(o_totalprice) AS s, avg(o_totalprice) AS a, min(o_orderkey) AS low, max(o_orderkey) AS high FROM {orders} WHERE o_orderkey < 0")
+both("agg_empty_input", "SELECT count(*) AS n, count(o_custkey) AS m, sum(o_totalprice) AS s, avg(o_totalprice) AS a, min(o_orderkey) AS low, max(o_orderkey) AS high FROM {orders} WHERE o_totalprice < 0")
 both("agg_null_groups", "SELECT nullif(o_orderstatus, 'O') AS s, count(*) AS n, count(nullif(o_orderpriority, '1-URGENT')) AS m FROM {orders} GROUP BY nullif(o_orderstatus, 'O')")
 both("agg_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 both("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM {lineitem} GROUP BY CUBE (l_returnflag, l_linestatus)")

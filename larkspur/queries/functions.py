@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.functions import ranges, scalar, series
+from larkspur.functions import ranges, scalar, series, user
 from larkspur.queries.book import Book
 from larkspur.session import sql, table
+from larkspur.sources import tables
 
 BOOK = Book()
 both, query = BOOK.both, BOOK.query
@@ -178,14 +179,89 @@ def _(spark, d):
 
 @query("udf_variadic", "SELECT n_nationkey, concat_ws('-', n_name, CAST(n_regionkey AS VARCHAR), 'x') AS v FROM nation")
 def _(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", F.concat_ws("-", "n_name", F.col("n_regionkey").cast("string"), F.lit("x")).alias("v"))
+    functions = user.Functions(spark)
+    functions.create(user.Function("joined", [("separator", "string"), ("parts", "string")], "array_join($2, $1)", "string", variadic=True))
+    nation = table(spark, d, "nation")
+    return nation.select("n_nationkey", functions.call(nation, "joined", "'-'", "n_name", "CAST(n_regionkey AS STRING)", "'x'").alias("v"))
 
 
-@query("procedural_loop", "SELECT CAST(5050 AS BIGINT) AS total")
+@query("udf_overload_signature", "SELECT p_partkey, p_size + 1 AS a, p_name || '!' AS b, p_size * CAST(2.5 AS DOUBLE) AS c, p_size + 7 AS e FROM part")
 def _(spark, d):
-    return spark.sql("BEGIN DECLARE i BIGINT DEFAULT 1; DECLARE total BIGINT DEFAULT 0; WHILE i <= 100 DO SET total = total + i; SET i = i + 1; END WHILE; SELECT total AS total; END")
+    functions = user.Functions(spark)
+    functions.create(user.Function("f", [("x", "int")], "$1 + 1", "int"))
+    functions.create(user.Function("f", [("x", "string")], "$1 || '!'", "string"))
+    functions.create(user.Function("f", [("x", "int"), ("y", "double")], "$1 * $2", "double"))
+    functions.create(user.Function("g", [("x", "int"), ("y", "int")], "$1 + $2", "int", defaults=["7"]))
+    part = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("int").alias("p_size"), "p_name")
+    call = lambda name, *x: functions.call(part, name, *x)
+    return part.select("p_partkey", call("f", "p_size").alias("a"), call("f", "p_name").alias("b"), call("f", "p_size", "2.5D").alias("c"), call("g", "p_size").alias("e"))
+
+
+@query("udf_table_function", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey >= 2")
+def _(spark, d):
+    functions = user.Functions(spark)
+    functions.create(user.Function("from_region", [("low", "int")], "SELECT r_regionkey, r_name FROM {region} WHERE r_regionkey >= $1", table=True))
+    return functions.rows("from_region", "2", region=table(spark, d, "region"))
+
+
+@query("function_cache", "SELECT CAST(49 AS BIGINT) AS value, CAST(1 AS BIGINT) AS cached")
+def _(spark, d):
+    functions = user.Functions(spark)
+    functions.create(user.Function("square", [("x", "bigint")], "$1 * $1", "bigint", volatility="immutable"))
+    first, again = functions.value("square", "7"), functions.value("square", "7")
+    return spark.createDataFrame([(again if first == again else None, len(functions.cache))], "value long, cached long")
+
+
+@query("fn_power_large", "SELECT CAST(50031545098999707 AS BIGINT) AS a, CAST(-8 AS BIGINT) AS b, CAST(1 AS BIGINT) AS c, CAST(4611686018427387904 AS BIGINT) AS e")
+def _(spark, d):
+    one = spark.range(1)
+    return one.select(scalar.int_power(F.lit(3), 35).alias("a"), scalar.int_power(F.lit(-2), 3).alias("b"), scalar.int_power(F.lit(0), 0).alias("c"), scalar.int_power(F.lit(2), 62).alias("e"))
+
+
+@query("fn_sqrt_large", "SELECT CAST(3037000499 AS BIGINT) AS a, CAST(94906265 AS BIGINT) AS b, CAST(94906266 AS BIGINT) AS c")
+def _(spark, d):
+    x = lambda v: scalar.int_sqrt(F.lit(v).cast("long"))
+    return spark.range(1).select(x(2**63 - 1).alias("a"), x(94906266**2 - 1).alias("b"), x(94906266**2).alias("c"))
+
+
+@query("fn_json_exists_array", "SELECT event_id, event_id % 3 > 0 AS zero, event_id % 3 > 1 AS one, false AS nine FROM events")
+def _(spark, d):
+    n = F.col("event_id") % 3
+    j = F.concat(F.lit("["), F.array_join(F.slice(F.array(F.lit("1"), F.lit('"b"')), 1, n.cast("int")), ","), F.lit("]"))
+    rows = table(spark, d, "events").select("event_id", j.alias("j"))
+    return rows.select("event_id", *[scalar.json_has(F.col("j"), k).alias(c) for k, c in (("0", "zero"), ("1", "one"), ("9", "nine"))])
+
+
+@query("fn_now_invariants", "SELECT true AS same_in_a_query, true AS after_2020, true AS same_day")
+def _(spark, d):
+    rows = spark.range(4).select(scalar.epoch_seconds().alias("s"), scalar.epoch_days().alias("day"))
+    return rows.agg((F.count_distinct("s") == 1).alias("same_in_a_query"), (F.min("s") > 1577836800).alias("after_2020"), (F.max(F.abs(F.floor(F.col("s") / 86400) - F.col("day"))) <= 1).alias("same_day"))
+
+
+@query("fn_random_invariants", "SELECT count(*) AS n, true AS inside, true AS varied FROM orders")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(scalar.random_int().alias("r"))
+    return rows.agg(F.count("*").alias("n"), ((F.min("r") >= 0) & (F.max("r") <= 999)).alias("inside"), (F.count_distinct("r") > 500).alias("varied"))
+
+
+# Procedures ------------------------------------------------------------------------------------------------------------------
+
+for _name, _text, _duck in (
+    ("procedural_loop", "DECLARE i BIGINT DEFAULT 1; DECLARE total BIGINT DEFAULT 0; WHILE i <= 100 DO SET total = total + i; SET i = i + 1; END WHILE; SELECT total AS total;", "SELECT CAST(5050 AS BIGINT) AS total"),
+    ("procedural_if", "DECLARE n BIGINT; DECLARE size STRING; SET n = (SELECT count(*) FROM {nation}); IF n > 100 THEN SET size = 'large'; ELSEIF n > 10 THEN SET size = 'middle'; ELSE SET size = 'small'; END IF; SELECT size AS size;", "SELECT CASE WHEN count(*) > 100 THEN 'large' WHEN count(*) > 10 THEN 'middle' ELSE 'small' END AS size FROM nation"),
+    ("procedural_case", "DECLARE n BIGINT; DECLARE name STRING; SET n = (SELECT count(*) FROM {region}); CASE n WHEN 4 THEN SET name = 'four'; WHEN 5 THEN SET name = 'five'; ELSE SET name = 'many'; END CASE; SELECT name AS name;", "SELECT CASE count(*) WHEN 4 THEN 'four' WHEN 5 THEN 'five' ELSE 'many' END AS name FROM region"),
+    ("procedural_for_query", "DECLARE total BIGINT DEFAULT 0; FOR r AS SELECT n_nationkey AS k FROM {nation} WHERE n_regionkey = 1 DO SET total = total + r.k; END FOR; SELECT total AS total;", "SELECT CAST(sum(n_nationkey) AS BIGINT) AS total FROM nation WHERE n_regionkey = 1"),
+    ("procedural_foreach", "DECLARE text STRING DEFAULT ''; FOR r AS SELECT explode(array('a', 'b', 'c')) AS x DO SET text = text || r.x; END FOR; SELECT text AS text;", "SELECT 'abc' AS text"),
+    ("procedural_exit_continue", "DECLARE i BIGINT DEFAULT 0; DECLARE total BIGINT DEFAULT 0; l: LOOP SET i = i + 1; IF i > 10 THEN LEAVE l; END IF; IF i % 2 = 0 THEN ITERATE l; END IF; SET total = total + i; END LOOP l; SELECT total AS total;", "SELECT CAST(25 AS BIGINT) AS total"),
+    ("procedural_exception", "DECLARE state STRING DEFAULT 'none'; BEGIN DECLARE EXIT HANDLER FOR SQLEXCEPTION SET state = 'caught'; SELECT raise_error('stop'); END; SELECT state AS state;", "SELECT 'caught' AS state"),
+    ("procedural_execute", "DECLARE n BIGINT; EXECUTE IMMEDIATE 'SELECT CAST(? * 3 AS BIGINT)' INTO n USING 14; SELECT n AS n;", "SELECT CAST(42 AS BIGINT) AS n"),
+):
+    BOOK.both(_name, f"BEGIN {_text} END", _duck)
 
 
 @query("prepared_params", "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'O'")
 def _(spark, d):
-    return spark.sql("SELECT o_orderkey FROM {orders} WHERE o_totalprice > :low AND o_orderstatus = :status", args={"low": 250000, "status": "O"}, orders=table(spark, d, "orders"))
+    db = tables.Database(spark)
+    db.create_table("orders", table(spark, d, "orders"))
+    db.prepare("large", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > :low AND o_orderstatus = :status")
+    return db.execute("large", {"low": 250000, "status": "O"})

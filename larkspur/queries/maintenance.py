@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from larkspur.plans import statistics
 from larkspur.queries.book import Book
-from larkspur.session import table
+from larkspur.session import shared_folder, table
 from larkspur.sources import partitions, tables
 
 BOOK = Book()
@@ -46,8 +46,10 @@ def _(spark, d):
 
 @query("update_case_subquery", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN (SELECT max(o_totalprice) FROM orders) WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders")
 def _(spark, d):
-    orders = table(spark, d, "orders")
-    return spark.sql("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN (SELECT max(o_totalprice) FROM {o}) WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM {o}", o=orders)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    top = orders.agg(F.max("o_totalprice")).scalar()
+    status, price = F.col("o_orderstatus"), F.col("o_totalprice")
+    return tables.update(orders, {"o_totalprice": F.when(status == "F", top).when(status == "O", price * 2).otherwise(price)}).select("o_orderkey", "o_totalprice")
 
 
 @query("delete_where", "SELECT o_orderkey FROM orders WHERE NOT coalesce(nullif(o_orderstatus, 'P') = 'F', false)")
@@ -64,6 +66,135 @@ def _(spark, d):
     return db.table("nation").select("n_nationkey")
 
 
+def _family(spark, d, on_delete="cascade", on_update="restrict"):
+    """region <- nation (some without a region) <- customer."""
+    db = tables.Database(spark)
+    db.create_table("region", table(spark, d, "region").select("r_regionkey", "r_name"), tables.Schema(primary_key=["r_regionkey"]))
+    nation = _nation(spark, d).withColumn("n_regionkey", F.when(~F.col("n_name").like("I%"), F.col("n_regionkey")))
+    db.create_table("nation", nation, tables.Schema(primary_key=["n_nationkey"], foreign_keys=[tables.ForeignKey(["n_regionkey"], "region", ["r_regionkey"], on_delete, on_update)]))
+    db.create_table("customer", table(spark, d, "customer").select("c_custkey", "c_nationkey"), tables.Schema(foreign_keys=[tables.ForeignKey(["c_nationkey"], "nation", ["n_nationkey"], on_delete, on_update)]))
+    return db
+
+
+_NULLED = "(SELECT n_nationkey, n_name, CASE WHEN n_name NOT LIKE 'I%' THEN n_regionkey END AS n_regionkey FROM nation)"
+
+
+@query("delete_cascade_nulls", f"SELECT n_nationkey, n_regionkey FROM {_NULLED} WHERE n_regionkey IS DISTINCT FROM 2")
+def _(spark, d):
+    db = _family(spark, d)
+    db.delete("region", "r_regionkey = 2")
+    return db.table("nation").select("n_nationkey", "n_regionkey")
+
+
+@query("delete_cascade_chain", f"SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM {_NULLED} WHERE n_regionkey IS DISTINCT FROM 2)")
+def _(spark, d):
+    db = _family(spark, d)
+    db.delete("region", "r_regionkey = 2")
+    return db.table("customer").select("c_custkey")
+
+
+@query("delete_set_null", f"SELECT n_nationkey, nullif(n_regionkey, 3) AS n_regionkey FROM {_NULLED}")
+def _(spark, d):
+    db = _family(spark, d, on_delete="set null")
+    db.delete("region", "r_regionkey = 3")
+    return db.table("nation").select("n_nationkey", "n_regionkey")
+
+
+@query("delete_fk_restrict", "SELECT r_regionkey, true AS refused FROM region")
+def _(spark, d):
+    db = _family(spark, d, on_delete="restrict")
+    refused = False
+    try:
+        db.delete("region", "r_regionkey = 1")
+    except tables.ConstraintError:
+        refused = True
+    return db.table("region").select("r_regionkey", F.lit(refused).alias("refused"))
+
+
+@query("update_fk_restrict", "SELECT r_regionkey, true AS refused FROM region")
+def _(spark, d):
+    db = _family(spark, d)
+    refused = False
+    try:
+        db.update("region", {"r_regionkey": "r_regionkey + 100"}, "r_name = 'ASIA'")
+    except tables.ConstraintError:
+        refused = True
+    return db.table("region").select("r_regionkey", F.lit(refused).alias("refused"))
+
+
+@query("update_fk_cascade", f"SELECT n_nationkey, n_regionkey + 100 AS n_regionkey FROM {_NULLED}")
+def _(spark, d):
+    db = _family(spark, d, on_update="cascade")
+    db.update("region", {"r_regionkey": "r_regionkey + 100"})
+    return db.table("nation").select("n_nationkey", "n_regionkey")
+
+
+@query("alter_table", "SELECT n_nationkey AS id, CAST(n_regionkey AS VARCHAR) AS region, 'new' AS mark FROM nation")
+def _(spark, d):
+    db = tables.Database(spark)
+    db.create_table("nation", _nation(spark, d), tables.Schema(primary_key=["n_nationkey"]))
+    db.alter_table("nation", add={"mark": ("string", "'new'")}, drop=["n_name"], rename={"n_nationkey": "id", "n_regionkey": "region"}, types={"region": "string"}, constraints=tables.Schema(not_null=["id"]), to="land")
+    return db.table("land")
+
+
+@query("describe_table", "SELECT CAST(1 AS INTEGER) AS place, 'r_regionkey' AS column_name, 'bigint' AS data_type UNION ALL SELECT 2, 'r_name', 'string'")
+def _(spark, d):
+    db = tables.Database(spark)
+    db.create_table("region", table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name"))
+    return db.described("region")
+
+
+@query("catalog_persistence", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def _(spark, d):
+    db = _family(spark, d)
+    db.update("nation", {"n_regionkey": "coalesce(n_regionkey, n_nationkey % 5)"})
+    db.delete("nation")
+    db.insert("nation", _nation(spark, d))
+    db.create_view("named", "SELECT r_name, n_nationkey FROM {nation} JOIN {region} ON n_regionkey = r_regionkey")
+    db.prepare("counted", "SELECT r_name, count(*) AS n FROM {named} GROUP BY r_name")
+    db.save_all(path := f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    return tables.Database.load_all(spark, path).execute("counted")
+
+
+@query("transaction_isolation", "SELECT 'read committed' AS level, count(*) AS seen FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT 'repeatable read', count(*) FROM nation UNION ALL SELECT 'serializable', -1")
+def _(spark, d):
+    db = tables.Database(spark)
+    db.create_table("nation", _nation(spark, d))
+    open_ = {level: db.begin(level) for level in tables.Transaction.LEVELS}
+    open_["serializable"].table("nation")
+    other = db.begin()
+    other.delete("nation", "n_regionkey = 0")
+    other.commit()
+    seen = [(level, t.table("nation").count()) for level, t in open_.items() if level != "serializable"]
+    try:
+        open_["serializable"].commit()
+    except tables.SerializationError:
+        seen.append(("serializable", -1))
+    return spark.createDataFrame(seen, "level string, seen long")
+
+
+@query("rollback_ddl", "SELECT n_nationkey, n_name FROM nation")
+def _(spark, d):
+    db = tables.Database(spark)
+    db.create_table("nation", _nation(spark, d).select("n_nationkey", "n_name"))
+    db.savepoint("a")
+    db.alter_table("nation", drop=["n_name"])
+    db.drop_table("nation")
+    db.create_view("nation", lambda: spark.range(1))
+    db.rollback("a")
+    return db.table("nation")
+
+
+@query("index_scan", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000 AND o_orderpriority = '1-URGENT'")
+def _(spark, d):
+    db = tables.Database(spark)
+    db.create_table("orders", table(spark, d, "orders"))
+    db.create_index("orders", "by_price", ["o_totalprice"])
+    db.create_index("orders", "by_priority", ["o_orderpriority"], method="hash")
+    db.save_indexed("orders", path := f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}", 8)
+    return spark.read.parquet(path).where("o_totalprice > 300000 AND o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+
+
 @query("pk_violations", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM (SELECT l_orderkey, nullif(l_linenumber, 7) AS l_linenumber FROM lineitem) GROUP BY ALL HAVING count(*) > 1 OR l_linenumber IS NULL")
 def _(spark, d):
     return tables.key_violations(table(spark, d, "lineitem").select("l_orderkey", F.nullif("l_linenumber", F.lit(7)).alias("l_linenumber")), ["l_orderkey", "l_linenumber"])
@@ -74,12 +205,7 @@ def _(spark, d):
     return tables.duplicate_keys(table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"])
 
 
-@query("fk_violations", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
-def _(spark, d):
-    return tables.orphans(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], table(spark, d, "customer").where("c_custkey % 7 <> 0"), ["c_custkey"])
-
-
-@query("fk_violations_whole", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@query("fk_violations", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def _(spark, d):
     return tables.orphans(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], table(spark, d, "customer").where("c_acctbal > 0"), ["c_custkey"])
 
@@ -110,10 +236,7 @@ def _(spark, d):
 def _(spark, d):
     db = tables.Database(spark)
     db.create_table("nation", _nation(spark, d))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-mv-")
-    import uuid
-
-    db.create_materialized_view("by_region", lambda: db.table("nation").groupBy("n_regionkey").agg(F.count("*").alias("n")), f"{base}/mv-{uuid.uuid4().hex}")
+    db.create_materialized_view("by_region", "SELECT n_regionkey, count(*) AS n FROM {nation} GROUP BY n_regionkey", f"{shared_folder(spark)}/mv-{uuid.uuid4().hex}")
     db.delete("nation", "n_nationkey >= 20")
     db.refresh("by_region")
     return db.table("by_region").where("n > 1").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n")
@@ -130,25 +253,47 @@ def _(spark, d):
 # Partitions ------------------------------------------------------------------------------------------------------------------
 
 
-@query("partition_range", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 100 AND o_custkey <= 600")
+@query("partition_range", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 50000 AND o_totalprice <= 180000")
 def _(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    p = partitions.Partitioned("o_custkey")
-    for name, low, high in (("p0", None, 300), ("p1", 300, 700), ("p2", 700, None)):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    p = partitions.Partitioned("o_totalprice")
+    for name, low, high in (("p0", None, 100000.0), ("p1", 100000.0, 200000.0), ("p2", 200000.0, None)):
         p.attach(name, orders.limit(0), (low, high))
     p.route(orders)
-    return p.scan(100, 600)
+    return p.scan(50000.0, 180000.0)
+
+
+@query("partition_list", "SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' WHEN c_mktsegment = 'FURNITURE' THEN 'light' ELSE 'rest' END AS child, count(*) AS n FROM customer GROUP BY 1")
+def _(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    p = partitions.Partitioned("c_mktsegment")
+    for name, bound in (("heavy", ["BUILDING", "MACHINERY"]), ("light", ["FURNITURE"]), ("rest", None)):
+        p.attach(name, rows.limit(0), bound)
+    p.route(rows)
+    return p.scan(names=True).groupBy(F.col("_child").alias("child")).agg(F.count("*").alias("n"))
 
 
-@query("partition_list", "SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE 'rest' END AS child, count(*) AS n FROM customer GROUP BY 1")
+@query("partition_hash", "SELECT 'h' || c_custkey % 4 AS child, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer GROUP BY 1")
 def _(spark, d):
-    child = partitions.list_child("c_mktsegment", {"heavy": ["BUILDING", "MACHINERY"]}, "rest")
-    return table(spark, d, "customer").groupBy(child.alias("child")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "customer").select("c_custkey")
+    p = partitions.Partitioned("c_custkey")
+    for k in range(4):
+        p.attach(f"h{k}", rows.limit(0), {"modulus": 4, "remainder": k})
+    p.route(rows)
+    p.write(path := f"{shared_folder(spark)}/hash-{uuid.uuid4().hex}")
+    stored = spark.read.parquet(path)
+    return stored.groupBy(F.col("_child").alias("child")).agg(F.count("*").alias("n"), F.sum("c_custkey").cast("long").alias("total"))
 
 
-@query("partition_hash", "SELECT c_custkey % 4 AS child, count(*) AS n FROM customer GROUP BY 1")
+@query("partition_detach", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING'")
 def _(spark, d):
-    return table(spark, d, "customer").groupBy(partitions.hash_child("c_custkey", 4).alias("child")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    p = partitions.Partitioned("c_mktsegment")
+    p.attach("building", rows.limit(0), ["BUILDING"])
+    p.attach("others", rows.limit(0), None)
+    p.route(rows)
+    p.detach("building")
+    return p.scan()
 
 
 # Statistics ------------------------------------------------------------------------------------------------------------------

@@ -36,8 +36,18 @@ def sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> Dat
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's checkpoint folder; a temporary one is set only where the session names none."""
+    """A reliable checkpoint in the session's checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-ck-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Without one, a temporary folder in local mode; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="larkspur-shared-")

@@ -4,10 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.functions import ranges, scalar, series
+from larkspur.functions import ranges, scalar, series, user
 from larkspur.operators import aggregates, joins, ordering, recursive, sets, windows
 from larkspur.plans import statistics
-from larkspur.sources import partitions, tables
+from larkspur.sources import partitions, skipping, tables
 
 DATA = "/root/testdata/sf0.001"
 
@@ -123,7 +123,7 @@ def test_folds(spark):
     df = spark.createDataFrame([(1, 10), (1, 20), (1, 30), (2, None)], "k int, v int")
     plain = aggregates.Fold("bigint", lambda a, x: a + x, finish=lambda s: s * 10)
     assert sorted(values(plain.apply(df, ["k"], "v", "s"))) == [(1, 600), (2, 0)]
-    salted = aggregates.Fold("bigint", lambda a, x: a + x, merge=lambda a, b: a + b, buckets=3)
+    salted = aggregates.Fold("bigint", lambda a, x: a + x, merge=lambda a, b: a + b)
     assert sorted(values(salted.apply(df, ["k"], "v", "s"))) == [(1, 60), (2, 0)]
     counting = aggregates.Fold("bigint", lambda a, x: a + F.when(x.isNull(), 1).otherwise(0), keep_nulls=True)
     assert sorted(values(counting.apply(df, ["k"], "v", "s"))) == [(1, 0), (2, 1)]
@@ -293,3 +293,208 @@ def test_stream_equals_batch(spark):
     q.processAllAvailable()
     q.stop()
     assert sorted(values(spark.table("hourly")), key=str) == sorted(values(events.hourly(batch)), key=str)
+
+
+# Tables, keys, transactions ---------------------------------------------------------------------------------------------------
+
+
+def family(spark, on_delete="cascade", on_update="cascade", leaf="restrict"):
+    db = tables.Database(spark)
+    db.create_table("a", spark.createDataFrame([(1,), (2,), (3,)], "id int"), tables.Schema(primary_key=["id"]))
+    db.create_table("b", spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id int, a int"), tables.Schema(primary_key=["id"], foreign_keys=[tables.ForeignKey(["a"], "a", ["id"], on_delete, on_update)], defaults={"a": "3"}))
+    db.create_table("c", spark.createDataFrame([(100, 10), (101, None)], "id int, b int"), tables.Schema(foreign_keys=[tables.ForeignKey(["b"], "b", ["id"], leaf)]))
+    return db
+
+
+def content(db, name):
+    return sorted(map(tuple, db.table(name).collect()), key=str)
+
+
+def test_cascade_goes_through_all_levels_or_nothing_changes(spark):
+    db = family(spark)
+    with pytest.raises(tables.ConstraintError):
+        db.delete("a", "id = 1")  # c refuses two levels below
+    assert [len(v) for v in db.versions.values()] == [1, 1, 1]
+    db.delete("a", "id = 2")
+    assert content(db, "b") == [(10, 1), (12, None)] and content(db, "c") == [(100, 10), (101, None)]
+    db = family(spark, leaf="cascade")
+    db.delete("a", "id = 1")
+    assert content(db, "b") == [(11, 2), (12, None)] and content(db, "c") == [(101, None)]
+    db = family(spark, on_delete="set default")
+    db.delete("a", "id = 1")
+    assert content(db, "b") == [(10, 3), (11, 2), (12, None)]
+    with pytest.raises(tables.ConstraintError):
+        db.delete("a", "id = 3")  # the default itself would be an orphan
+
+
+def test_cascade_on_itself(spark):
+    db = tables.Database(spark)
+    db.create_table("t", spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None), (5, 4)], "id int, up int"), tables.Schema(primary_key=["id"], foreign_keys=[]))
+    db.schemas["t"].foreign_keys.append(tables.ForeignKey(["up"], "t", ["id"], "cascade"))
+    db.delete("t", "id = 1")
+    assert content(db, "t") == [(4, None), (5, 4)]
+
+
+def test_changed_keys(spark):
+    db = family(spark)
+    db.update("a", {"id": "id + 50"}, "id <= 2")
+    assert content(db, "b") == [(10, 51), (11, 52), (12, None)]
+    db = family(spark, on_update="set null")
+    db.update("a", {"id": "id + 50"}, "id = 1")
+    assert content(db, "b") == [(10, None), (11, 2), (12, None)]
+    db = family(spark, on_update="restrict")
+    with pytest.raises(tables.ConstraintError):
+        db.update("a", {"id": "id + 50"}, "id = 1")
+    db.update("a", {"id": "id + 50"}, "id = 3")  # nobody refers to it
+    assert (53,) in content(db, "a")
+
+
+def test_alter_and_drop(spark, tmp_path):
+    db = family(spark)
+    db.alter_table("a", rename={"id": "key"}, add={"mark": ("string", "'x'")})
+    assert db.schemas["b"].foreign_keys[0].references == ["key"] and content(db, "a") == [(1, "x"), (2, "x"), (3, "x")]
+    with pytest.raises(tables.ConstraintError):
+        db.alter_table("a", constraints=tables.Schema(checks=["key > 1"]))
+    with pytest.raises(ValueError):
+        db.alter_table("a", add={"mark": ("int", None)})
+    db.create_index("a", "u", ["mark", "key"], unique=True)
+    db.drop_index("a", "u")
+    assert not db.schemas["a"].unique and not db.schemas["a"].indexes
+    db.create_view("v", "SELECT key FROM {a}")
+    db.create_materialized_view("m", "SELECT count(*) AS n FROM {a}", str(tmp_path / "m"))
+    assert content(db, "v") == [(1,), (2,), (3,)] and content(db, "m") == [(3,)]
+    db.drop_view("v")
+    db.drop_materialized_view("m")
+    assert not (tmp_path / "m").exists()
+    for gone in ("v", "m"):
+        with pytest.raises(KeyError):
+            db.table(gone)
+    db.drop_view("v", if_exists=True)
+    with pytest.raises(KeyError):
+        db.drop_index("a", "u")
+
+
+def test_transactions(spark):
+    db = family(spark)
+    one, two = db.begin("repeatable read"), db.begin("repeatable read")
+    one.insert("a", spark.createDataFrame([(9,)], "id int"))
+    two.insert("a", spark.createDataFrame([(8,)], "id int"))
+    assert one.table("a").count() == two.table("a").count() == 4 and db.table("a").count() == 3
+    one.commit()
+    with pytest.raises(tables.SerializationError):
+        two.commit()
+    assert (9,) in content(db, "a") and (8,) not in content(db, "a")
+    three = db.begin()
+    three.delete("a", "id = 9")
+    three.rollback()
+    with pytest.raises(ValueError):
+        three.commit()
+    assert (9,) in content(db, "a")
+    with pytest.raises(ValueError):
+        db.begin("chaos")
+
+
+def test_catalog_comes_back(spark, tmp_path):
+    db = family(spark)
+    db.create_enum("mood", ["sad", "happy"])
+    db.create_composite("point", [("x", "int"), ("y", "int")])
+    db.create_view("v", "SELECT id FROM {b} WHERE a IS NULL")
+    db.prepare("p", "SELECT id FROM {a} WHERE id > :low")
+    db.save_all(str(tmp_path / "all"))
+    back = tables.Database.load_all(spark, str(tmp_path / "all"))
+    assert content(back, "b") == content(db, "b") and back.schemas == db.schemas and back.types == db.types
+    assert content(back, "v") == [(12,)] and [r.id for r in back.execute("p", {"low": 2}).collect()] == [3]
+    with pytest.raises(tables.ConstraintError):
+        back.insert("b", spark.createDataFrame([(99, 77)], "id int, a int"))
+    db.create_view("f", lambda: spark.range(1))
+    with pytest.raises(ValueError):
+        db.save_all(str(tmp_path / "no"))
+
+
+# Plans that scale -------------------------------------------------------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_without_one_task_or_python(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    got = ordering.numbered(df, [F.col("x").asc()], "place")
+    assert all(r.place == r.x + 1 for r in got.collect()) and "Python" not in plan_of(got)
+    cursor = ordering.Cursor(df, "x")
+    assert cursor.absolute(500).x == 499 and [r.x for r in cursor.fetch(-3).collect()] == [498, 497, 496] and cursor.last().x == 999
+    assert ordering.numbered(df.limit(0), [F.col("x").asc()], "place").count() == 0
+
+
+def test_serial_has_no_single_partition_window(spark):
+    new = tables.completed(spark.range(100).select(F.col("id").cast("string").alias("name")), spark.createDataFrame([], "id long, name string"), tables.Schema(serial="id"), 5)
+    assert sorted(r.id for r in new.collect()) == list(range(6, 106)) and "Window" not in plan_of(new)
+
+
+def test_a_scan_of_children_reads_the_source_once(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "t"))
+    source = spark.read.parquet(str(tmp_path / "t"))
+    p = partitions.Partitioned("id")
+    for k in range(5):
+        p.attach(f"p{k}", source.limit(0), (20 * k, 20 * k + 20))
+    p.route(source)
+    plan = plan_of(p.scan(30, 70))
+    assert plan.count("FileScan parquet") == 1 and "GreaterThanOrEqual(id,30)" in plan and p.scan(30, 70).count() == 41
+    assert p.child("p1").count() == 20 and p.detach("p1").count() == 20 and p.scan().count() == 80
+    with pytest.raises(ValueError):
+        p.route(source)
+    h = partitions.Partitioned("id")
+    h.attach("even", source.limit(0), {"modulus": 2, "remainder": 0})
+    with pytest.raises(ValueError):
+        h.attach("four", source.limit(0), {"modulus": 4, "remainder": 2})
+    h.attach("odd", source.limit(0), {"modulus": 2, "remainder": 1})
+    h.route(source)
+    assert h.child("odd").count() == 50 and h.pruned(3, 3) == ["odd"]
+
+
+def test_a_fold_with_merge_gathers_pieces_only(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "PIECE", 10)
+    df = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(2, None), (3, 5)], "g int, v long"))
+    fold = aggregates.Fold("bigint", lambda a, x: a + x * x, merge=lambda a, b: a + b)
+    want = {1: sum(i * i for i in range(1000)), 2: 0, 3: 25}
+    assert {r.g: r.s for r in fold.apply(df, ["g"], "v", "s").collect()} == want
+    summed = aggregates.Fold("bigint", lambda a, x: a + x, built_in=F.sum)
+    out = summed.apply(df, ["g"], "v", "s")
+    assert {r.g: r.s for r in out.collect()} == {1: 499500, 2: 0, 3: 5} and "collect_list" not in plan_of(out)
+
+
+def test_indexes_skip_rows(spark, tmp_path):
+    db = tables.Database(spark)
+    db.create_table("t", spark.range(200_000).select("id", (F.col("id") * 7919 % 200_000).alias("x")))
+    db.create_index("t", "by_x", ["x"], method="brin")
+    db.save_indexed("t", str(tmp_path / "t"), 8)
+    df = spark.read.parquet(str(tmp_path / "t")).where("x BETWEEN 1000 AND 1100")
+    assert len(df.collect()) == 101
+    run = df.select("id", "x")
+    run.collect()
+    assert skipping.rows_read(run) <= 200_000 // 4
+
+
+def test_errors_of_whole_number_functions(spark):
+    one = spark.range(1)
+    for bad in (scalar.int_power(F.lit(2), -1), scalar.int_power(F.lit(10), 19), scalar.int_sqrt(F.lit(-1))):
+        with pytest.raises(Exception):
+            one.select(bad).collect()
+    assert one.select(scalar.int_power(F.lit(-1), 2**40 + 1).alias("x"), scalar.int_power(F.lit(None).cast("long"), 2).alias("y")).first() == (-1, None)
+
+
+def test_overloads_and_cache(spark):
+    f = user.Functions(spark)
+    f.create(user.Function("f", [("x", "bigint")], "$1 + 1", "bigint", volatility="immutable"))
+    f.create(user.Function("f", [("x", "string")], "upper($1)", "string"))
+    assert f.value("f", "CAST(1 AS INT)") == 2 and f.value("f", "'a'") == "A" and len(f.cache) == 1
+    with pytest.raises(ValueError):
+        f.create(user.Function("f", [("x", "string")], "$1", "string"))
+    with pytest.raises(ValueError):
+        f.value("f", "true")
+    f.drop("f", ["bigint"])
+    assert not f.cache and len(f.known["f"]) == 1
+    many = user.Function("g", [("n", "int"), ("m", "int")], "$1 * $2", "int", defaults=["10"])
+    f.create(many)
+    assert f.value("g", "4") == 40 and f.value("g", "4", "5") == 20
