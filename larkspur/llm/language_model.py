@@ -36,8 +36,8 @@ from pyspark.sql.window import Window
 
 from larkspur.llm import common
 
-DEPTH = 3
-LEAST_PAIR, DIVERGENCE = 3, 2.0
+DEPTH = 2
+LEAST_PAIR, DIVERGENCE = 3, 6.0
 HEAD_WORDS, HEAD_KEYS = 1_000_000, 1_000_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
@@ -422,7 +422,7 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, he
                 row += len(texts)
                 none = pa.nulls(len(texts), pa.binary())
                 made = {"row": pa.array(rows), "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(value)}
-                yield pa.RecordBatch.from_pydict(made if complete else made | {"bucket": pa.array((rows % (3 * n)).astype(np.int32)), "keys": none, "columns": none})
+                yield pa.RecordBatch.from_pydict(made if complete else made | {"bucket": pa.array(_home(rows, 3 * n)), "keys": none, "columns": none})
                 if not complete:
                     held.append((keys.view(np.uint64), np.repeat(rows, np.diff(bounds))))
                     size += len(keys)
@@ -441,8 +441,8 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, he
         worth = worth.unionByName(tail(grown, least_key).select("key", F.lit(0.0).alias("b"), F.col("value").alias("s"), F.lit(False).alias("word")))
         asked = rows.mapInArrow(run, f"{schema}, bucket int, keys binary, columns binary")
         known = worth.mapInArrow(_known(3 * n, asked.schema), asked.schema)
-        rows = asked.unionByName(known).repartition(n, "bucket").mapInArrow(_answered, schema)
-        rows = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in sums])
+        answered = asked.unionByName(known).repartition(n, "bucket").mapInArrow(_answered(3 * n), asked.schema)
+        rows = answered.repartition(n, "bucket").mapInArrow(_totals, schema)
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -458,6 +458,11 @@ def _cut(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
     return list(zip(of[head].tolist(), head.tolist(), [*head[1:].tolist(), len(keys)], strict=True)) if len(head) else []
 
 
+def _home(rows: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket in which a row's answers meet: that of the task that read it."""
+    return ((rows >> 40) % n_buckets).astype(np.int32)
+
+
 def _asked(held: list, n_buckets: int, kind: pa.DataType) -> pa.RecordBatch:
     """Keys that rows look for, a run a bucket; row: the least one of the run; columns: each key's row from there."""
     keys, rows = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -486,40 +491,78 @@ def _known(n_buckets: int, schema):
     return run
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs dealt out by bucket -> the sums of each row's keys in a bucket; rows of documents pass through."""
+def _answered(n_buckets: int):
+    """Runs dealt out by bucket -> what their keys add to each row: runs of rows by home, each with base, score and known tokens; rows of documents pass through."""
+
+    def values(parts: list) -> tuple[np.ndarray, ...]:
+        keys, b, s, word = (np.concatenate(x) for x in zip(*((k, np.frombuffer(c, count=len(k)), np.frombuffer(c, count=len(k), offset=8 * len(k)), np.frombuffer(c, dtype=bool, offset=16 * len(k))) for k, c in parts), strict=True))
+        order = np.argsort(keys)
+        return keys[order], b[order], s[order], word[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.returned()
+        tables_, asked = {}, {}
+        kind = None
+        for batch in batches:
+            kind = batch.column("doc_id").type
+            plain = batch.filter(pa.compute.is_null(batch.column("keys")))
+            if plain.num_rows:
+                yield pa.RecordBatch.from_arrays(plain.columns, names=plain.schema.names)
+            runs = batch.filter(pa.compute.is_valid(batch.column("keys")))
+            for row, bucket, keys, columns in zip(*(runs.column(c).to_pylist() for c in ("row", "bucket", "keys", "columns")), strict=True):
+                (tables_ if row is None else asked).setdefault(bucket, []).append((row, keys, columns))
+        found = []
+        while asked:
+            bucket, wanted = asked.popitem()
+            parts = [(common.unpacked(k), c) for _, k, c in tables_.pop(bucket, [])]
+            if not parts:
+                continue
+            keys, b, s, word = values(parts)
+            for first, k, c in wanted:
+                at, there = find(keys, common.unpacked(k))
+                found.append(_summed(np.frombuffer(c, dtype=np.uint32).astype(np.int64)[there] + first, b[at[there]], s[at[there]], word[at[there]]))
+            if sum(len(x[0]) for x in found) > 1 << 20:
+                found = [_summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+        if not found:
+            return
+        rows, b, s, k = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        home = _home(rows, n_buckets)
+        order = np.argsort(home, kind="stable")
+        rows, b, s, k, home = (x[order] for x in (rows, b, s, k, home))
+        head = np.flatnonzero(np.diff(home, prepend=-1)).tolist()
+        for x, y in zip(head, [*head[1:], len(home)], strict=True):
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+            yield _rows([None], pa.nulls(1, kind), none, [int(home[x])], [common.packed(rows[x:y].view(np.uint64))], [b[x:y].tobytes() + s[x:y].tobytes() + k[x:y].astype(np.uint32).tobytes()])
+
+    return run
+
+
+def _summed(rows: np.ndarray, b: np.ndarray, s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of the values of each row, by row."""
+    out, of = np.unique(rows, return_inverse=True)
+    return out, *(np.bincount(of, weights=x, minlength=len(out)).astype(float) for x in (b, s, k))
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents and runs of answers dealt out by home -> the documents with their answers added."""
     common.returned()
-    tables_, asked = {}, {}
-    names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"]
-    kind = None
+    documents, answers = [], []
     for batch in batches:
-        kind = batch.column("doc_id").type
         plain = batch.filter(pa.compute.is_null(batch.column("keys")))
         if plain.num_rows:
-            yield pa.RecordBatch.from_arrays([plain.column(c) for c in names], names=names)
+            documents.append(plain)
         runs = batch.filter(pa.compute.is_valid(batch.column("keys")))
-        for row, bucket, keys, columns in zip(*(runs.column(c).to_pylist() for c in ("row", "bucket", "keys", "columns")), strict=True):
-            (tables_ if row is None else asked).setdefault(bucket, []).append((row, keys, columns))
-    while asked:
-        bucket, wanted = asked.popitem()
-        parts = [(common.unpacked(k), c) for _, k, c in tables_.pop(bucket, [])]
-        if not parts:
-            continue
-        keys, b, s, word = (np.concatenate(x) for x in zip(*((k, np.frombuffer(c, count=len(k)), np.frombuffer(c, count=len(k), offset=8 * len(k)), np.frombuffer(c, dtype=bool, offset=16 * len(k))) for k, c in parts), strict=True))
-        order = np.argsort(keys)
-        keys, b, s, word = keys[order], b[order], s[order], word[order]
-        for first, k, c in wanted:
-            mine, rows = common.unpacked(k), np.frombuffer(c, dtype=np.uint32).astype(np.int64)
-            at, there = find(keys, mine)
-            at, rows = at[there], rows[there]
-            if not len(at):
-                continue
-            out, of = np.unique(rows, return_inverse=True)
-            n = len(out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out + first), pa.nulls(n, kind), pa.array(np.zeros(n, dtype=np.int64)), pa.array(np.bincount(of, weights=word[at], minlength=n).astype(np.int64)), pa.array(np.bincount(of, weights=b[at], minlength=n)), pa.array(np.bincount(of, weights=s[at], minlength=n))],
-                names=names,
-            )
+        for keys, c in zip(*(runs.column(x).to_pylist() for x in ("keys", "columns")), strict=True):
+            rows = common.unpacked(keys)
+            n = len(rows)
+            answers.append((rows.view(np.int64), np.frombuffer(c, count=n), np.frombuffer(c, count=n, offset=8 * n), np.frombuffer(c, dtype=np.uint32, offset=16 * n)))
+    rows, b, s, k = _summed(*(np.concatenate(x) for x in zip(*answers, strict=True))) if answers else (np.zeros(0, dtype=np.int64), *[np.zeros(0)] * 3)
+    for batch in documents:
+        at, there = find(rows, batch.column("row").to_numpy())
+        more = [np.where(there, x[at], 0) if len(rows) else np.zeros(batch.num_rows) for x in (k, b, s)]
+        columns = {c: batch.column(c) for c in ("row", "doc_id", "n_tokens")}
+        columns |= {c: pa.array(batch.column(c).to_numpy() + x.astype(batch.column(c).to_numpy().dtype)) for c, x in zip(("n_known", "base_score", "score"), more, strict=True)}
+        yield pa.RecordBatch.from_pydict(columns)
 
 
 def op8_score(spark: SparkSession, sf_dir: str) -> DataFrame:
