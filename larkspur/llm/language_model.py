@@ -38,7 +38,7 @@ from larkspur.llm import common
 
 DEPTH = 2
 LEAST_PAIR, DIVERGENCE = 3, 6.0
-HEAD_WORDS, HEAD_KEYS = 1_000_000, 1_000_000
+HEAD_WORDS, HEAD_KEYS = 2_000_000, 2_000_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 600_000
