@@ -19,6 +19,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.session import shared_folder
+
 #: Bits in a membership bitmap (16 MiB). Fixed, so what is collected and broadcast does not grow with the data.
 BITMAP_BITS = 1 << 27
 
@@ -89,10 +91,10 @@ def discard(*stored_: DataFrame) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of this context's checkpoints; a temporary one is set only where the session names none."""
+    """The folder of this context's checkpoints, below the shared folder of the session."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-ck-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -108,7 +110,7 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint folder (a temporary one only where none is set)."""
+    """Cut lineage with a reliable checkpoint in the session's checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

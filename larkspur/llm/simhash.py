@@ -9,9 +9,17 @@ gathered: its members are indexed once more under the one-wildcard variants of t
 Groups of that second index have at most 18 free bits; large ones are linked by looking up the few hundred neighbours of each
 member, linear in their size. Exact copies share one fingerprint and are one node.
 
-Defined cases: a null or wordless text has fingerprint zero, linked like any other; one row per input row, repeated rows and
-null ids included (a null id is never the smallest unless all are null); other columns are ignored by the query and kept by
-``deduplicate``.
+``deduplicate`` keeps one document of each group of near copies: links are pairs whose sets of five-word shingles have a Jaccard
+similarity of ``SIMILARITY`` or more. A 64-bit fingerprint cannot reach those alone: at 0.8 two of them differ in about ten bits,
+far beyond what any index of variants can hold apart. So the SimHash links are candidates beside others: texts that have the same
+five least hashes in one of ``BANDS`` families (0.9996 of the pairs at 0.8) are candidates with the least of their group. Every
+candidate is verified on the whole shingle sets; those refused by the least one are grouped anew without it, ``ROUNDS`` times.
+Exact copies are one node from the start, and pairs within a group are never all made.
+
+Defined cases: a null or wordless text has fingerprint zero, linked like any other (for ``deduplicate``: all of them are copies of one
+another); a text of fewer words than a shingle is one shingle; a text of any length is read whole; an empty table gives an empty
+result; one row per input row, repeated rows and null ids included (a null id is never the smallest unless all are null); other
+columns, whatever their names, are ignored by the query and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ from larkspur.llm import common
 from larkspur.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
+#: Of near copies: words of a shingle, least similarity, families of least hashes, hashes in each, times that refused candidates are grouped anew.
+NEAR, SIMILARITY, BANDS, ROWS, ROUNDS = 5, 0.8, 20, 5, 3
 #: Fingerprints under one variant that are compared with one another in place.
 GROUP = 1024
 SLICE_BYTES = 8 << 20
@@ -192,19 +202,146 @@ def classes(rows: DataFrame) -> DataFrame:
     return joined.join(least, "root", "left").select("fingerprint", root.alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row of each class of near-duplicates, with all its columns: the one with the smallest doc_id (nulls last), ties by the row's hash."""
+_FAMILIES = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(words: list[bytes], n: int = NEAR) -> np.ndarray:
+    """Hashes of the word shingles; fewer words than one are one shingle, no words none."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    grams = [b" ".join(words)] if len(words) < n else map(b" ".join, zip(*(words[i:] for i in range(n)), strict=False))
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED))), dtype=">u8").astype(np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        ones += np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each family, of the least values of its hash functions over the shingles."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 512):
+        values = (hashes[at : at + 512, None] ^ _FAMILIES[0]) * _FAMILIES[1]
+        least = np.minimum(least, (values ^ (values >> np.uint64(29))).min(axis=0))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, ROWS).T:
+        out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
+    return out
+
+
+def _nodes(text: str, sketched: bool):
+    """Adds the hash of a text's folded words and, ``sketched``, its fingerprint and bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in common.slices(whole, text, SLICE_BYTES):
+                node, prints, keys = [], [], []
+                for t in common.texts_as_bytes(batch.column(text)).to_pylist():
+                    words = t.lower().split() if t else []
+                    node.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+                    if sketched:
+                        hashes = shingles(words)
+                        prints.append(majority(hashes))
+                        keys.append(bands(hashes))
+                columns, names = list(batch.columns), list(batch.schema.names)
+                columns.append(pa.array(common.signed(np.array(node, dtype=np.uint64)), pa.int64()))
+                names.append("__node")
+                if sketched:
+                    at = names.index(text)
+                    del columns[at], names[at]
+                    offsets = pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32))
+                    columns += [pa.array(common.signed(np.array(prints, dtype=np.uint64)), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(common.signed(np.concatenate(keys)) if keys else [], pa.int64()))]
+                    names += ["__print", "__bands"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__node, text) -> (__node, set): the sorted shingle hashes, 32 bits of each."""
+    for whole in batches:
+        for batch in common.slices(whole, "text", SLICE_BYTES):
+            sets = [np.unique(shingles(t.lower().split() if t else []).astype(np.uint32)).tobytes() for t in common.texts_as_bytes(batch.column("text")).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("__node"), pa.array(sets, pa.binary())], names=["node", "set"])
+
+
+def _verified(similarity: float):
+    """(a, b, x, y) -> (a, b, near): whether the sets x and y are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                m, n = len(x) // 4, len(y) // 4
+                if min(m, n) < similarity * max(m, n) or not m:
+                    near.append(False)
+                    continue
+                both = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)]))
+                shared = int((both[1:] == both[:-1]).sum())
+                near.append(shared >= similarity * (m + n - shared) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], names=["a", "b", "near"])
+
+    return run
+
+
+def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified links (a, b) among the distinct texts ``nodes`` (node, print, bands) of ``docs`` (text): those that join each to the least of its groups."""
+    spark = docs.sparkSession
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    groups = lambda k: k.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
+    leads = nodes.groupBy("print").agg(F.min("node").alias("lead"))
+    of = lambda c: leads.select(F.col("print").alias(c), F.col("lead").alias(f"{c}_lead"))
+    close = links(leads.select(F.col("print").alias("fingerprint"))).join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_lead", "b_lead").alias("a"), F.least("a_lead", "b_lead").alias("b"))
+    same = nodes.join(leads, "print").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    asked = common.stored(keyed.join(groups(keyed), "key").where("node <> b").select("key", F.col("node").alias("a"), "b"))
+    pairs = common.stored(close.unionByName(same).where("a <> b").unionByName(asked.select("a", "b")).distinct())
+    members = asked.select(F.col("a").alias("__node")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    texts = docs.select("text").mapInArrow(_nodes("text", False), "text string, __node long").join(members, "__node", "left_semi").dropDuplicates(["__node"])
+    sets = common.stored(texts.select("__node", "text").mapInArrow(_sets, "node long, set binary"))
+    found = []
+    for left in range(ROUNDS, 0, -1):
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        judged = common.stored(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long, near boolean"))
+        found.append(judged.where("near").select("a", "b"))
+        if left == 1:
+            break
+        refused = asked.join(judged.where("not near").select("a", "b"), ["a", "b"]).select("key", F.col("a").alias("node"))
+        refused = common.stored(refused)
+        asked = common.stored(refused.join(groups(refused), "key").where("node <> b").select("key", F.col("node").alias("a"), "b"))
+        pairs = common.stored(asked.select("a", "b").distinct())
+        if pairs.isEmpty():
+            break
+    common.release(spark)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def deduplicate(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies, with all its columns: the one with the smallest doc_id (nulls last), ties by the row's hash."""
+    from pyspark.sql import types as T
+
+    common.prepare(docs.sparkSession)
     names = docs.columns
     tie = F.xxhash64(*[F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes])
-    marked = with_fingerprints(docs, text, "__print").withColumn("__tie", tie)
-    rows = common.stored(marked.select("doc_id", F.col("__print").alias("fingerprint"), F.col("__tie").alias("tie")))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")
-    of_print = rows.groupBy("fingerprint").agg(F.min(order).alias("best"))
-    best = of_print.join(classes(rows.select("doc_id", "fingerprint")).select("fingerprint", "root"), "fingerprint").groupBy("root").agg(F.min(F.struct("best", "fingerprint")).alias("x"))
-    chosen = best.select(F.col("x.fingerprint").alias("__print"), F.col("x.best.doc_id").alias("__id"), F.col("x.best.tie").alias("__tie"))
-    same = [marked["__print"] == chosen["__print"], marked["__tie"] == chosen["__tie"], marked["doc_id"].eqNullSafe(chosen["__id"])]
-    kept = marked.join(chosen, same[0] & same[1] & same[2], "left_semi")
-    return kept.dropDuplicates(["__print", "__tie"]).select(*names)
+    slim = docs.select("doc_id", tie.alias("__tie"), F.col(text).alias("text"))
+    kind = docs.schema["doc_id"].dataType
+    sketch = T.StructType([T.StructField("doc_id", kind), T.StructField("__tie", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__print", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+    rows = common.stored(slim.mapInArrow(_nodes("text", True), sketch))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__tie").alias("tie"))
+    nodes = common.stored(rows.groupBy(F.col("__node").alias("node")).agg(F.min(order).alias("best"), F.min("__print").alias("print"), F.min("__bands").alias("bands")))
+    roots_ = components(near_links(slim.select("text"), nodes.select("node", "print", "bands"), similarity))
+    joined = nodes.select("node", "best").join(roots_, "node", "left")
+    best = joined.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("best", "node")).alias("x"))
+    chosen = best.select(F.col("x.node").alias("__node"), F.col("x.best.doc_id").alias("__id"), F.col("x.best.tie").alias("__tie"))
+    marked = docs.withColumn("__tie", tie)
+    kept = marked.join(chosen.select("__id", F.col("__tie").alias("__chosen")), (marked["__tie"] == F.col("__chosen")) & marked["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return kept.dropDuplicates(["__tie"]).select(*names)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
