@@ -163,6 +163,42 @@ def test_one_row_of_each_class_stays(spark):
     assert simhash.deduplicate(docs.limit(0)).count() == 0
 
 
+def jaccard(a, b):
+    sets = [set(zip(*((t or "").lower().split()[i:] for i in range(5)), strict=False)) for t in (a, b)]
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def edited(r, words, share):
+    return [r.choice(WORDS) + "x" if r.random() < share else w for w in words]
+
+
+def test_near_copies_go_and_others_stay(spark):
+    """Of edited copies, nearly all pairs from 0.8 are found, and no two kept texts are as near as that but for those few."""
+    r = random.Random(12)
+    texts, family = [], []
+    for k in range(60):
+        base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(r.randint(60, 300))]
+        for share in (0, 0.005, 0.01, 0.02, 0.03, 0.1):
+            texts.append(" ".join(edited(r, base, share)))
+            family.append(k)
+    docs = table(spark, texts)
+    kept = sorted(x.doc_id for x in simhash.deduplicate(docs).collect())
+    near = [(i, j) for k in range(0, len(texts), 6) for i in range(k, k + 6) for j in range(i) if j >= k and jaccard(texts[i], texts[j]) >= 0.8]
+    missed = [(i, j) for i, j in near if i in kept and j in kept]
+    assert len(near) > 150 and len(missed) <= 0.02 * len(near)
+    assert {0, 6, 12} <= set(kept)  # the smallest id of each family
+    linked = {i for p in near for i in p}
+    assert set(range(len(texts))) - linked <= set(kept)
+
+
+def test_a_large_group_of_near_copies(spark):
+    r = random.Random(3)
+    base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(200)]
+    texts = [" ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in range(5, 195)] * 2 + ["something else altogether that is no copy of it"]
+    kept = sorted(x.doc_id for x in simhash.deduplicate(table(spark, texts)).collect())
+    assert kept == [0, len(texts) - 1]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
@@ -353,14 +389,83 @@ def test_base_patterns():
         assert pii.base_spans(t) == brute_base(t), t
 
 
+DISGUISED = [
+    ("email", "please write to {} for more", ["john dot smith at gmail dot com", "anna.weber (at) firma (dot) de", "peter_pan at neverland dot org", "lucy [at] sky [dot] net"]),
+    ("email", "contact: {} thanks a lot", ["maria [at] example [dot] org", "jane.doe(at)company(dot)co(dot)uk", "info at my-shop dot de", "sven (at) werk.se"]),
+    ("email", "his address, {}, is on the door", ["tim(at)web.de", "ann-marie @ post . example . com", "bob_77 at mail dot net", "kurt at uni dot edu"]),
+    ("ip", "the server {} is down again", ["192 . 168 . 0 . 12", "10[.]0[.]0[.]5", "172 dot 16 dot 4 dot 9", "8(.)8(.)4(.)4"]),
+    ("card", "he paid with {} last week", ["4111.1111.1111.1111", "5105/1051/0510/5100", "4012_8888_8888_1881", "3782.8224.6310.0052"]),
+    ("phone", "call {} before noon please", ["(555) 123-4567", "555-867-5309", "0049 170 555 1234", "555.222.9876", "030/1234567", "089 5551234"]),
+]
+HARMLESS = [
+    "we met at noon near the red dot on the map", "he arrived at ten and left at eleven", "version 2.10.3 was out on 2024-05-17", "price $1,234.50 for order 88231",
+    "look at the polka dot dress at home", "figure 3.2.1 and table 10.4 in section 7", "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff fixed it", "score was 3-2 at half time and 5-4 after",
+    "chapter 12, page 345, line 6", "in 1999 and 2001 they were at war", "that that that that at at at at", "a dot at the end of a line is a full stop", "the number 4465758382889436 is no card", "at at dot dot com com",
+]
+
+
+def test_disguised_data_that_the_generator_did_not_make():
+    net, hit, exact, total = pii.loaded(), 0, 0, 0
+    for kind, frame, values in DISGUISED:
+        for v in values:
+            text = "Some prose stands before it. " * 9 + frame.format(v) + " and more of it follows here." * 30
+            ((base, spans),) = pii.all_spans(net, [text])
+            k = pii.KINDS.index(kind)
+            if kind == "card" and not pii.luhn(pii.digits(v)):
+                continue
+            total += 1
+            at = text.index(v)
+            hit += any(s[0] == k and s[1] < at + len(v) and s[2] > at for s in spans)
+            exact += any(s == (k, at, at + len(v)) for s in spans)
+            assert not base and len(spans) <= 1, (v, spans)
+    assert hit >= 0.9 * total > 20 and exact >= 0.8 * total
+    assert not any(spans for _, spans in pii.all_spans(net, HARMLESS))
+
+
 def test_network_on_held_out_sentences():
-    net = pii.train()
+    net = pii.loaded()
     tp = fp = fn = 0
     test = pii.labelled(200, 4242)
-    for tags, (_, spans) in zip(pii.decode(net, [t for t, _ in test]), test, strict=True):
-        a, b = set(pii.tagged(tags)), set(spans)
+    for found, (_, spans) in zip(pii.decode(net, [t for t, _ in test]), test, strict=True):
+        a, b = {s for s, gain in found if gain >= pii.LEAST_GAIN}, set(spans)
         tp, fp, fn = tp + len(a & b), fp + len(a - b), fn + len(b - a)
-    assert 2 * tp / (2 * tp + fp + fn) > 0.9
+    assert tp / (tp + fn) > 0.93 and tp / (tp + fp) > 0.97
+
+
+def test_training_is_reproducible():
+    one, two = (pii.train(sentences=300, epochs=1, seed=3).w for _ in range(2))
+    assert set(one) == set(pii.loaded().w) and all((one[k] == two[k]).all() and one[k].shape == pii.loaded().w[k].shape for k in one)
+
+
+def test_windows_cover_every_character():
+    for n in (0, 1, pii.WINDOW - 1, pii.WINDOW, pii.WINDOW + 1, 3 * pii.WINDOW + 7):
+        covered = {k for a in pii.starts(n) for k in range(a, min(a + pii.WINDOW, n))}
+        assert covered == set(range(n))
+
+
+def test_places_left_out_are_none_in_the_best_path():
+    g = np.random.default_rng(0)
+    tr = np.where(pii.ALLOWED, g.normal(0, 1, (pii.TAGS, pii.TAGS)), pii.FORBIDDEN).astype(np.float32)
+    for _ in range(200):
+        n = int(g.integers(1, 40))
+        e = g.normal(0, 2, (n, pii.TAGS)).astype(np.float32)
+        e[:, 0] += g.choice([0, 2, 4])
+        (whole,) = pii._paths(tr, [e], [(False, False)])
+        live = pii.possible(e.T, tr, np.array([0]), np.array([n - 1]))
+        edge = np.flatnonzero(np.diff(live.astype(np.int8), prepend=0, append=0))
+        runs, parts = list(zip(edge[::2], edge[1::2], strict=True)), np.zeros(n, dtype=int)
+        for (a, b), p in zip(runs, pii._paths(tr, [e[a:b] for a, b in runs], [(a > 0, b < n) for a, b in runs]), strict=True):
+            parts[a:b] = p
+        value = lambda p, e=e: e[np.arange(len(p)), p].sum() + tr[p[:-1], p[1:]].sum()
+        assert live[whole != 0].all() and abs(value(whole) - value(parts)) < 1e-3
+
+
+def test_spans_do_not_depend_on_the_texts_beside(spark):
+    net, r = pii.loaded(), random.Random(2)
+    texts = ["call 555-867-5309 now", "", "x " * 3000 + "mail bob at web dot de", "10[.]0[.]0[.]5"] + [" ".join(r.choice(WORDS) for _ in range(r.randint(1, 400))) for _ in range(40)]
+    alone = [pii.all_spans(net, [t])[0] for t in texts]
+    assert pii.all_spans(net, texts) == alone and pii.all_spans(net, texts[::-1]) == alone[::-1]
+    assert pii.find(table(spark, [])).count() == 0 and pii.redact(table(spark, [])).count() == 0
 
 
 def test_gradients_are_right():
@@ -378,22 +483,6 @@ def test_gradients_are_right():
         assert abs((up - down) / 2e-3 - grad[name][at]) < 1e-3 * max(1, abs(grad[name][at])), name
 
 
-def test_stretches_hold_whole_addresses():
-    """No stretch begins or ends inside an address, however long its parts are."""
-    local, domain = "maximiliane.oberhuber-lindenbaum", "landesvermessungsamt-niederbayern"
-    for address in (f"{local} at {domain} dot example dot com", f"{local}(at){domain}(dot)com", f"{local} [at] {domain}.com", "maria.gonzalez at example dot com", f"x@ {domain}"):
-        text = f"please write soon to {address} or come by some other day if you like"
-        at = text.index(address)
-        assert any(a <= at and at + len(address) <= b for a, b in pii.stretches(text)), address
-    assert pii.stretches("a1" * 50_000) == [(0, 100_000)]
-
-
-def test_disguised_address_is_found_whole():
-    text = "please write soon to maria.gonzalez at example dot com or come by"
-    (_, spans), = pii.all_spans(pii.train(), [text])
-    assert [text[a:b] for k, a, b in spans if k == 0] == ["maria.gonzalez at example dot com"]
-
-
 def test_personal_data(spark):
     texts = ["mail a.b@c.org or call +1 (017) 555-7713 now", None, "", "no data, version 2.0 of 2024", "tail " * 300 + "10.0.0.1", "host [at] mail [dot] com é 4111 1111 1111 1111"]
     got = pii.find(table(spark, texts)).orderBy("doc_id").collect()
@@ -655,15 +744,22 @@ def test_pipeline_against_its_parts(spark):
     automaton = model.automaton()
     assert set(first) == {i for i, r in all_.items() if model.score(np.array([model.features(automaton, r.text)]))[0] < 0.5}
     ids = sorted(first)
-    roots = brute_components(ids, [brute_fingerprint(first[i].text) for i in ids])
-    assert set(second) == set(roots)
+    sets = {i: set(zip(*((first[i].text or "").lower().split()[k:] for k in range(5)), strict=False)) for i in ids}
+    least = dict(zip(ids, ids, strict=True))
+    for _ in range(3):
+        for i in ids:
+            for j in ids:
+                if j < i and (first[i].text == first[j].text or sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                    least[i] = least[j] = min(least[i], least[j])
+    assert set(second) == {i for i in ids if least[i] == i}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     order = sorted(second)
-    hits = brute_contamination([second[i].text for i in order], items) if len(order) < 60 else None
-    if hits is None:
-        got = {r.doc_id for r in decontaminate.contamination(out[1], spark.read.parquet(f"{DATA}/benchmark.parquet")).collect() if not r.contaminated}
-        assert set(third) == got
-    net = pii.train()
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[i : i + min(10, len(w))]) for _, t in items if (w := split(t)) for i in range(len(w) - min(10, len(w)) + 1)}
+    sizes = {len(w) for w in windows}
+    hit = lambda w: any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+    assert set(third) == {i for i in order if not hit(split(second[i].text))}
+    net = pii.loaded()
     for i, r in third.items():
         assert fourth[i].text == pii.masked(r.text, pii.all_spans(net, [r.text])[0][1])
     packed = out[4].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
