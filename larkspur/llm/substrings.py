@@ -1,22 +1,26 @@
-"""Removal of word windows that an earlier document already has, by content-defined phrases.
+"""Removal of word windows that an earlier document already has, by relative Lempel-Ziv parsing against reference blocks.
 
-This stands in place of a relative Lempel-Ziv parse: no longest match is searched. Parsing each document against each block of
-the reference in turn costs the square of the corpus, so reference blocks are content-defined:
-the window of ``WINDOW`` words belongs to the block of its anchor (the least hash of its ``GRAM``-word shingles), and a
-document's text meets just the blocks of its own anchors.
+Every text is parsed against every reference block that could hold a match for it. Blocks are content-defined: the window of
+``WINDOW`` words belongs to the block of its anchor (the least hash of its ``GRAM``-word shingles), so equal windows lie in the same
+block wherever they occur, and a text meets just the blocks of its own anchors; no block that could match is left out.
 
 * A *phrase* is a maximal run of consecutive windows with one anchor. Of a phrase that an earlier document has as a whole, all
-  windows are duplicates.
-* Where a phrase differs between documents, a repeat may begin or end inside it. These *boundary* phrases, one copy of each
-  variant, are checked window by window.
-
-Both steps are equality shuffles of fixed-width hashes (128 bits decide); exact and near copies collapse to one variant by
-partial aggregation, so a text held by a third of all documents moves no large group to one task. Maps of fixed size
-(``common.membership_bitmap``) keep phrases that occur once out of the shuffles. Only texts that lose words are moved.
-
-Defined cases: null, empty and short texts (fewer than ``WINDOW`` words) have no windows and lose nothing; a row with a null
-id is neither source nor target; rows sharing an id are judged one by one and do not affect each other; other columns are
-ignored.
+  windows are duplicates: one factor, found by the phrase's hash.
+* The other phrases of a block that several documents share are its reference. In the order of their documents, each is factored
+  greedily against those of earlier documents, which are indexed by window: at each place the longest match becomes a factor
+  (from document, from word, length). Where a factor ends, the windows that lie across its end are looked up as well, since each may
+  occur elsewhere in the block. Factors of ``WINDOW`` words or more are the duplicate spans.
+* A block of more than ``BLOCK`` different phrases (a common line among ever new neighbours) is not gathered: it is split by window,
+  so its factors have the length of one.
+
+Both steps are equality shuffles of fixed-width hashes (128 bits of a phrase, 64 of each word, decide); exact and near copies
+collapse to one phrase by partial aggregation, so a text held by a third of all documents moves no large group to one task. Maps of
+fixed size (``common.membership_bitmap``) keep phrases that occur once out of the shuffles; when a corpus fills them, more rows pass
+and the results stay the same. Only texts that lose words are moved.
+
+Defined cases: null, empty and short texts (fewer than ``WINDOW`` words) have no windows and lose nothing; a text of any length is
+read whole; a row with a null id is neither source nor target; rows sharing an id are judged one by one and do not affect each
+other; an empty table gives an empty result; ids that are no whole numbers are an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from larkspur.llm import common
 
 WINDOW, GRAM = 13, 5
+#: Different phrases of a block that are indexed and factored in one place.
+BLOCK = 2000
 SLICE_BYTES = 1 << 19
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -41,7 +47,7 @@ class Parse:
     def __init__(self, texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
         data, starts, ends, first = common.split_words(texts)
         self.first, n = first, len(starts)
-        words = common.word_hashes(data, starts, ends, common.FIRST)
+        self.words = words = common.word_hashes(data, starts, ends, common.FIRST)
         self.one, self.two = common.FIRST.prefix(words), common.SECOND.prefix(common.mix(words ^ _OTHER))
         text = np.repeat(np.arange(len(texts)), np.diff(first))
         self.window = window
@@ -106,14 +112,87 @@ def _place(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarra
     return common.signed(common.mix(u[0] ^ common.mix(u[1] + common.mix(u[2] + _OTHER))))
 
 
-def duplicate_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, start, length): word spans of (doc_id long, tag int, text) that earlier documents have; they may overlap."""
-    sc = docs.sparkSession.sparkContext
+def factored(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
+    """Factors (row number, place, length, source row, place there) of the rows (doc_id, words as bytes) of one block, sorted by doc_id.
+
+    Rows of one document are no sources for each other.
+    """
+    size, out = 8 * window, []
+    index: dict[bytes, list[tuple[int, int]]] = {}
+    fresh: list[int] = []
+
+    def learn() -> None:
+        for j in fresh:
+            w = rows[j][1]
+            for at in range(0, len(w) - size + 1, 8):
+                index.setdefault(w[at : at + size], []).append((j, at))
+        fresh.clear()
+
+    for i, (doc, mine) in enumerate(rows):
+        if fresh and rows[fresh[0]][0] != doc:
+            learn()
+        at, end = 0, len(mine)
+        while at + size <= end:
+            best = (0, 0, 0)
+            for j, there in index.get(mine[at : at + size], ()):
+                other, n = rows[j][1], size
+                while at + n < end and mine[at + n : at + n + 8] == other[there + n : there + n + 8]:
+                    n += 8
+                if n > best[0]:
+                    best = (n, j, there)
+                    if at + n == end:
+                        break
+            if best[0]:
+                out.append((i, at // 8, best[0] // 8, best[1], best[2] // 8))
+                at += best[0] - size  # the windows across its end are looked up next
+            at += 8
+        fresh.append(i)
+    return out
+
+
+def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, doc_id, tag, start, words) sorted by anchor and doc_id -> factors."""
+
+    def parsed(block: list[tuple]) -> None:
+        for i, at, n, j, there in factored([(doc, words) for doc, _, _, words in block]):
+            doc, tag, start, _ = block[i]
+            made.append((doc, tag, start + at, n, block[j][0], block[j][2] + there))
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*made, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "tag", "start", "length", "from_doc", "from_word"])
+
+    made: list[tuple] = []
+    anchor, block = None, []
+    for b in batches:
+        for key, *row in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "tag", "start", "words")), strict=True):
+            if key != anchor:
+                if len(block) > 1:
+                    parsed(block)
+                anchor, block = key, []
+            block.append(row)
+        if made:
+            yield batch()
+            made = []
+    if len(block) > 1:
+        parsed(block)
+    yield batch()
+
+
+FACTORS = "doc_id long, tag int, start int, length int, from_doc long, from_word int"
+
+
+def factors(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, start, length, from_doc, from_word): factors of (doc_id long, tag int, text) of ``WINDOW`` words or more that earlier documents have; they may overlap.
+
+    from_word is null where just the phrase's hash has been looked up.
+    """
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     docs = docs.where("doc_id is not null")
     repeated = docs.mapInArrow(_anchors, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     seen = sc.broadcast(common.membership_bitmap(repeated, "anchor"))
-    del repeated
-    common.release(docs.sparkSession)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, p in _parsed(batches):
@@ -122,31 +201,50 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
 
     found = common.stored(docs.mapInArrow(phrases, "anchor long, digest long, doc_id long, tag int, start int, n int"))
     variants = common.stored(found.groupBy("anchor", "digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
-    common.release(docs.sparkSession)
     copied = variants.where("first < last").select("anchor", "digest", "first")
-    whole = found.join(copied, ["anchor", "digest"]).where("doc_id > first").select("doc_id", "tag", "start", (F.col("n") + (WINDOW - 1)).alias("length"))
+    whole = found.join(copied, ["anchor", "digest"]).where("doc_id > first")
+    whole = common.stored(whole.select("doc_id", "tag", "start", (F.col("n") + (WINDOW - 1)).alias("length"), F.col("first").alias("from_doc"), F.lit(None).cast("int").alias("from_word")))
+    common.discard(found)
 
-    several = variants.groupBy("anchor").agg(F.count("*").alias("c"), F.min("first").alias("a"), F.max("first").alias("b")).where("c > 1 and a < b").select("anchor")
-    boundary = variants.join(several, "anchor", "left_semi")
+    several = variants.groupBy("anchor").agg(F.count("*").alias("c"), F.min("first").alias("a"), F.max("first").alias("b")).where("c > 1 and a < b").select("anchor", "c")
+    several = common.stored(several)
+    boundary = variants.join(several.select("anchor"), "anchor", "left_semi")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield _batch(place=_place(*(b.column(c).to_numpy() for c in ("anchor", "digest", "first"))))
 
     inside = sc.broadcast(common.membership_bitmap(boundary.mapInArrow(place, "place long"), "place"))
-    common.release(docs.sparkSession)
+    large = sc.broadcast(common.membership_bitmap(several.where(F.col("c") > BLOCK), "anchor"))
+    common.discard(variants, several)
+
+    def chosen(p: Parse, ids: np.ndarray, split: bool) -> np.ndarray:
+        """Phrases that take part in a block with others: of the large blocks, or of the others."""
+        k = np.flatnonzero(common.bitmap_has(seen.value, p.anchor))
+        k = k[common.bitmap_has(large.value, p.anchor[k]) == split]
+        return k[common.bitmap_has(inside.value, _place(p.anchor[k], p.digest[k], ids[p.text[k]]))]
+
+    def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, tags, p in _parsed(batches):
+            k = chosen(p, ids, False)
+            words = [p.words[a : a + n].tobytes() for a, n in zip(p.at[k].tolist(), (p.count[k] + WINDOW - 1).tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array(p.anchor[k]), "doc_id": pa.array(ids[p.text[k]]), "tag": pa.array(tags[p.text[k]]), "start": pa.array(p.start[k].astype(np.int32)), "words": pa.array(words, pa.binary())})
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, p in _parsed(batches):
-            k = np.flatnonzero(common.bitmap_has(seen.value, p.anchor))
-            k = k[common.bitmap_has(inside.value, _place(p.anchor[k], p.digest[k], ids[p.text[k]]))]
-            phrase, start, one, two = p.windows(k)
+            phrase, start, one, two = p.windows(chosen(p, ids, True))
             yield _batch(one=one, two=two, doc_id=ids[p.text[phrase]], tag=tags[p.text[phrase]], start=start.astype(np.int32))
 
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    blocks = docs.mapInArrow(references, "anchor long, doc_id long, tag int, start int, words binary").repartition(n, "anchor")
+    inner = common.stored(blocks.sortWithinPartitions("anchor", "doc_id", "tag", "start").mapInArrow(_factored, FACTORS))
+    out = whole.unionByName(inner)
+    if not large.value.any():
+        return out
     checked = common.stored(docs.mapInArrow(windows, "one long, two long, doc_id long, tag int, start int"))
-    earliest = checked.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("one", "two", "first")
-    single = checked.join(earliest, ["one", "two"]).where("doc_id > first").select("doc_id", "tag", "start", F.lit(WINDOW).alias("length"))
-    return whole.unionByName(single)
+    earliest = checked.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("one", "two", "first")
+    single = checked.join(earliest, ["one", "two"]).where("doc_id > first.doc_id")
+    return out.unionByName(single.select("doc_id", "tag", "start", F.lit(WINDOW).alias("length"), F.col("first.doc_id").alias("from_doc"), F.col("first.start").alias("from_word")))
 
 
 def _kept(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
@@ -164,7 +262,7 @@ def removed(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("tag"), "text")
-    spans = duplicate_spans(rows).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = factors(rows).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     spans = common.stored(spans)
     common.release(spark)
     touched = spark.sparkContext.broadcast(common.membership_bitmap(spans.select(F.xxhash64("doc_id", "tag").alias("k")), "k"))

@@ -234,6 +234,66 @@ def test_substrings(spark, texts):
     assert substrings.removed(table(spark, [])).count() == 0
 
 
+def brute_factors(rows, window=13):
+    """Greedy longest factors of word lists (doc_id, words) against all earlier documents' lists, with the windows across their ends looked up."""
+    out = set()
+    for i, (doc, w) in enumerate(rows):
+        at = 0
+        while at + window <= len(w):
+            longest = 0
+            for other, v in rows:
+                if other < doc:
+                    for there in range(len(v) - window + 1):
+                        n = 0
+                        while at + n < len(w) and there + n < len(v) and w[at + n] == v[there + n]:
+                            n += 1
+                        longest = max(longest, n)
+            if longest >= window:
+                out.add((i, at, longest))
+                at += longest - window
+            at += 1
+    return out
+
+
+def test_factors_of_a_block():
+    r = random.Random(6)
+    base = [bytes([r.randrange(256) for _ in range(8)]) for _ in range(60)]
+    rows = []
+    for doc in (1, 1, 2, 3, 5, 8, 8, 9):
+        a, b = sorted(r.sample(range(60), 2))
+        c = r.randrange(40)
+        rows.append((doc, base[a:b] + base[c : c + r.randint(10, 30)] + [r.choice(base) for _ in range(3)]))
+    got = substrings.factored([(d, b"".join(w)) for d, w in rows])
+    assert {(i, at, n) for i, at, n, _, _ in got} == brute_factors(rows) and len(got) > 8
+    for i, at, n, j, there in got:
+        assert rows[j][0] < rows[i][0] and rows[i][1][at : at + n] == rows[j][1][there : there + n] and n >= 13
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_factors_hold_in_their_sources(spark, monkeypatch, block):
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    r = random.Random(4)
+    line = "this very common line of seventeen words stands in many documents among ever new neighbours on both sides".split()
+    texts = []
+    for _ in range(40):
+        before, after = ([r.choice(WORDS) + str(r.randrange(99)) for _ in range(r.randint(0, 40))] for _ in range(2))
+        texts.append(" ".join(before + line + after))
+    texts += [texts[3], texts[5] + " " + texts[7], " ".join(line[2:])]
+    docs = table(spark, texts)
+    words = [t.split() for t in texts]
+    found = substrings.factors(docs.select("doc_id", F.hash("text").alias("tag"), "text")).collect()
+    assert any(f.from_word is not None for f in found)
+    for f in found:
+        mine = words[f.doc_id][f.start : f.start + f.length]
+        assert f.length >= 13 and f.from_doc < f.doc_id
+        if f.from_word is not None:
+            assert words[f.from_doc][f.from_word : f.from_word + f.length] == mine
+        else:
+            assert " " + " ".join(mine) + " " in " " + texts[f.from_doc] + " "
+    got = [tuple(r) for r in substrings.removed(docs).select("doc_id", "n_words", "n_removed", "kept").collect()]
+    assert sorted(got) == sorted(brute_removed(range(len(texts)), texts))
+
+
 # 4 and 5 tokens
 
 ALPHABET = list("abcXYZ 019'stremlvd\t\n\r\x0b\x0c\x1c\x85\xa0!?.,#é ÉßªµºŽɏİ½²×Σσ中文😀")
