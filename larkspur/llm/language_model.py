@@ -38,7 +38,7 @@ from larkspur.llm import common
 
 DEPTH = 2
 LEAST_PAIR, DIVERGENCE = 3, 6.0
-HEAD_WORDS, HEAD_KEYS = 2_000_000, 2_000_000
+HEAD_WORDS, HEAD_KEYS = 1_500_000, 1_500_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 600_000
@@ -279,6 +279,8 @@ def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     n, pairs, handle = _dealt(spark), [], None
     for depth in range(1, DEPTH + 2):
         rows = common.stored(docs.select("text").mapInArrow(_grams(depth, 3 * n, handle), RUN_SCHEMA).repartition(n, "bucket").mapInArrow(_merged, GRAM_SCHEMA))
+        if handle is not None:
+            handle.destroy()
         if depth == 1:
             tokens = rows.where("d = 0").select("key", "n")
         else:
