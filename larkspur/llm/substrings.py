@@ -240,8 +240,12 @@ def factors(docs: DataFrame) -> DataFrame:
     inner = common.stored(blocks.sortWithinPartitions("anchor", "doc_id", "tag", "start").mapInArrow(_factored, FACTORS))
     out = whole.unionByName(inner)
     if not large.value.any():
+        for handle in (seen, inside, large):
+            handle.destroy()
         return out
     checked = common.stored(docs.mapInArrow(windows, "one long, two long, doc_id long, tag int, start int"))
+    for handle in (seen, inside, large):
+        handle.destroy()
     earliest = checked.groupBy("one", "two").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("one", "two", "first")
     single = checked.join(earliest, ["one", "two"]).where("doc_id > first.doc_id")
     return out.unionByName(single.select("doc_id", "tag", "start", F.lit(WINDOW).alias("length"), F.col("first.doc_id").alias("from_doc"), F.col("first.start").alias("from_word")))
