@@ -3,12 +3,18 @@
 The scan uses DataFrame functions only. A text's words are looked at with their neighbours; a word is a candidate if it holds a
 run of ``RUN`` or more key characters (other than one character over and over), or a value of ``VALUE`` or more after a
 credential's name and an ``=`` or ``:``. A word gives all its runs and all its values, but for values equal to one of its runs;
-features look at ``NEAR`` characters of a word on either side of the candidate. Features are SQL expressions: length, shares of character classes, character transitions, dictionary coverage,
-path marks and neighbouring words. The forest is fitted on the driver from labelled findings (made by a seeded rule,
-``labelled``; their number ``FINDINGS`` is the bound), from the same expressions, and becomes one CASE expression a tree.
-
-Nothing is shuffled and nothing grows on the driver. Each candidate of each word of each row gives one row; repeated rows and null ids are
-kept; null, empty and wordless texts give none; positions count words from 0; other columns are ignored.
+features look at ``NEAR`` characters of a word on either side of the candidate.
+
+Features are SQL expressions: length, shares of character classes, character transitions, dictionary coverage, path marks and
+neighbouring words. The dictionary are the ``DICTIONARY`` most frequent words of the texts themselves, counted over all of them
+(``dictionary``); every second one measures coverage, and the others, with a few that are usual in code, make the harmless
+findings, so that the forest does not meet the words it was trained on. The forest is fitted on the driver from labelled findings
+(made by a seeded rule, ``labelled``; their number ``FINDINGS`` is the bound), from the same expressions, and becomes one CASE
+expression a tree.
+
+The scan shuffles nothing, counting words does, and what reaches the driver is bounded by ``DICTIONARY`` and ``FINDINGS``. Each
+candidate of each word of each row gives one row; repeated rows and null ids are kept; null, empty and wordless texts give none, as
+does an empty table; a text of any length is read whole; positions count words from 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 from larkspur.llm import common
 
 RUN, VALUE, NEAR = 16, 8, 256
+#: Words of the dictionary, and their least and greatest length.
+DICTIONARY, SHORTEST, LONGEST = 600, 3, 12
 FINDINGS, TREES, DEPTH, LEAF, SEED = 2400, 15, 6, 5, 11
 THRESHOLD = 0.5
 
@@ -34,8 +42,8 @@ _NAME = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|
 #: lies in the last word of what is looked at.
 _ASSIGNED = rf"(?={_NAME}[\"']?\s*[:=]+\s*[\"']?([^\s\"']{{{VALUE},}}?)(?=[\"']|[,;&][A-Za-z_][A-Za-z0-9_.-]*[:=]|$)\S*$)"
 _OTHER = r"(?i)(?:commit|sha-?[0-9]*|md5|hash|checksum|digest|revision|uuid|guid|build|version|isbn|etag|order|invoice|ticket|phone|card)"
-#: Pieces of words that occur in identifiers and prose but not in keys.
-_DICTIONARY = "about,access,account,after,and,app,archive,background,backup,batch,before,builder,button,cache,class,client,cluster,color,common,config,connection,container,content,context,controller,count,create,customer,data,date,default,delete,demo,document,domain,download,employee,error,event,example,factory,field,file,filter,font,for,format,from,function,group,handler,height,helper,image,index,info,input,instance,internal,invoice,item,java,job,key,language,layout,length,level,library,line,list,local,log,main,manager,message,method,model,module,name,network,number,object,option,order,output,package,page,param,parser,path,pipeline,pixel,position,private,process,product,project,property,public,query,queue,record,release,report,request,resource,response,result,sample,schema,screen,server,service,session,setting,size,sort,source,static,status,storage,stream,string,style,system,table,tag,task,template,test,text,the,thread,time,type,update,upload,user,utils,value,version,view,width,window,with,worker"
+#: Words usual in code, of which harmless findings are made beside those of the texts.
+_CODE = "access account archive backup batch button cache class client config context count data default demo error example factory field file filter format function handler image index input item key library list log manager message method model module name number object option order output package page path project query record report request result sample server service session size source string style table task template test text time type update upload user value version view window".split()
 
 FEATURES = ["n", "digits", "upper", "lower", "signs", "swaps", "case_swaps", "vowel_steps", "distinct", "repeats", "coverage", "hex", "uuid", "paths", "named", "other", "assigned"]
 
@@ -73,15 +81,22 @@ def chosen(rows: DataFrame) -> DataFrame:
     return rows.withColumn("holder", F.substring("holder", start, F.length("candidate") + 2 * NEAR))
 
 
-def features(rows: DataFrame) -> DataFrame:
-    """Add the FEATURES as doubles."""
+def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
+    """The most frequent words of a-z in all texts, by frequency (ties: by the word)."""
+    words = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where(F.length("word").between(SHORTEST, LONGEST))
+    counted = words.groupBy("word").agg(F.count("*").alias("n"))
+    return [r["word"] for r in counted.orderBy(F.col("n").desc(), "word").limit(size).collect()]
+
+
+def features(rows: DataFrame, known: list[str]) -> DataFrame:
+    """Add the FEATURES as doubles; ``known`` are the words that coverage counts."""
     x, n = F.col("candidate"), F.greatest(F.length("candidate"), F.lit(1)).cast("double")
     low = F.lower(x)
 
     def share(pattern: str, of: Column = x) -> Column:
         return F.regexp_count(of, F.lit(pattern)) / n
 
-    known = F.array_join(F.regexp_extract_all(low, F.lit("(" + "|".join(sorted(_DICTIONARY.split(","), key=len, reverse=True)) + ")"), F.lit(1)), "")
+    covered = F.array_join(F.regexp_extract_all(low, F.lit("(" + "|".join(sorted(known, key=len, reverse=True)) + ")"), F.lit(1)), "") if known else F.lit("")
     context = F.concat_ws(" ", "before2", "before", F.expr("substring(holder, 1, greatest(instr(holder, candidate) - 1, 0))"))
     around = F.concat_ws(" ", "before2", "before", "holder", "after")
     made = {
@@ -95,7 +110,7 @@ def features(rows: DataFrame) -> DataFrame:
         "vowel_steps": share("(?<=[b-df-hj-np-tv-z])[aeiou]", low),
         "distinct": F.size(F.array_distinct(F.split(x, ""))) / n,
         "repeats": share(r"(.)(?=\1)"),
-        "coverage": F.length(known) / n,
+        "coverage": F.length(covered) / n,
         "hex": x.rlike("^[0-9a-fA-F]+$").cast("double"),
         "uuid": x.rlike("^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$").cast("double"),
         "paths": F.col("holder").rlike(r"://|[A-Za-z0-9]\.(com|org|net|io|png|jpg|html|js|css|py|txt)|^[./~]|/[A-Za-z]+/").cast("double"),
@@ -106,10 +121,10 @@ def features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({f: made[f].cast("double") for f in FEATURES})
 
 
-def labelled(n: int, seed: int) -> list[dict]:
-    """Findings with a label: words and neighbours, 1 for a secret, and the secret."""
+def labelled(n: int, seed: int, words: list[str] = ()) -> list[dict]:
+    """Findings with a label: words and neighbours, 1 for a secret, and the secret; harmless ones are made of ``words`` and those usual in code."""
     r = random.Random(seed)
-    words = _DICTIONARY.split(",")
+    words = [*words, *_CODE]
 
     def of(chars: str, k: int) -> str:
         return "".join(r.choices(chars, k=k))
@@ -143,6 +158,7 @@ def labelled(n: int, seed: int) -> list[dict]:
                 lambda: (r.choice(words), r.choice(words), "/".join(["", *r.choices(words, k=4)]) + of("0123456789", 2) + ".png"),
                 lambda: (r.choice(words), r.choice(words), of("ABCDEFGHJKMN", 4) + "-" + "-".join(of("0123456789", 4) for _ in range(3))),
                 lambda: (r.choice(words), r.choice(words), "=" * r.randint(10, 30) + of("0123456789", 1) + "=" * 6),
+                lambda: (r.choice(words), r.choice(words), "".join(r.choices(words, k=r.randint(3, 6))).capitalize()),
             ]
         )
         return *made(), ""
@@ -156,13 +172,13 @@ def labelled(n: int, seed: int) -> list[dict]:
     return out
 
 
-def findings(spark: SparkSession, n: int = FINDINGS, seed: int = SEED) -> DataFrame:
-    """The labelled findings as rows with features."""
+def findings(spark: SparkSession, words: list[str], n: int = FINDINGS, seed: int = SEED) -> DataFrame:
+    """The labelled findings as rows with features, given a dictionary."""
     schema = "array<struct<before2:string,before:string,holder:string,after:string,secret:string,label:int>>"
-    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(labelled(n, seed))), schema)).alias("s")).select("s.*")
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(labelled(n, seed, words[1::2]))), schema)).alias("s")).select("s.*")
     # beside its secret a word may hold other candidates, such as a long name
     part = F.contains("secret", "candidate") | F.contains("candidate", "secret")
-    return features(chosen(rows)).withColumn("label", F.when(part, F.col("label")).otherwise(0))
+    return features(chosen(rows), words[::2]).withColumn("label", F.when(part, F.col("label")).otherwise(0))
 
 
 Node = tuple  # (share of secrets,) or (feature number, threshold, at most, above)
@@ -214,23 +230,18 @@ def as_sql(node: Node) -> str:
     return f"CASE WHEN {FEATURES[node[0]]} <= {node[1]!r}D THEN {as_sql(node[2])} ELSE {as_sql(node[3])} END"
 
 
-_fitted: dict[tuple, list[Node]] = {}
-
-
-def fitted(spark: SparkSession) -> list[Node]:
-    """The forest of the default findings, once per driver process."""
-    key = (FINDINGS, TREES, DEPTH, SEED)
-    if key not in _fitted:
-        rows = findings(spark).select("label", *FEATURES).collect()
-        data = np.array([list(r) for r in rows], dtype=float)
-        _fitted[key] = forest(data[:, 1:], data[:, 0])
-    return _fitted[key]
+def fitted(spark: SparkSession, words: list[str]) -> list[Node]:
+    """The forest of the default findings, given a dictionary."""
+    rows = findings(spark, words).select("label", *FEATURES).collect()
+    data = np.array([list(r) for r in rows], dtype=float)
+    return forest(data[:, 1:], data[:, 0])
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, word, rule, candidate, score, is_secret of every candidate of every row."""
-    trees = fitted(docs.sparkSession)
-    rows = features(candidates(docs.select("doc_id", "text")))
+def scan(docs: DataFrame, threshold: float = THRESHOLD, words: list[str] | None = None) -> DataFrame:
+    """doc_id, word, rule, candidate, score, is_secret of every candidate of every row; ``words``: a dictionary in place of the texts' own."""
+    words = dictionary(docs) if words is None else words
+    trees = fitted(docs.sparkSession, words)
+    rows = features(candidates(docs.select("doc_id", "text")), words[::2])
     total = " + ".join(f"({as_sql(t)})" for t in trees)
     scored = rows.withColumn("score", F.round(F.expr(f"({total}) / {len(trees)}D"), 6))
     return scored.select("doc_id", "word", "rule", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
