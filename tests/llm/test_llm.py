@@ -347,6 +347,18 @@ def test_packing(spark, texts):
         assert at == 1024 or at & (at - 1) == 0
 
 
+def test_open_windows_are_carried_on(spark):
+    """Many small tasks re-cut hardly more than one does; lengths are log-normal."""
+    g = np.random.default_rng(5)
+    texts = [" ".join(["word"] * int(k)) for k in np.minimum(g.lognormal(5.5, 1, 3000), 9000)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    share = {n: packing.share_recut(packing.pack(table(spark, texts).repartition(n), path)) for n in (1, 40)}
+    assert share[40] < 0.16 and share[1] < 0.16, share
+    rows = packing.pack(table(spark, texts).repartition(40), path).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert all(r.n == 1024 or r.n & (r.n - 1) == 0 for r in rows)
+    assert packing.pack(table(spark, []), path).count() == 0
+
+
 def test_level_minimises_squares():
     r = random.Random(2)
     p = packing.Packer(16)
