@@ -739,6 +739,18 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_elimination_is_told(spark):
+    """In few dimensions most candidates are left out by their bounds; a near-duplicate query set stays exact."""
+    g = np.random.default_rng(3)
+    centres = g.normal(size=(30, 4)) * 20
+    rows = [(i, [float(x) for x in centres[i % 30] + g.normal(size=4) * 0.05]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    told = topk.search(df, F.col("vec_id") % 100 == 0, report=True).collect()
+    assert len(told) == 30 and sum(r.evaluated for r in told) < 0.6 * sum(r.candidates for r in told)
+    plan = topk.search(df, F.col("vec_id") % 100 == 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan and plan.count("MapInArrow") == 1
+
+
 # 10 secrets
 
 
