@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm import common
+from larkspur.llm import common, lookup
 
 DEPTH = 2
 LEAST_PAIR, DIVERGENCE = 3, 6.0
@@ -126,7 +126,7 @@ RUN_SCHEMA = "d int, bucket int, keys binary, n binary, columns binary"
 
 def _run_rows(d: int, keys: np.ndarray, n: np.ndarray, columns: list[np.ndarray], n_buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows of RUN_SCHEMA of sorted unsigned keys, some at a time."""
-    every = _cut(keys, n_buckets)
+    every = lookup.cut(keys, n_buckets)
     small = n.max(initial=0) < 256
     for at in range(0, len(every), 32):
         cuts = every[at : at + 32]
@@ -210,11 +210,6 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.returned()
 
 
-def _dealt(spark: SparkSession) -> int:
-    """Partitions that runs are dealt out to; buckets are three times as many, so a partition's are alike in size and are merged one by one."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
 @dataclass
 class Tree:
     """Sorted tables: words with the gain log10(c + 1); states with the log10 weight of the parent; pairs with log10 P."""
@@ -227,14 +222,6 @@ class Tree:
     logp: np.ndarray
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the keys in a sorted table, and whether they are there."""
-    if not len(table):
-        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
 def _grown(pairs: list[DataFrame], words: DataFrame, root: float) -> DataFrame:
     """(state, key, n, logp, value): states with the log10 weight of their parent, and their pairs with the log10 probability; parents first.
 
@@ -276,7 +263,7 @@ def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
     """The table of _grown of the training rows; (key, n) of their tokens; N and V."""
     spark = docs.sparkSession
     common.prepare(spark)
-    n, pairs, handle = _dealt(spark), [], None
+    n, pairs, handle = lookup.dealt(spark), [], None
     for depth in range(1, DEPTH + 2):
         rows = common.stored(docs.select("text").mapInArrow(_grams(depth, 3 * n, handle), RUN_SCHEMA).repartition(n, "bucket").mapInArrow(_merged, GRAM_SCHEMA))
         if handle is not None:
@@ -294,7 +281,7 @@ def tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
 def train(docs: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Tree, DataFrame, int, int, float]:
     """The tree of a small corpus gathered, to look at; (key, n) of its tokens; N, V; and the count class from which words are in the tree."""
     grown, tokens, total, distinct = tables(docs)
-    words, counts, least = _head(tokens, head_words)
+    words, counts, least = lookup.most_frequent(tokens, head_words)
 
     def sorted_(rows: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
         got = rows.select("key", value).orderBy("key").toArrow()
@@ -303,60 +290,12 @@ def train(docs: DataFrame, head_words: int = HEAD_WORDS) -> tuple[Tree, DataFram
     return Tree(words, np.log10(counts + 1.0), *sorted_(grown.where("state"), "value"), *sorted_(grown.where("not state"), "logp")), tokens, total, distinct, least
 
 
-def _head(keys: DataFrame, limit: int, value: str = "n") -> tuple[np.ndarray, np.ndarray, float]:
-    """Keys (sorted) and values of the most frequent keys, at most ``limit``, and the count class from which they are complete."""
-    bucket = F.floor(F.log2("n") * 4).cast("long")
-    rows = sorted(((int(b), int(c)) for b, c in keys.groupBy(bucket.alias("b")).count().collect()), reverse=True)
-    least, held = None, 0
-    for b, c in rows:
-        if held + c > limit:
-            break
-        least, held = b, held + c
-    if least is None:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), float("inf")
-    got = keys.where(bucket >= least).select("key", value).toArrow()
-    found, values = (got.column(c).to_numpy() for c in ("key", value))
-    order = np.argsort(found)
-    return found[order], values[order], float(least)
-
-
-class Lookup:
-    """Keys in unsigned order with values, found through the offsets of their leading bits, as keys are hashes."""
-
-    def __init__(self, keys: np.ndarray, value: np.ndarray):
-        self.keys, self.value = keys, value
-        self.bits = max(1, len(keys).bit_length() - 1)
-        edges = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.first = np.append(np.searchsorted(self.keys, edges), len(keys)).astype(np.int32)
-
-    @staticmethod
-    def of(keys: np.ndarray, value: np.ndarray) -> Lookup:
-        order = np.argsort(keys.view(np.uint64), kind="stable")
-        return Lookup(keys.view(np.uint64)[order], value[order])
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is there, and its value (0 where it is not)."""
-        u, there, value = keys.view(np.uint64), np.zeros(len(keys), dtype=bool), np.zeros(len(keys))
-        bucket = (u >> np.uint64(64 - self.bits)).astype(np.int64)
-        at, end = self.first[bucket], self.first[bucket + 1]
-        live = np.flatnonzero(at < end)
-        at, end, u = at[live], end[live], u[live]
-        while len(live):
-            same = self.keys[at] == u
-            there[live[same]] = True
-            value[live[same]] = self.value[at[same]]
-            at = at + 1
-            on = ~same & (at < end)
-            live, at, end, u = live[on], at[on], end[on], u[on]
-        return there, value
-
-
 @dataclass
 class Head:
     """Keys looked up in place, with their values: words with log10(c + 1), contexts and pairs; and the map of the other contexts and pairs."""
 
-    words: Lookup
-    keys: Lookup
+    words: lookup.Lookup
+    keys: lookup.Lookup
     others: np.ndarray
 
 
@@ -397,18 +336,18 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, he
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learned from the rows of training."""
     spark = docs.sparkSession
     grown, tokens, total, distinct = tables(training)
-    words, counts, least = _head(tokens, head_words)
-    keys, values, least_key = _head(grown, head_keys, "value")
+    words, counts, least = lookup.most_frequent(tokens, head_words)
+    keys, values, least_key = lookup.most_frequent(grown, head_keys, "value")
 
     def tail(x: DataFrame, above: float) -> DataFrame:
         return x.where(F.floor(F.log2("n") * 4) < above)
 
     others = common.membership_bitmap(tail(grown, least_key), "key")
-    handle = spark.sparkContext.broadcast(Head(Lookup.of(words, np.log10(counts + 1.0)), Lookup.of(keys, values.astype(float)), others))
+    handle = spark.sparkContext.broadcast(Head(lookup.Lookup.of(words, np.log10(counts + 1.0)), lookup.Lookup.of(keys, values.astype(float)), others))
     complete = len(words) == distinct and not others.any()
     root = float(np.log10(total + distinct + 1.0))
 
-    kind, n = docs.schema["doc_id"].dataType.simpleString(), _dealt(spark)
+    kind, n = docs.schema["doc_id"].dataType.simpleString(), lookup.dealt(spark)
     sums = {"n_tokens": "long", "n_known": "long", "base_score": "double", "score": "double"}
     schema = f"row long, doc_id {kind}, " + ", ".join(f"{c} {t}" for c, t in sums.items())
 
@@ -424,7 +363,7 @@ def score(docs: DataFrame, training: DataFrame, head_words: int = HEAD_WORDS, he
                 row += len(texts)
                 none = pa.nulls(len(texts), pa.binary())
                 made = {"row": pa.array(rows), "doc_id": batch.column("doc_id"), "n_tokens": pa.array(n_tokens), "n_known": pa.array(known.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(value)}
-                yield pa.RecordBatch.from_pydict(made if complete else made | {"bucket": pa.array(_home(rows, 3 * n)), "keys": none, "columns": none})
+                yield pa.RecordBatch.from_pydict(made if complete else made | {"bucket": pa.array(lookup.home(rows, 3 * n)), "keys": none, "columns": none})
                 if not complete:
                     held.append((keys.view(np.uint64), np.repeat(rows, np.diff(bounds))))
                     size += len(keys)
@@ -453,24 +392,12 @@ def _rows(row, doc_id: pa.Array, sums: list, bucket, keys: list, columns: list)
     return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), doc_id, *sums, pa.array(bucket, pa.int32()), pa.array(keys, pa.binary()), pa.array(columns, pa.binary())], names=names)
 
 
-def _cut(keys: np.ndarray, n_buckets: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted keys."""
-    of = common.buckets(keys, n_buckets)
-    head = np.flatnonzero(np.diff(of, prepend=-1))
-    return list(zip(of[head].tolist(), head.tolist(), [*head[1:].tolist(), len(keys)], strict=True)) if len(head) else []
-
-
-def _home(rows: np.ndarray, n_buckets: int) -> np.ndarray:
-    """Bucket in which a row's answers meet: that of the task that read it."""
-    return ((rows >> 40) % n_buckets).astype(np.int32)
-
-
 def _asked(held: list, n_buckets: int, kind: pa.DataType) -> pa.RecordBatch:
     """Keys that rows look for, a run a bucket; row: the least one of the run; columns: each key's row from there."""
     keys, rows = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(keys)
     keys, rows = keys[order], rows[order]
-    cuts, first = _cut(keys, n_buckets), int(rows.min()) if len(rows) else 0
+    cuts, first = lookup.cut(keys, n_buckets), int(rows.min()) if len(rows) else 0
     none = [pa.nulls(len(cuts), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
     return _rows([first] * len(cuts), pa.nulls(len(cuts), kind), none, [c for c, _, _ in cuts], [common.packed(keys[a:b]) for _, a, b in cuts], [(rows[a:b] - first).astype(np.uint32).tobytes() for _, a, b in cuts])
 
@@ -486,7 +413,7 @@ def _known(n_buckets: int, schema):
             keys, b, s, word = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             order = np.argsort(keys.view(np.uint64))
             keys, b, s, word = keys.view(np.uint64)[order], b[order], s[order], word[order]
-            cuts = _cut(keys, n_buckets)
+            cuts = lookup.cut(keys, n_buckets)
             none = [pa.nulls(len(cuts), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield _rows([None] * len(cuts), pa.nulls(len(cuts), kind), none, [c for c, _, _ in cuts], [common.packed(keys[x:y]) for _, x, y in cuts], [b[x:y].tobytes() + s[x:y].tobytes() + word[x:y].tobytes() for _, x, y in cuts])
 
@@ -521,14 +448,14 @@ def _answered(n_buckets: int):
                 continue
             keys, b, s, word = values(parts)
             for first, k, c in wanted:
-                at, there = find(keys, common.unpacked(k))
-                found.append(_summed(np.frombuffer(c, dtype=np.uint32).astype(np.int64)[there] + first, b[at[there]], s[at[there]], word[at[there]]))
+                at, there = lookup.find(keys, common.unpacked(k))
+                found.append(lookup.summed(np.frombuffer(c, dtype=np.uint32).astype(np.int64)[there] + first, b[at[there]], s[at[there]], word[at[there]]))
             if sum(len(x[0]) for x in found) > 1 << 20:
-                found = [_summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
+                found = [lookup.summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
         if not found:
             return
-        rows, b, s, k = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        home = _home(rows, n_buckets)
+        rows, b, s, k = lookup.summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        home = lookup.home(rows, n_buckets)
         order = np.argsort(home, kind="stable")
         rows, b, s, k, home = (x[order] for x in (rows, b, s, k, home))
         head = np.flatnonzero(np.diff(home, prepend=-1)).tolist()
@@ -539,12 +466,6 @@ def _answered(n_buckets: int):
     return run
 
 
-def _summed(rows: np.ndarray, b: np.ndarray, s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sums of the values of each row, by row."""
-    out, of = np.unique(rows, return_inverse=True)
-    return out, *(np.bincount(of, weights=x, minlength=len(out)).astype(float) for x in (b, s, k))
-
-
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of documents and runs of answers dealt out by home -> the documents with their answers added."""
     common.returned()
@@ -558,9 +479,9 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = common.unpacked(keys)
             n = len(rows)
             answers.append((rows.view(np.int64), np.frombuffer(c, count=n), np.frombuffer(c, count=n, offset=8 * n), np.frombuffer(c, dtype=np.uint32, offset=16 * n)))
-    rows, b, s, k = _summed(*(np.concatenate(x) for x in zip(*answers, strict=True))) if answers else (np.zeros(0, dtype=np.int64), *[np.zeros(0)] * 3)
+    rows, b, s, k = lookup.summed(*(np.concatenate(x) for x in zip(*answers, strict=True))) if answers else (np.zeros(0, dtype=np.int64), *[np.zeros(0)] * 3)
     for batch in documents:
-        at, there = find(rows, batch.column("row").to_numpy())
+        at, there = lookup.find(rows, batch.column("row").to_numpy())
         more = [np.where(there, x[at], 0) if len(rows) else np.zeros(batch.num_rows) for x in (k, b, s)]
         columns = {c: batch.column(c) for c in ("row", "doc_id", "n_tokens")}
         columns |= {c: pa.array(batch.column(c).to_numpy() + x.astype(batch.column(c).to_numpy().dtype)) for c, x in zip(("n_known", "base_score", "score"), more, strict=True)}

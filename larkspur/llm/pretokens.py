@@ -1,15 +1,14 @@
-"""Pre-token splitting and bounded caches for the public tokenizer files.
+"""Pre-token splitting for the public tokenizer files.
 
-Texts whose characters all lie below U+0250 (without U+0130) are split by patterns over explicit character classes. For
-these the normalisation of the library reduces to lower-casing. Any other text goes to the library as a whole, so results
-never depend on this shortcut.
+Texts (for the word vocabulary: words) whose characters all lie below U+0250 (without U+0130) are split by patterns over explicit
+character classes. For these the normalisation of the library reduces to lower-casing. The library's own normaliser and pre-tokenizer
+split other words; the byte vocabulary encodes other texts whole. Results never depend on these shortcuts.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections import Counter
 
 import numpy as np
 
@@ -33,7 +32,7 @@ def once(kind: type, path: str):
 
 
 class PieceCounter:
-    """Pieces of each distinct pre-token of a ``tokenizers`` file with word pre-tokens, counted once while cached."""
+    """Pieces of words between white space, for a ``tokenizers`` file whose pre-tokens never hold white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -41,41 +40,25 @@ class PieceCounter:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split_special = re.compile("|".join(map(re.escape, self.special)))
-        self.pieces: dict[str, int] = {}
 
-    def _count(self, pretokens: list[str]) -> list[int]:
-        return [len(e.ids) for e in self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)]
-
-    def frequencies(self, text: str) -> tuple[Counter | None, int]:
-        """Pre-token frequencies of one text and the special strings in it; None where the library must take the text."""
-        if _BEYOND.search(text):
-            return None, 0
-        special = 0
-        if "<|" in text and (special := len(self.split_special.findall(text))):
-            out: Counter = Counter()
-            for part in self.split_special.split(text):
-                out.update(_WORD.findall(part.lower()))
-            return out, special
-        return Counter(_WORD.findall(text.lower())), 0
-
-    def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text: frequencies joined to the pieces of each distinct pre-token, and summed."""
-        found = [self.frequencies(t) for t in texts]
-        pieces = self.pieces
-        fresh = list({p for f, _ in found if f for p in f if p not in pieces})
-        extra = dict(zip(fresh, self._count(fresh), strict=True))
-        if len(pieces) + len(extra) <= CACHE_ENTRIES:
-            pieces.update(extra)
-            extra = pieces
-        else:
-            extra.update((p, pieces[p]) for f, _ in found if f for p in f if p in pieces)
-        out = []
-        for (f, special), text in zip(found, texts, strict=True):
-            if f is None:
-                out.append(len(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            else:
-                out.append(special + sum(map(int.__mul__, f.values(), map(extra.__getitem__, f))))
-        return out
+    def _plain(self, part: str) -> list[str]:
+        if not _BEYOND.search(part):
+            return _WORD.findall(part.lower())
+        normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
+        return [normal[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def pretokens(self, word: str) -> tuple[list[str], int]:
+        """Pre-tokens of a word, and the special strings in it."""
+        if "<|" in word and (special := len(self.split_special.findall(word))):
+            return [p for part in self.split_special.split(word) for p in self._plain(part)], special
+        return self._plain(word), 0
+
+    def count(self, words: list[str]) -> np.ndarray:
+        """Pieces of each word: those of each distinct pre-token are counted once, joined to the words' pre-tokens and summed."""
+        found = [self.pretokens(w) for w in words]
+        distinct = list({p for pretokens, _ in found for p in pretokens})
+        pieces = dict(zip(distinct, map(len, self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)), strict=True))
+        return np.array([special + sum(map(pieces.__getitem__, pretokens)) for pretokens, special in found], dtype=np.int64)
 
 
 class ByteEncoder:

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm import common, components, decontaminate, language_model, packing, pii, pretokens, secrets, simhash, substrings, token_counts, topk, toxicity
+from larkspur.llm import common, components, decontaminate, language_model, lookup, packing, pii, pretokens, secrets, simhash, substrings, token_counts, topk, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -322,24 +322,29 @@ def odd_texts(n=400):
     return ["".join(r.choices(ALPHABET, k=r.randint(0, 30))) for _ in range(n)] + ["a<|endoftext|>b <|startoftext|>", "<|endoftext|>", "", " ", "x" * 5000]
 
 
-def test_token_counts(spark, texts):
+@pytest.mark.parametrize("head", [10**6, 30, 0])
+def test_token_counts(spark, texts, head):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    all_ = texts + odd_texts()
+    r = random.Random(14)
+    scripts = ["“Quoted” — and ‘so’ on…", "Привет, мир! Как дела?", "日本語の文章です。 한국어 문장", "ﬁne ŉ İstanbul ǅ Ⅷ e\u0301 a\u0308\u0323 😀👍🏽 ½ ² ①", "مرحبا بالعالم १२३", "it’s he'll WE'VE don't’t"]
+    all_ = texts + odd_texts() + scripts + [" ".join(r.choices(" ".join(scripts).split(), k=40)) for _ in range(40)]
     library = Tokenizer.from_file(path)
-    got = token_counts.token_counts(table(spark, all_), path, limit=50).orderBy("doc_id").collect()
+    got = token_counts.token_counts(table(spark, all_).repartition(5), path, limit=50, head=head).orderBy("doc_id").collect()
     want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in all_]
     assert [r.n_tokens for r in got] == want and [r.n_bytes for r in got] == [len((t or "").encode()) for t in all_]
     assert [r.over_limit for r in got] == [n > 50 for n in want]
 
 
-def test_counter_beyond_its_cache(texts, monkeypatch):
+def test_each_word_is_counted_once(spark, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
-    full, small = pretokens.PieceCounter(path), pretokens.PieceCounter(path)
-    want = full.count([t or "" for t in texts])
-    monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 20)
-    assert [small.count([t or ""])[0] for t in texts] == want
+    rows = token_counts.word_table(table(spark, texts).repartition(6), path).collect()
+    words = Counter(w for t in texts for w in (t or "").encode().split())
+    assert len(rows) == len({r.key for r in rows}) == len(words) and sorted(r.n for r in rows) == sorted(words.values())
+    assert token_counts.token_counts(table(spark, []), path).count() == 0
+    long = token_counts.token_counts(table(spark, ["word " * 200_000 + "x" * 20_000]), path).first()
+    assert long.n_bytes == 1_020_000 and long.n_tokens > 200_000 and long.over_limit
 
 
 def test_packing(spark, texts):
@@ -618,11 +623,11 @@ def test_distributions_sum_to_one(spark, texts):
             at = len(context.split())
             value, state = 0.0, None
             for d in range(language_model.DEPTH, 0, -1):
-                i, there = language_model.find(tree.pairs, g.pair(d)[at : at + 1])
+                i, there = lookup.find(tree.pairs, g.pair(d)[at : at + 1])
                 if there[0]:
                     state = value + tree.logp[i[0]]
                     break
-                i, there = language_model.find(tree.states, g.state(d)[at : at + 1])
+                i, there = lookup.find(tree.states, g.state(d)[at : at + 1])
                 value += tree.weight[i[0]] if there[0] else 0.0
             key = int(np.uint64(keys[w]).view(np.int64)) if w else language_model.END_KEY
             mass += 10 ** (state if state is not None else value + gain[key] - root)
@@ -637,18 +642,18 @@ def test_pairs_are_kept_by_count_at_any_size(spark):
     docs = table(spark, [*filler, *["rare words stand here together"] * 3, "rare words stand here alone"])
     tree, *_ = language_model.train(docs)
     g = language_model.Grams(*language_model.tokens_of([b"rare words stand here together"]))
-    assert language_model.find(tree.pairs, g.pair(1)[1:5])[1].all()  # 1e-5 of all positions is above 3
+    assert lookup.find(tree.pairs, g.pair(1)[1:5])[1].all()  # 1e-5 of all positions is above 3
     got = {head: {x.doc_id: x.score for x in language_model.score(docs, docs, head, head).collect()} for head in (10**6, 30)}
     assert all(abs(got[30][i] - x) < 1e-6 for i, x in got[10**6].items())
     root = math.log10(150 * 2001 + 4 * 6 + len(tree.words) + 1)
     want = 0.0
     for i in range(len(g.at)):
         for d in range(language_model.DEPTH, -1, -1):
-            at, there = language_model.find(tree.pairs if d else tree.words, g.pair(d)[i : i + 1])
+            at, there = lookup.find(tree.pairs if d else tree.words, g.pair(d)[i : i + 1])
             if there[0]:
                 want += tree.logp[at[0]] if d else tree.gain[at[0]] - root
                 break
-            at, there = language_model.find(tree.states, g.state(d)[i : i + 1])
+            at, there = lookup.find(tree.states, g.state(d)[i : i + 1])
             want += tree.weight[at[0]] if there[0] else 0.0
     assert abs(got[10**6][150] - want) < 1e-6
 
@@ -719,7 +724,7 @@ def test_packed_keys():
         keys = np.sort(g.integers(0, 2**64, n, dtype=np.uint64))
         assert (common.unpacked(common.packed(keys)) == keys).all()
         assert (np.diff(common.buckets(keys, 7)) >= 0).all()
-    found = language_model.Lookup.of(common.signed(keys), np.arange(len(keys)) + 1.0).find(common.signed(np.append(keys[::3], g.integers(0, 2**64, 50, dtype=np.uint64))))
+    found = lookup.Lookup.of(common.signed(keys), np.arange(len(keys)) + 1.0).find(common.signed(np.append(keys[::3], g.integers(0, 2**64, 50, dtype=np.uint64))))
     assert found[0].sum() == len(keys[::3]) and (found[1][: len(keys[::3])] == np.arange(len(keys))[::3] + 1).all()
 
 
