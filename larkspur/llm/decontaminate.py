@@ -238,6 +238,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     df = docs.select("doc_id", "text")
     handles = list(blocks_broadcast(spark, benchmark, window, block_bytes))
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text", SHARD_BYTES):
@@ -281,6 +282,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     common.prepare(spark)
     handles = list(blocks_broadcast(spark, benchmark, window, block_bytes))
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, text, SHARD_BYTES):
@@ -299,6 +301,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     schema = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), docs.schema["doc_id"], T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())])
     handles = list(blocks_broadcast(spark, benchmark, window, block_bytes))
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text", SHARD_BYTES):

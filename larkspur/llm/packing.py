@@ -152,6 +152,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, carry: int = CARR
             names=[*names, "meets", "ids"],
         )
 
+    @common.lean
     def first_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = pretokens.once(pretokens.ByteEncoder, path)
         end = np.array([END_ID], dtype="<u4")
@@ -175,6 +176,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, carry: int = CARR
         packer.give_up()
         yield from done()
 
+    @common.lean
     def second_stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packs carried rests on; other rows pass through."""
         packer, number, id_type = Packer(capacity), (1 << 62) + (TaskContext.get().partitionId() << 40), pa.int64()

@@ -43,7 +43,7 @@ SENTENCES, BATCH, EPOCHS, SEED = 60_000, 128, 9, 7
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
 #: Least score of an added span above that of none at its characters (natural logarithm).
 LEAST_GAIN = 3.5
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Windows run through the network at once, and paths decoded at once.
 AT_ONCE = 512
 
@@ -541,6 +541,7 @@ def find(docs: DataFrame) -> DataFrame:
     handle = spark.sparkContext.broadcast(loaded())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text", SLICE_BYTES):
@@ -569,6 +570,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     common.prepare(spark)
     handle = spark.sparkContext.broadcast(loaded())
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, text, SLICE_BYTES):

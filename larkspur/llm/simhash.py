@@ -41,7 +41,7 @@ SHINGLE, SEED, BITS = 3, 42, 3
 NEAR, SIMILARITY, BANDS, ROWS, ROUNDS = 5, 0.8, 20, 5, 3
 #: Fingerprints under one variant that are compared with one another in place.
 GROUP = 1024
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -64,6 +64,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", column: str = "finger
     common.prepare(docs.sparkSession)
     kept = [f for f in docs.schema.fields if keep_text or f.name != text]
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, text, SLICE_BYTES):
@@ -131,6 +132,7 @@ def _link(bits: int, group: int | None):
         more = pa.array(common.signed(np.asarray(b, dtype=np.uint64)), pa.int64())
         return pa.RecordBatch.from_arrays([none if len(key) else n, more, pa.array(key, pa.int64()) if len(key) else m], names=["a", "b", "key"])
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail_key, tail, hot = None, np.zeros(0, dtype=np.uint64), False
         for batch in batches:
@@ -233,9 +235,10 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _nodes(text: str, sketched: bool):
-    """Adds the hash of a text's folded words and, ``sketched``, its fingerprint and bands."""
+def _nodes(text: str):
+    """Puts the hash of a text's folded words, its fingerprint and its bands in place of the text."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, text, SLICE_BYTES):
@@ -243,24 +246,21 @@ def _nodes(text: str, sketched: bool):
                 for t in common.texts_as_bytes(batch.column(text)).to_pylist():
                     words = t.lower().split() if t else []
                     node.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
-                    if sketched:
-                        hashes = shingles(words)
-                        prints.append(majority(hashes))
-                        keys.append(bands(hashes))
+                    hashes = shingles(words)
+                    prints.append(majority(hashes))
+                    keys.append(bands(hashes))
                 columns, names = list(batch.columns), list(batch.schema.names)
-                columns.append(pa.array(common.signed(np.array(node, dtype=np.uint64)), pa.int64()))
-                names.append("__node")
-                if sketched:
-                    at = names.index(text)
-                    del columns[at], names[at]
-                    offsets = pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32))
-                    columns += [pa.array(common.signed(np.array(prints, dtype=np.uint64)), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(common.signed(np.concatenate(keys)) if keys else [], pa.int64()))]
-                    names += ["__print", "__bands"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at = names.index(text)
+                del columns[at], names[at]
+                offsets = pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32))
+                columns += [pa.array(common.signed(np.array(x, dtype=np.uint64)), pa.int64()) for x in (node, prints)]
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(common.signed(np.concatenate(keys)) if keys else [], pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "__node", "__print", "__bands"])
 
     return run
 
 
+@common.lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(__node, text) -> (__node, set): the sorted shingle hashes, 32 bits of each."""
     for whole in batches:
@@ -272,6 +272,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(similarity: float):
     """(a, b, x, y) -> (a, b, near): whether the sets x and y are similar enough."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
@@ -289,7 +290,7 @@ def _verified(similarity: float):
 
 
 def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) among the distinct texts ``nodes`` (node, print, bands) of ``docs`` (text): those that join each to the least of its groups."""
+    """Verified links (a, b) among the distinct texts ``nodes`` (node, best, print, bands) of ``docs`` (doc_id, __tie, text): those that join each to the least of its groups."""
     spark = docs.sparkSession
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     groups = lambda k: k.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
@@ -300,8 +301,10 @@ def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
     asked = common.stored(keyed.join(groups(keyed), "key").where("node <> b").select("key", F.col("node").alias("a"), "b"))
     pairs = common.stored(close.unionByName(same).where("a <> b").unionByName(asked.select("a", "b")).distinct())
     members = asked.select(F.col("a").alias("__node")).union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = docs.select("text").mapInArrow(_nodes("text", False), "text string, __node long").join(members, "__node", "left_semi").dropDuplicates(["__node"])
-    sets = common.stored(texts.select("__node", "text").mapInArrow(_sets, "node long, set binary"))
+    # the text of one row of each node, so that copies do not meet anywhere
+    wanted = nodes.join(members, nodes["node"] == members["__node"]).select("__node", F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__best"))
+    texts = docs.join(wanted, (docs["__tie"] == wanted["__best"]) & docs["doc_id"].eqNullSafe(wanted["__id"])).select("__node", "text")
+    sets = common.stored(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]))
     found = []
     for left in range(ROUNDS, 0, -1):
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -332,10 +335,10 @@ def deduplicate(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
     slim = docs.select("doc_id", tie.alias("__tie"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType
     sketch = T.StructType([T.StructField("doc_id", kind), T.StructField("__tie", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__print", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
-    rows = common.stored(slim.mapInArrow(_nodes("text", True), sketch))
+    rows = common.stored(slim.mapInArrow(_nodes("text"), sketch))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__tie").alias("tie"))
     nodes = common.stored(rows.groupBy(F.col("__node").alias("node")).agg(F.min(order).alias("best"), F.min("__print").alias("print"), F.min("__bands").alias("bands")))
-    roots_ = components(near_links(slim.select("text"), nodes.select("node", "print", "bands"), similarity))
+    roots_ = components(near_links(slim, nodes, similarity))
     joined = nodes.select("node", "best").join(roots_, "node", "left")
     best = joined.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("best", "node")).alias("x"))
     chosen = best.select(F.col("x.node").alias("__node"), F.col("x.best.doc_id").alias("__id"), F.col("x.best.tie").alias("__tie"))

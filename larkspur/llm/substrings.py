@@ -96,6 +96,7 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
 
 
+@common.lean
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each anchor once per slice, with its least and greatest id."""
     for ids, _, p in _parsed(batches):
@@ -150,6 +151,7 @@ def factored(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
     return out
 
 
+@common.lean
 def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (anchor, doc_id, tag, start, words) sorted by anchor and doc_id -> factors."""
 
@@ -194,6 +196,7 @@ def factors(docs: DataFrame) -> DataFrame:
     repeated = docs.mapInArrow(_anchors, "anchor long, low long, high long").groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     seen = sc.broadcast(common.membership_bitmap(repeated, "anchor"))
 
+    @common.lean
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, p in _parsed(batches):
             k = np.flatnonzero(common.bitmap_has(seen.value, p.anchor))
@@ -224,12 +227,14 @@ def factors(docs: DataFrame) -> DataFrame:
         k = k[common.bitmap_has(large.value, p.anchor[k]) == split]
         return k[common.bitmap_has(inside.value, _place(p.anchor[k], p.digest[k], ids[p.text[k]]))]
 
+    @common.lean
     def references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, p in _parsed(batches):
             k = chosen(p, ids, False)
             words = [p.words[a : a + n].tobytes() for a, n in zip(p.at[k].tolist(), (p.count[k] + WINDOW - 1).tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({"anchor": pa.array(p.anchor[k]), "doc_id": pa.array(ids[p.text[k]]), "tag": pa.array(tags[p.text[k]]), "start": pa.array(p.start[k].astype(np.int32)), "words": pa.array(words, pa.binary())})
 
+    @common.lean
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, tags, p in _parsed(batches):
             phrase, start, one, two = p.windows(chosen(p, ids, True))
@@ -279,6 +284,7 @@ def removed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield affected(b, True)
 
+    @common.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in common.slices(whole, "text", SLICE_BYTES * 4):

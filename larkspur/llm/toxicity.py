@@ -194,6 +194,7 @@ def _count(rows: DataFrame, only: set[str] | None, phrases: list[str] = ()) -> D
     """(entry, n) document frequencies of candidates over the rows' texts, read without the phrases."""
     without = set(phrases)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
@@ -212,6 +213,7 @@ def _count(rows: DataFrame, only: set[str] | None, phrases: list[str] = ()) -> D
 def _phrases(rows: DataFrame, entries: dict[str, float]) -> DataFrame:
     """(entry, phrase, toxic, clean): document frequencies of the word pairs around matches of the entries, summed in each task."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
@@ -233,6 +235,7 @@ def _phrases(rows: DataFrame, entries: dict[str, float]) -> DataFrame:
     return rows.mapInArrow(run, "entry string, phrase string, toxic long, clean long").groupBy("entry", "phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+@common.lean
 def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the least hash of a text's five-word shingles, which near copies mostly share."""
     for batch in batches:
@@ -244,6 +247,7 @@ def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _features(model: Model):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
@@ -291,6 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
 
 
 def _scorer(handle, text: str, keep: float | None):
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = handle.value
         automaton = model.automaton()
