@@ -38,7 +38,7 @@ from larkspur.llm import common, lookup
 
 DEPTH = 2
 LEAST_PAIR, DIVERGENCE = 3, 6.0
-HEAD_WORDS, HEAD_KEYS = 1_500_000, 1_500_000
+HEAD_WORDS, HEAD_KEYS = 400_000, 400_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 600_000
@@ -146,7 +146,7 @@ def _run_batch(d: int, keys: np.ndarray, n: np.ndarray, columns: list[np.ndarray
 
 
 def _grams(depth: int, n_buckets: int, handle=None):
-    """Runs, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and the counts and PAIR_COLUMNS of the pairs of the depth before.
+    """Runs, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and the counts of the pairs of the depth before, with their PAIR_COLUMNS where a task first meets them.
 
     ``handle`` is a map of the pairs of the depth before that occur ``LEAST_PAIR`` times; these are described. Pairs of
     ``depth`` are left out whose own shorter pair or whose context surely occurs less: a longer pair never occurs more often than
@@ -155,6 +155,7 @@ def _grams(depth: int, n_buckets: int, handle=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.returned()
+        met = np.zeros(0, dtype=np.uint64)  # described by this task
         for parts in _chunks(batches):
             if depth == 1:
                 for d in (0, 1):
@@ -176,8 +177,10 @@ def _grams(depth: int, n_buckets: int, handle=None):
             columns = [np.concatenate(x) for x in zip(*described, strict=True)]
             del described, found
             keys, first, n = np.unique(columns[0].view(np.uint64), return_index=True, return_counts=True)
-            columns = [x[first] for x in columns[1:]]
-            yield from _run_rows(before, keys, n, columns, n_buckets)
+            fresh = ~lookup.find(met, keys)[1]
+            yield from _run_rows(before, keys[~fresh], n[~fresh], [], n_buckets)
+            yield from _run_rows(before, keys[fresh], n[fresh], [x[first[fresh]] for x in columns[1:]], n_buckets)
+            met = np.sort(np.concatenate([met, keys[fresh]]))
 
     return run
 
@@ -188,22 +191,23 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common.returned()
     for batch in batches:
         for d, bucket, keys, n, columns in zip(*(batch.column(c).to_pylist() for c in ("d", "bucket", "keys", "n", "columns")), strict=True):
-            held.setdefault((d, bucket, bool(columns)), []).append((keys, n, columns))
+            held.setdefault((d, bucket), []).append((keys, n, columns))
     while held:
-        (d, _, described), runs = held.popitem()
+        (d, _), runs = held.popitem()
+        runs.sort(key=lambda r: not r[2])  # described ones first
         keys = [common.unpacked(k) for k, _, _ in runs]
         n = np.concatenate([np.frombuffer(n, dtype=np.uint8 if len(n) == len(k) else np.int64).astype(np.int64) for k, (_, n, _) in zip(keys, runs, strict=True)])
         every = np.concatenate(keys)
-        order = np.argsort(every)
+        order = np.argsort(every, kind="stable")
         every = every[order]
         head = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
         total = np.add.reduceat(n[order], head)
         keep = total >= (LEAST_PAIR if d else 1)
         head = head[keep]
         made = {"d": pa.array(np.full(len(head), d, dtype=np.int32)), "key": pa.array(common.signed(every[head])), "n": pa.array(total[keep])}
-        if described:
-            columns = [np.concatenate(x) for x in zip(*(np.frombuffer(c, dtype=np.int64).reshape(len(PAIR_COLUMNS), -1) for _, _, c in runs), strict=True)]
-            made |= {c: pa.array(x[order[head]]) for c, x in zip(PAIR_COLUMNS, columns, strict=True)}
+        described = [np.frombuffer(c, dtype=np.int64).reshape(len(PAIR_COLUMNS), -1) for _, _, c in runs if c]
+        if described:  # each key at least once, and in front
+            made |= {c: pa.array(np.concatenate(x)[order[head]]) for c, x in zip(PAIR_COLUMNS, zip(*described, strict=True), strict=True)}
         else:
             made |= dict.fromkeys(PAIR_COLUMNS, pa.nulls(len(head), pa.int64()))
         yield pa.RecordBatch.from_pydict(made)
