@@ -58,11 +58,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", column: str = "fingerprint", keep_text: bool = True) -> DataFrame:
-    """The rows with a long column holding the fingerprint's bits."""
+    """The rows with a long column holding the fingerprint's bits, in place of a column of that name if there is one."""
     from pyspark.sql import types as T
 
     common.prepare(docs.sparkSession)
-    kept = [f for f in docs.schema.fields if keep_text or f.name != text]
+    kept = [f for f in docs.schema.fields if f.name != column and (keep_text or f.name != text)]
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -150,12 +150,20 @@ def brute_components(ids, prints):
 
 def test_simhash(spark, texts):
     prints = [brute_fingerprint(t) for t in texts]
-    docs = simhash.with_fingerprints(table(spark, texts).drop("fingerprint"))
+    docs = simhash.with_fingerprints(table(spark, texts))
     rows = docs.join(simhash.classes(docs).select("fingerprint", "component_id"), "fingerprint").orderBy("doc_id").collect()
     assert [r.fingerprint & (2**64 - 1) for r in rows] == prints
     assert [r.component_id for r in rows] == brute_components(range(len(texts)), prints)
 
 
+def test_simhash_of_empty_and_long_texts(spark):
+    empty = simhash.with_fingerprints(table(spark, []))
+    assert empty.count() == 0 and simhash.classes(empty).count() == 0 and simhash.deduplicate(table(spark, [])).count() == 0
+    long = " ".join(str(i % 977) for i in range(200_000))
+    got = simhash.with_fingerprints(table(spark, [long])).first()
+    assert got.fingerprint & (2**64 - 1) == brute_fingerprint(long)
+
+
 @pytest.mark.parametrize("group", [1024, 8])
 def test_links_of_a_tight_group(spark, group):
     r = random.Random(5)
