@@ -6,9 +6,9 @@ block wherever they occur, and a text meets just the blocks of its own anchors;
 
 * A *phrase* is a maximal run of consecutive windows with one anchor. Of a phrase that an earlier document has as a whole, all
   windows are duplicates: one factor, found by the phrase's hash.
-* The other phrases of a block that several documents share are its reference. In the order of their documents, each is factored
-  greedily against those of earlier documents, which are indexed by window: at each place the longest match becomes a factor
-  (from document, from word, length). Where a factor ends, the windows that lie across its end are looked up as well, since each may
+* The other phrases of a block that several documents share are its reference, indexed by sorting all their suffixes. Each is
+  factored greedily against those of earlier documents: at each place the longest match becomes a factor (from document, from word,
+  length). Where a factor ends, the windows that lie across its end are looked up as well, since each may
   occur elsewhere in the block. Factors of ``WINDOW`` words or more are the duplicate spans.
 * A block of more than ``BLOCK`` different phrases (a common line among ever new neighbours) is not gathered: it is split by window,
   so its factors have the length of one.
@@ -113,41 +113,59 @@ def _place(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray) -> np.ndarra
     return common.signed(common.mix(u[0] ^ common.mix(u[1] + common.mix(u[2] + _OTHER))))
 
 
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes of the words (8 bytes each) that two sequences have in common at their beginnings."""
+    low, high = 0, min(len(a), len(b)) // 8
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[: 8 * mid] == b[: 8 * mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return 8 * low
+
+
+def longest(rows: list[tuple], window: int = WINDOW) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """For the suffixes (row number, place in bytes) of ``window`` words or more: length of the longest match with a row of an earlier document, that row, place there.
+
+    All suffixes are sorted. The longest match of one is with the nearest one, on either side, of an earlier document; a stack of
+    ascending documents finds these, with the least common beginning on the way.
+    """
+    size = 8 * window
+    suffixes = sorted((w[at:], doc, i, at) for i, (doc, w) in enumerate(rows) for at in range(0, len(w) - size + 1, 8))
+    lcp = [0, *(_shared(suffixes[k - 1][0], suffixes[k][0]) for k in range(1, len(suffixes)))]
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for order, step in ((range(len(suffixes)), 0), (range(len(suffixes) - 1, -1, -1), 1)):
+        stack: list[tuple[int, int, int]] = []  # document, suffix, common beginning with the one below
+        for k in order:
+            _, doc, i, at = suffixes[k]
+            near = lcp[k + step] if k + step < len(suffixes) else 0
+            while stack and stack[-1][0] >= doc:
+                near = min(near, stack.pop()[2])
+            if stack and near >= size and near > best.get((i, at), (0,))[0]:
+                _, _, j, there = suffixes[stack[-1][1]]
+                best[i, at] = (near, j, there)
+            stack.append((doc, k, near))
+    return best
+
+
 def factored(rows: list[tuple], window: int = WINDOW) -> list[tuple]:
-    """Factors (row number, place, length, source row, place there) of the rows (doc_id, words as bytes) of one block, sorted by doc_id.
+    """Factors (row number, place, length, source row, place there) of the rows (doc_id, words as bytes) of one block.
 
     Rows of one document are no sources for each other.
     """
     size, out = 8 * window, []
-    index: dict[bytes, list[tuple[int, int]]] = {}
-    fresh: list[int] = []
-
-    def learn() -> None:
-        for j in fresh:
-            w = rows[j][1]
-            for at in range(0, len(w) - size + 1, 8):
-                index.setdefault(w[at : at + size], []).append((j, at))
-        fresh.clear()
-
-    for i, (doc, mine) in enumerate(rows):
-        if fresh and rows[fresh[0]][0] != doc:
-            learn()
-        at, end = 0, len(mine)
-        while at + size <= end:
-            best = (0, 0, 0)
-            for j, there in index.get(mine[at : at + size], ()):
-                other, n = rows[j][1], size
-                while at + n < end and mine[at + n : at + n + 8] == other[there + n : there + n + 8]:
-                    n += 8
-                if n > best[0]:
-                    best = (n, j, there)
-                    if at + n == end:
-                        break
-            if best[0]:
-                out.append((i, at // 8, best[0] // 8, best[1], best[2] // 8))
-                at += best[0] - size  # the windows across its end are looked up next
+    best = longest(rows, window)
+    if not best:
+        return out
+    for i, (_, mine) in enumerate(rows):
+        at = 0
+        while at + size <= len(mine):
+            n, j, there = best.get((i, at), (0, 0, 0))
+            if n:
+                out.append((i, at // 8, n // 8, j, there // 8))
+                at += n - size  # the windows across its end are looked up next
             at += 8
-        fresh.append(i)
     return out
 
 
