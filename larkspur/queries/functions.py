@@ -45,16 +45,6 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", *[F.date_format(scalar.date_trunc(f, "ts"), "yyyy-MM-dd HH:mm:ss").alias(f"t_{f}") for f in ("year", "month", "day", "hour", "minute", "second")])
 
 
-@query("fn_now")
-def _(spark, d):
-    return spark.range(1).select(scalar.epoch_seconds().alias("now"), scalar.epoch_days().alias("today"))
-
-
-@query("fn_random")
-def _(spark, d):
-    return spark.range(100).select("id", scalar.random_int().alias("r"))
-
-
 # Arrays ----------------------------------------------------------------------------------------------------------------------
 
 def _arrays(spark, d):
@@ -232,13 +222,13 @@ def _(spark, d):
     return rows.select("event_id", *[scalar.json_has(F.col("j"), k).alias(c) for k, c in (("0", "zero"), ("1", "one"), ("9", "nine"))])
 
 
-@query("fn_now_invariants", "SELECT true AS same_in_a_query, true AS after_2020, true AS same_day")
+@query("fn_now", "SELECT true AS same_in_a_query, true AS after_2020, true AS same_day")
 def _(spark, d):
     rows = spark.range(4).select(scalar.epoch_seconds().alias("s"), scalar.epoch_days().alias("day"))
     return rows.agg((F.count_distinct("s") == 1).alias("same_in_a_query"), (F.min("s") > 1577836800).alias("after_2020"), (F.max(F.abs(F.floor(F.col("s") / 86400) - F.col("day"))) <= 1).alias("same_day"))
 
 
-@query("fn_random_invariants", "SELECT count(*) AS n, true AS inside, true AS varied FROM orders")
+@query("fn_random", "SELECT count(*) AS n, true AS inside, true AS varied FROM orders")
 def _(spark, d):
     rows = table(spark, d, "orders").select(scalar.random_int().alias("r"))
     return rows.agg(F.count("*").alias("n"), ((F.min("r") >= 0) & (F.max("r") <= 999)).alias("inside"), (F.count_distinct("r") > 500).alias("varied"))

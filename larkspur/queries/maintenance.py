@@ -137,6 +137,18 @@ def _(spark, d):
     return db.table("land")
 
 
+@query("create_drop_table", "SELECT 'kept' AS name, CAST(5 AS BIGINT) AS n UNION ALL SELECT 'made', 25")
+def _(spark, d):
+    db = tables.Database(spark)
+    db.create_table("kept", table(spark, d, "region"))
+    db.create_table("gone", table(spark, d, "region"))
+    db.create_table("made", _nation(spark, d), tables.Schema(primary_key=["n_nationkey"]))
+    db.create_table("kept", _nation(spark, d), if_not_exists=True)
+    db.drop_table("gone")
+    db.drop_table("gone", if_exists=True)
+    return spark.createDataFrame([(n, db.table(n).count()) for n in db.versions], "name string, n long")
+
+
 @query("describe_table", "SELECT CAST(1 AS INTEGER) AS place, 'r_regionkey' AS column_name, 'bigint' AS data_type UNION ALL SELECT 2, 'r_name', 'string'")
 def _(spark, d):
     db = tables.Database(spark)
