@@ -177,7 +177,8 @@ def links(prints: DataFrame, group: int = GROUP) -> DataFrame:
     segments = [F.shiftrightunsigned(p, 32), p.bitwiseAND(0xFFFFFFFF)]
     variants = [s.bitwiseAND(0xFFFFFFFF ^ (1 << i)) + F.lit((k << 37) | (i << 32)) for k, s in enumerate(segments) for i in range(32)]
     n = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    index = prints.select(F.explode(F.array(*variants)).alias("key"), "fingerprint")
+    # dealt out evenly first, as 64 rows are made of each
+    index = prints.select("fingerprint").repartition(n).select(F.explode(F.array(*variants)).alias("key"), "fingerprint")
     first = common.stored(index.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_link(BITS, group), schema))
     # Second index, over members of large groups only: the 33 bits in which they can differ are the wiped bit and the other segment.
     key = F.col("key")
