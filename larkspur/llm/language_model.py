@@ -43,7 +43,9 @@ SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 600_000
 #: Keys outside the head that are gathered before they are dealt out.
-ASKED = 300_000
+ASKED = 600_000
+#: Described pairs that a task gathers before they are dealt out.
+DESCRIBED = 1_000_000
 #: A state's key among the looked-up ones is its context's key with these bits turned, as pairs and words have the plain ones.
 STATE_BITS = 0x2545F4914F6CDD1D
 #: Key of the end token among the word hashes.
@@ -117,8 +119,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[Grams]]:
         yield held
 
 
-#: What a pair's probability depends on: its context, the pair of the next lower depth (at depth 1 the word), the context's parent.
-PAIR_COLUMNS = ["context", "parent", "above"]
+#: What a pair's probability depends on: its context, and the pair of the next lower depth (at depth 1 the word).
+PAIR_COLUMNS = ["context", "parent"]
 GRAM_SCHEMA = "d int, key long, n long, " + ", ".join(f"{c} long" for c in PAIR_COLUMNS)
 #: A sorted run of keys of one bucket (a range of keys): packed keys, their counts, and, one after the other, PAIR_COLUMNS or nothing.
 RUN_SCHEMA = "d int, bucket int, keys binary, n binary, columns binary"
@@ -146,7 +148,7 @@ def _run_batch(d: int, keys: np.ndarray, n: np.ndarray, columns: list[np.ndarray
 
 
 def _grams(depth: int, n_buckets: int, handle=None):
-    """Runs, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and the counts of the pairs of the depth before, with their PAIR_COLUMNS where a task first meets them.
+    """Runs, each key once a chunk: the counts of the pairs of ``depth`` (at 1 those of words as well), and the counts and PAIR_COLUMNS of the pairs of the depth before, each once a task.
 
     ``handle`` is a map of the pairs of the depth before that occur ``LEAST_PAIR`` times; these are described. Pairs of
     ``depth`` are left out whose own shorter pair or whose context surely occurs less: a longer pair never occurs more often than
@@ -155,19 +157,20 @@ def _grams(depth: int, n_buckets: int, handle=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.returned()
-        met = np.zeros(0, dtype=np.uint64)  # described by this task
+        met = [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), *[np.zeros(0, dtype=np.int64)] * len(PAIR_COLUMNS)]  # keys, counts, columns
+        before = depth - 1
         for parts in _chunks(batches):
             if depth == 1:
                 for d in (0, 1):
                     keys, n = np.unique(np.concatenate([g.pair(d) for g in parts]).view(np.uint64), return_counts=True)
                     yield from _run_rows(d, keys, n, [], n_buckets)
                 continue
-            before, described, found = depth - 1, [], []
+            described, found = [], []
             for g in parts:
                 keys = g.pair(before)
                 hit = np.flatnonzero(common.bitmap_has(handle.value, keys))
                 at = g.at[hit]
-                described.append((keys[hit], g.context(before, at), g.pair(before - 1, at), g.context(before - 1, at)))
+                described.append((keys[hit], g.context(before, at), g.pair(before - 1, at)))
                 if depth <= DEPTH:
                     ok = g.opening(at) | common.bitmap_has(handle.value, g.context(depth, at))
                     found.append(g.pair(depth, at[ok]))
@@ -177,10 +180,15 @@ def _grams(depth: int, n_buckets: int, handle=None):
             columns = [np.concatenate(x) for x in zip(*described, strict=True)]
             del described, found
             keys, first, n = np.unique(columns[0].view(np.uint64), return_index=True, return_counts=True)
-            fresh = ~lookup.find(met, keys)[1]
-            yield from _run_rows(before, keys[~fresh], n[~fresh], [], n_buckets)
-            yield from _run_rows(before, keys[fresh], n[fresh], [x[first[fresh]] for x in columns[1:]], n_buckets)
-            met = np.sort(np.concatenate([met, keys[fresh]]))
+            both = [np.concatenate(x) for x in zip(met, [keys, n, *(x[first] for x in columns[1:])], strict=True)]
+            keys, first, of = np.unique(both[0], return_index=True, return_inverse=True)
+            met = [keys, np.bincount(of, weights=both[1], minlength=len(keys)).astype(np.int64), *(x[first] for x in both[2:])]
+            del columns, both
+            if len(keys) >= DESCRIBED:
+                yield from _run_rows(before, met[0], met[1], met[2:], n_buckets)
+                met = [x[:0] for x in met]
+        if len(met[0]):
+            yield from _run_rows(before, met[0], met[1], met[2:], n_buckets)
 
     return run
 
@@ -194,11 +202,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.setdefault((d, bucket), []).append((keys, n, columns))
     while held:
         (d, _), runs = held.popitem()
-        runs.sort(key=lambda r: not r[2])  # described ones first
         keys = [common.unpacked(k) for k, _, _ in runs]
         n = np.concatenate([np.frombuffer(n, dtype=np.uint8 if len(n) == len(k) else np.int64).astype(np.int64) for k, (_, n, _) in zip(keys, runs, strict=True)])
         every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every)
         every = every[order]
         head = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
         total = np.add.reduceat(n[order], head)
@@ -206,7 +213,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = head[keep]
         made = {"d": pa.array(np.full(len(head), d, dtype=np.int32)), "key": pa.array(common.signed(every[head])), "n": pa.array(total[keep])}
         described = [np.frombuffer(c, dtype=np.int64).reshape(len(PAIR_COLUMNS), -1) for _, _, c in runs if c]
-        if described:  # each key at least once, and in front
+        if described:
             made |= {c: pa.array(np.concatenate(x)[order[head]]) for c, x in zip(PAIR_COLUMNS, zip(*described, strict=True), strict=True)}
         else:
             made |= dict.fromkeys(PAIR_COLUMNS, pa.nulls(len(head), pa.int64()))
@@ -233,7 +240,8 @@ def _grown(pairs: list[DataFrame], words: DataFrame, root: float) -> DataFrame:
     """
     described = [p.where(F.col("context").isNotNull()).select("key", "n", *PAIR_COLUMNS) for p in pairs]
     spark = words.sparkSession
-    below = words.select(F.col("key").alias("parent"), ((F.col("n") + 1) / root).alias("m"))
+    # a pair's parent has the context's parent for its context
+    below = words.select(F.col("key").alias("parent"), ((F.col("n") + 1) / root).alias("m"), F.lit(0).cast("long").alias("above"))
     seen = words.select(F.col("key").alias("context"), "n")
     texts = words.where(F.col("key") == END_KEY).select(F.explode(F.array(*map(F.lit, opening_contexts())).cast("array<long>")).alias("context"), "n")
     out, parents = [], None
@@ -254,10 +262,10 @@ def _grown(pairs: list[DataFrame], words: DataFrame, root: float) -> DataFrame:
         states = common.stored(states.select(F.col("context").alias("key"), "n", F.log10("rest").alias("value")))
         parents = states.select(F.col("key").alias("above"))
         g = g.select("context", "key", "n", "m", "p").join(states.select(F.col("key").alias("context"), F.col("value").alias("weight")), "context", "left")
-        g = common.stored(g.select("key", "n", F.when(F.col("weight").isNull(), F.col("m")).otherwise(F.col("p")).alias("p"), (F.log10("p") - F.log10("m") - F.col("weight")).alias("value")))
+        g = common.stored(g.select("context", "key", "n", F.when(F.col("weight").isNull(), F.col("m")).otherwise(F.col("p")).alias("p"), (F.log10("p") - F.log10("m") - F.col("weight")).alias("value")))
         out.append(states.select(F.lit(True).alias("state"), F.col("key").bitwiseXOR(F.lit(STATE_BITS)).alias("key"), "n", F.lit(None).cast("double").alias("logp"), "value"))
         out.append(g.where("value is not null").select(F.lit(False).alias("state"), "key", "n", F.log10("p").alias("logp"), "value"))
-        below = g.select(F.col("key").alias("parent"), F.col("p").alias("m"))
+        below = g.select(F.col("key").alias("parent"), F.col("p").alias("m"), F.col("context").alias("above"))
         common.discard(looked)
     common.discard(pairs[-1])
     return reduce(DataFrame.unionByName, out)
@@ -403,7 +411,13 @@ def _asked(held: list, n_buckets: int, kind: pa.DataType) -> pa.RecordBatch:
     keys, rows = keys[order], rows[order]
     cuts, first = lookup.cut(keys, n_buckets), int(rows.min()) if len(rows) else 0
     none = [pa.nulls(len(cuts), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-    return _rows([first] * len(cuts), pa.nulls(len(cuts), kind), none, [c for c, _, _ in cuts], [common.packed(keys[a:b]) for _, a, b in cuts], [(rows[a:b] - first).astype(np.uint32).tobytes() for _, a, b in cuts])
+    return _rows([first] * len(cuts), pa.nulls(len(cuts), kind), none, [c for c, _, _ in cuts], [common.packed(keys[a:b]) for _, a, b in cuts], [_small(rows[a:b] - first) for _, a, b in cuts])
+
+
+def _small(rows: np.ndarray) -> bytes:
+    """Rows in two bytes each if they fit, else in four; the first byte tells."""
+    kind = np.uint16 if rows.max(initial=0) < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + rows.astype(kind).tobytes()
 
 
 def _known(n_buckets: int, schema):
@@ -453,7 +467,7 @@ def _answered(n_buckets: int):
             keys, b, s, word = values(parts)
             for first, k, c in wanted:
                 at, there = lookup.find(keys, common.unpacked(k))
-                found.append(lookup.summed(np.frombuffer(c, dtype=np.uint32).astype(np.int64)[there] + first, b[at[there]], s[at[there]], word[at[there]]))
+                found.append(lookup.summed(np.frombuffer(c, dtype=f"u{c[0]}", offset=1).astype(np.int64)[there] + first, b[at[there]], s[at[there]], word[at[there]]))
             if sum(len(x[0]) for x in found) > 1 << 20:
                 found = [lookup.summed(*(np.concatenate(x) for x in zip(*found, strict=True)))]
         if not found:
