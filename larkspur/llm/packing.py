@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import common, pretokens
+from larkspur.llm import common, lookup, pretokens
 
 #: Tokens in a sequence.
 CAPACITY = 1024
@@ -32,7 +32,7 @@ END_ID = 0
 #: Open windows held by one task before they are carried on.
 OPEN_WINDOWS = 4096
 #: Tasks whose open windows meet in one of the second stage.
-CARRY = 64
+CARRY = 16
 #: Text encoded at once.
 SLICE_BYTES = 4 << 20
 
@@ -198,7 +198,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, carry: int = CARR
                 number += len(windows)
 
     packed = docs.mapInArrow(first_stage, f"{schema}, meets int, ids binary")
-    n = max(1, -(-docs.rdd.getNumPartitions() // carry))
+    n = lookup.dealt(spark)
     # open windows meet by the task that they come from, in its order, so a second run packs alike; pieces of whole ones go with their task
     meets = F.coalesce("meets", (F.shiftright("sequence_id", 40) / carry).cast("int"))
     return packed.repartition(n, meets).sortWithinPartitions(F.col("ids").isNull(), "sequence_id", "offset").mapInArrow(second_stage, schema)

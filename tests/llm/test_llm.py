@@ -383,8 +383,8 @@ def test_open_windows_are_carried_on(spark):
     g = np.random.default_rng(5)
     texts = [" ".join(["word"] * int(k)) for k in np.minimum(g.lognormal(5.5, 1, 3000), 9000)]
     path = public_tokenizers.path("byte_bpe_50k.json")
-    share = {n: packing.share_recut(packing.pack(table(spark, texts).repartition(n), path)) for n in (1, 40)}
-    assert share[40] < 0.16 and share[1] < 0.16, share
+    share = {(n, carry): packing.share_recut(packing.pack(table(spark, texts).repartition(n), path, carry=carry)) for n, carry in ((1, 16), (40, 64), (40, 16))}
+    assert share[1, 16] < 0.16 and share[40, 64] < 0.16 and share[40, 16] < 0.4, share
     rows = packing.pack(table(spark, texts).repartition(40), path).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert all(r.n == 1024 or r.n & (r.n - 1) == 0 for r in rows)
     assert packing.pack(table(spark, []), path).count() == 0
