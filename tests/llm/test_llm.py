@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm import common, components, decontaminate, language_model, lookup, packing, pii, pretokens, secrets, simhash, substrings, token_counts, topk, toxicity
+from larkspur.llm import common, components, decontaminate, language_model, lookup, packing, pii, secrets, simhash, substrings, token_counts, topk, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -922,3 +922,22 @@ def test_pipeline_against_its_parts(spark):
         assert fourth[i].text == pii.masked(r.text, pii.all_spans(net, [r.text])[0][1])
     packed = out[4].groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert {r.doc_id for r in packed} == set(fourth) and all(r.n == r.t for r in packed)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_pipeline_of_awkward_documents(spark):
+    """Empty tables, nulls, repeated rows, a very long text and columns with clashing names go through every stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("score", F.lit(1)).withColumn("fingerprint", F.lit("x"))
+    odd = spark.createDataFrame([(None, None, "x"), (1, "", "x"), (1, "", "x"), (2, "word " * 60_000, "x"), (None, "a text", "y"), (3, "mail bob at web dot de now", "z")], "doc_id long, text string, lang string")
+    odd = odd.select("doc_id", "text", "lang", F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("n_chars"), F.lit(1).alias("score"), F.lit("x").alias("fingerprint"))
+    for rows, least in ((docs.limit(0), 0), (odd, 4)):
+        before = rows
+        for name, stage in corpus_pipeline.STAGES:
+            before = common.stored(stage(spark, before, DATA))
+            if name != "packing":
+                assert before.columns == docs.columns
+        assert before.select("doc_id").distinct().count() >= min(least, 3)
+        if least:
+            assert before.groupBy("doc_id").agg(F.max("doc_tokens").alias("t"), F.sum("length").alias("n")).where("doc_id = 2 and t = n").count() == 1
