@@ -38,7 +38,7 @@ from larkspur.llm import common, lookup
 
 DEPTH = 2
 LEAST_PAIR, DIVERGENCE = 3, 6.0
-HEAD_WORDS, HEAD_KEYS = 200_000, 200_000
+HEAD_WORDS, HEAD_KEYS = 100_000, 100_000
 SLICE_BYTES = 1 << 20
 #: Tokens of a chunk whose words and pairs are counted before they are shuffled.
 CHUNK = 600_000
