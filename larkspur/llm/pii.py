@@ -43,7 +43,7 @@ SENTENCES, BATCH, EPOCHS, SEED = 60_000, 128, 9, 7
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
 #: Least score of an added span above that of none at its characters (natural logarithm).
 LEAST_GAIN = 3.5
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 20
 #: Windows run through the network at once, and paths decoded at once.
 AT_ONCE = 512
 
@@ -236,6 +236,18 @@ class Network:
             out[:, k] = h
         return out, trace
 
+    def _ready(self) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By direction: input weights of each pair of codes, recurrent and output weights, scaled for ``emissions``; made once."""
+        if not hasattr(self, "_made"):
+            self._made, half = {}, np.float32(0.5)
+            for d, out in (("f", self.w["o"][:HIDDEN]), ("b", self.w["o"][HIDDEN:])):
+                wx = (self.w[f"x{d}1"][:, None] + self.w[f"x{d}2"][None]).reshape(-1, 4 * HIDDEN)
+                wh = np.ascontiguousarray(self.w[f"h{d}"].T * half)  # states are held at twice their size
+                wx[:, : 3 * HIDDEN] *= half
+                wh[: 3 * HIDDEN] *= half
+                self._made[d] = (wx, wh, np.ascontiguousarray(out.T * half))
+        return self._made
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
         """(batch, tags, time) of codes (batch, time): units by rows and windows by columns, one tanh for all gates (a sigmoid is half of one)."""
         batch, steps = x.shape[0], x.shape[1] // 2
@@ -244,12 +256,7 @@ class Network:
         total[:] = self.w["ob"][:, None]
         half = np.float32(0.5)
         taken, z, inner, made = (np.empty(s, dtype=np.float32) for s in ((batch, 4 * HIDDEN), (4 * HIDDEN, batch), (HIDDEN, batch), (2 * TAGS, batch)))
-        for d, out in (("f", self.w["o"][:HIDDEN]), ("b", self.w["o"][HIDDEN:])):
-            wx = (self.w[f"x{d}1"][:, None] + self.w[f"x{d}2"][None]).reshape(-1, 4 * HIDDEN)
-            wh = np.ascontiguousarray(self.w[f"h{d}"].T * half)  # states are held at twice their size
-            wx[:, : 3 * HIDDEN] *= half
-            wh[: 3 * HIDDEN] *= half
-            out = np.ascontiguousarray(out.T * half)
+        for d, (wx, wh, out) in self._ready().items():
             h, c = (np.zeros((HIDDEN, batch), dtype=np.float32) for _ in range(2))
             for k in range(steps) if d == "f" else range(steps - 1, -1, -1):
                 np.matmul(wh, h, out=z)
