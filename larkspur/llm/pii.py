@@ -548,7 +548,6 @@ def find(docs: DataFrame) -> DataFrame:
     handle = spark.sparkContext.broadcast(loaded())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text", SLICE_BYTES):
