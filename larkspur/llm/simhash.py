@@ -11,10 +11,14 @@ member, linear in their size. Exact copies share one fingerprint and are one nod
 
 ``deduplicate`` keeps one document of each group of near copies: links are pairs whose sets of five-word shingles have a Jaccard
 similarity of ``SIMILARITY`` or more. A 64-bit fingerprint cannot reach those alone: at 0.8 two of them differ in about ten bits,
-far beyond what any index of variants can hold apart. So the SimHash links are candidates beside others: texts that have the same
-five least hashes in one of ``BANDS`` families (0.9996 of the pairs at 0.8) are candidates with the least of their group. Every
-candidate is verified on the whole shingle sets; those refused by the least one are grouped anew without it, ``ROUNDS`` times.
-Exact copies are one node from the start, and pairs within a group are never all made.
+far beyond what any index of variants can hold apart. So the SimHash links are candidates beside those of a prefix filter, which
+misses none: shingles are put in one order for all texts, and two texts of 0.8 share one of the first ``n - ceil(0.8 n) + 1`` of
+each. The order is by hash with the shingles of many texts last (counted in a sixteenth of the texts; it decides about the work, not
+about the links). All pairs within a group of up to ``MEET`` texts are candidates, if their sizes and the shingle's places allow 0.8.
+In a larger group each text meets the ``PIVOTS`` least; after their links are known, all its pairs of texts that are not yet in one
+class meet as well, so every link is found or lies within a class. A candidate is dropped where the parities of its shingles by
+residue already differ in too many places, which is exact as well; the others are verified on the whole shingle sets. Exact copies
+are one node from the start.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other (for ``deduplicate``: all of them are copies of one
 another); a text of fewer words than a shingle is one shingle; a text of any length is read whole; an empty table gives an empty
@@ -37,8 +41,12 @@ from larkspur.llm import common
 from larkspur.llm.components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
-#: Of near copies: words of a shingle, least similarity, families of least hashes, hashes in each, times that refused candidates are grouped anew.
-NEAR, SIMILARITY, BANDS, ROWS, ROUNDS = 5, 0.8, 20, 5, 3
+#: Of near copies: words of a shingle, least similarity, texts of a shingle that all meet at once, texts that those of a larger group meet first.
+NEAR, SIMILARITY, MEET, PIVOTS = 5, 0.8, 32, 8
+#: One text in so many is counted, and a shingle of so many of these comes last in the order.
+COUNTED, FREQUENT = 16, 4
+#: Residues whose parities are compared.
+PARITIES = 2048
 #: Fingerprints under one variant that are compared with one another in place.
 GROUP = 1024
 SLICE_BYTES = 4 << 20
@@ -205,9 +213,6 @@ def classes(rows: DataFrame) -> DataFrame:
     return joined.join(least, "root", "left").select("fingerprint", root.alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
 
 
-_FAMILIES = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
 def shingles(words: list[bytes], n: int = NEAR) -> np.ndarray:
     """Hashes of the word shingles; fewer words than one are one shingle, no words none."""
     if not words:
@@ -224,109 +229,240 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big") if len(hashes) else 0
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key for each family, of the least values of its hash functions over the shingles."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 512):
-        values = (hashes[at : at + 512, None] ^ _FAMILIES[0]) * _FAMILIES[1]
-        least = np.minimum(least, (values ^ (values >> np.uint64(29))).min(axis=0))
-    out = np.arange(BANDS, dtype=np.uint64)
-    for part in least.reshape(BANDS, ROWS).T:
-        out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + part)
-    return out
+def least_shared(m, n, similarity: float):
+    """Shingles that sets of m and n of this similarity share at least."""
+    return np.ceil(similarity / (1 + similarity) * (m + n) - 1e-9)
+
+
+def prefix(distinct: np.ndarray, frequent: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the distinct sorted hashes, frequent ones last, of which every set of this similarity holds one within its own."""
+    keep = len(distinct) - int(np.ceil(similarity * len(distinct) - 1e-9)) + 1
+    return distinct[np.argsort(common.bitmap_has(frequent, common.signed(distinct)), kind="stable")[:keep]]
+
+
+def parities(distinct: np.ndarray) -> bytes:
+    """For each residue whether an odd number of hashes has it. Two sets differ in at least as many elements as these in bits."""
+    counts = np.bincount((distinct >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+@common.lean
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) -> (key, n): texts of a slice that hold each shingle."""
+    for whole in batches:
+        for batch in common.slices(whole, "text", SLICE_BYTES):
+            sets = [np.unique(shingles(t.lower().split() if t else [])) for t in common.texts_as_bytes(batch.column("text")).to_pylist()]
+            key, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(common.signed(key), pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Map of the shingles that ``FREQUENT`` different texts of the counted ones hold."""
+    h = F.xxhash64("text")
+    some = docs.where(F.pmod(h, F.lit(COUNTED)) == 0).select(h.alias("h"), "text").dropDuplicates(["h"]).select("text")
+    keys = some.mapInArrow(_counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return common.membership_bitmap(keys, "key")
 
 
-def _nodes(text: str):
-    """Puts the hash of a text's folded words, its fingerprint and its bands in place of the text."""
+def _nodes(text: str, frequent, similarity: float):
+    """Puts the hash of a text's folded words, its fingerprint, its number of shingles, their parities and their prefix in place of the text."""
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, text, SLICE_BYTES):
-                node, prints, keys = [], [], []
+                node, prints, size, odd, keys = [], [], [], [], []
                 for t in common.texts_as_bytes(batch.column(text)).to_pylist():
                     words = t.lower().split() if t else []
                     node.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
                     hashes = shingles(words)
                     prints.append(majority(hashes))
-                    keys.append(bands(hashes))
+                    distinct = np.unique(hashes)
+                    size.append(len(distinct))
+                    odd.append(parities(distinct))
+                    keys.append(prefix(distinct, frequent.value, similarity))
                 columns, names = list(batch.columns), list(batch.schema.names)
                 at = names.index(text)
                 del columns[at], names[at]
-                offsets = pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32))
                 columns += [pa.array(common.signed(np.array(x, dtype=np.uint64)), pa.int64()) for x in (node, prints)]
+                columns += [pa.array(size, pa.int64()), pa.array(odd, pa.binary())]
+                offsets = pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32))
                 columns.append(pa.ListArray.from_arrays(offsets, pa.array(common.signed(np.concatenate(keys)) if keys else [], pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "__node", "__print", "__bands"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "__node", "__print", "__size", "__odd", "__keys"])
+
+    return run
+
+
+def _grouped(columns: tuple[str, ...], whole):
+    """Rows sorted by their first column -> what ``whole`` yields of the arrays of one or more complete groups."""
+
+    @common.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            if not len(rows[0]):
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last group may go on
+            if cut or (held and held[0][0][0] != rows[0][0]):
+                before = [*held, [r[:cut] for r in rows]]
+                first = np.concatenate([b[0] for b in before])
+                if len(first):
+                    yield from whole(first, *(np.concatenate([b[i] for b in before]) for i in range(1, len(columns))))
+                held = []
+            held.append([r[cut:] for r in rows])
+        if held:
+            yield from whole(*(np.concatenate([b[i] for b in held]) for i in range(len(columns))))
+
+    return run
+
+
+def _may(size: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sizes of rows i and j and the places of the shingle allow the similarity, if it is the first one that they share."""
+    rest = np.minimum(size[i] - at[i], size[j] - at[j])
+    return (rest >= least_shared(size[i], size[j], similarity)) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9)
+
+
+def _met(similarity: float, meet: int):
+    """Rows (key, node, size, at) sorted by key and node -> candidates (a, b) and, of groups of more than ``meet``, the rows as they are."""
+
+    def whole(key, node, size, at) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(start, len(key)))
+        place = np.arange(len(key)) - np.repeat(start, count)
+        count = np.repeat(count, count)
+        left, right = [], []
+        for d in range(1, min(meet, int(count.max()))):
+            i = np.flatnonzero((place >= d) & (count <= meet))
+            left.append(i)
+            right.append(i - d)
+        hot = np.flatnonzero(count > meet)
+        for d in range(PIVOTS):
+            i = hot[place[hot] > d]
+            left.append(i)
+            right.append(i - place[i] + d)
+        i, j = (np.concatenate(x) for x in (left, right))
+        may = _may(size, at, i, j, similarity)
+        a, b = node[i[may]], node[j[may]]
+        none, more = [pa.nulls(len(a), pa.int64())] * 3, [pa.nulls(len(hot), pa.int64())] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none, pa.array(a)], names=["a", "b", "key", "size", "at", "node"])
+        if len(hot):
+            yield pa.RecordBatch.from_arrays([*more, *(pa.array(x[hot]) for x in (key, size, at, node))], names=["a", "b", "key", "size", "at", "node"])
+
+    return _grouped(("key", "node", "size", "at"), whole)
+
+
+def _across(similarity: float):
+    """Rows (key, node, size, at, root) sorted by key and size -> candidates (a, b) of different roots."""
+
+    def whole(key, node, size, at, root) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        for s, e in zip(start.tolist(), np.append(start[1:], len(key)).tolist(), strict=True):
+            step = max(1, (1 << 20) // (e - s))
+            for low in range(s, e, step):
+                high = min(low + step, e)
+                end = s + int(np.searchsorted(size[s:e], size[high - 1] / similarity + 1, side="right"))
+                i, j = np.nonzero(root[low:high, None] != root[None, low:end])
+                i, j = i[i < j] + low, j[i < j] + low
+                may = _may(size, at, i, j, similarity)
+                a, b = node[i[may]], node[j[may]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    return _grouped(("key", "node", "size", "at", "root"), whole)
+
+
+def _possible(similarity: float):
+    """(a, b, m, n, x, y) -> (a, b) of those whose sizes m, n and parities x, y allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(m), PARITIES // 64) for c in ("x", "y"))
+            shared = least_shared(m, n, similarity)
+            near = (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= m + n - 2 * shared) & (np.minimum(m, n) >= shared) & (np.minimum(m, n) > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return run
 
 
 @common.lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(__node, text) -> (__node, set): the sorted shingle hashes, 32 bits of each."""
+    """(__node, text) -> (node, set): the sorted shingle hashes."""
     for whole in batches:
         for batch in common.slices(whole, "text", SLICE_BYTES):
-            sets = [np.unique(shingles(t.lower().split() if t else []).astype(np.uint32)).tobytes() for t in common.texts_as_bytes(batch.column("text")).to_pylist()]
+            sets = [np.unique(shingles(t.lower().split() if t else [])).tobytes() for t in common.texts_as_bytes(batch.column("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("__node"), pa.array(sets, pa.binary())], names=["node", "set"])
 
 
 def _verified(similarity: float):
-    """(a, b, x, y) -> (a, b, near): whether the sets x and y are similar enough."""
+    """(a, b, x, y) -> (a, b) of those whose sets x and y are similar enough."""
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                m, n = len(x) // 4, len(y) // 4
-                if min(m, n) < similarity * max(m, n) or not m:
-                    near.append(False)
-                    continue
-                both = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)]))
+                both = np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)]))
                 shared = int((both[1:] == both[:-1]).sum())
-                near.append(shared >= similarity * (m + n - shared) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near)], names=["a", "b", "near"])
+                near.append(bool(shared) and shared >= similarity * (len(both) - shared) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
 
-def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) among the distinct texts ``nodes`` (node, best, print, bands) of ``docs`` (doc_id, __tie, text): those that join each to the least of its groups."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the candidates (a, b) that have the similarity."""
     spark = docs.sparkSession
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    groups = lambda k: k.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("key", "b")
-    leads = nodes.groupBy("print").agg(F.min("node").alias("lead"))
-    of = lambda c: leads.select(F.col("print").alias(c), F.col("lead").alias(f"{c}_lead"))
-    close = links(leads.select(F.col("print").alias("fingerprint"))).join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_lead", "b_lead").alias("a"), F.least("a_lead", "b_lead").alias("b"))
-    same = nodes.join(leads, "print").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    asked = common.stored(keyed.join(groups(keyed), "key").where("node <> b").select("key", F.col("node").alias("a"), "b"))
-    pairs = common.stored(close.unionByName(same).where("a <> b").unionByName(asked.select("a", "b")).distinct())
-    members = asked.select(F.col("a").alias("__node")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+    of = lambda c, n, x: nodes.select(F.col("node").alias(c), F.col("size").alias(n), F.col("odd").alias(x))
+    both = pairs.where("a <> b").distinct().join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b")
+    pairs = common.stored(both.select("a", "b", "m", "n", "x", "y").mapInArrow(_possible(similarity), "a long, b long"))
+    members = pairs.select(F.col("a").alias("__node")).union(pairs.select("b")).distinct()
     # the text of one row of each node, so that copies do not meet anywhere
-    wanted = nodes.join(members, nodes["node"] == members["__node"]).select("__node", F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__best"))
+    wanted = common.stored(nodes.join(members, nodes["node"] == members["__node"]).select("__node", F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__best")))
+    asked = spark.sparkContext.broadcast(common.membership_bitmap(wanted, "__best"))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(common.bitmap_has(asked.value, b.column("__tie").to_numpy())))
+
+    docs = docs.mapInArrow(chosen, docs.schema)
     texts = docs.join(wanted, (docs["__tie"] == wanted["__best"]) & docs["doc_id"].eqNullSafe(wanted["__id"])).select("__node", "text")
     sets = common.stored(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]))
-    found = []
-    for left in range(ROUNDS, 0, -1):
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        judged = common.stored(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long, near boolean"))
-        found.append(judged.where("near").select("a", "b"))
-        if left == 1:
-            break
-        refused = asked.join(judged.where("not near").select("a", "b"), ["a", "b"]).select("key", F.col("a").alias("node"))
-        refused = common.stored(refused)
-        asked = common.stored(refused.join(groups(refused), "key").where("node <> b").select("key", F.col("node").alias("a"), "b"))
-        pairs = common.stored(asked.select("a", "b").distinct())
-        if pairs.isEmpty():
-            break
-    common.release(spark)
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    asked.destroy()
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    out = common.stored(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"))
+    common.discard(pairs, wanted, sets)
     return out
 
 
-def deduplicate(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY, meet: int = MEET) -> DataFrame:
+    """Verified links (a, b) among the distinct texts ``nodes`` (node, best, print, size, odd, keys) of ``docs`` (doc_id, __tie, text); any other pair of the similarity lies in one class of these."""
+    spark = docs.sparkSession
+    leads = nodes.groupBy("print").agg(F.min("node").alias("lead"))
+    of = lambda c: leads.select(F.col("print").alias(c), F.col("lead").alias(f"{c}_lead"))
+    close = links(leads.select(F.col("print").alias("fingerprint"))).join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_lead", "b_lead").alias("a"), F.least("a_lead", "b_lead").alias("b"))
+    same = nodes.join(leads, "print").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", "size", F.col("at").cast("long").alias("at"))
+    met = keyed.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_met(similarity, meet), "a long, b long, key long, size long, at long, node long")
+    met = common.stored(met)
+    found = verified(close.unionByName(same).unionByName(met.where("key is null").select("a", "b")), docs, nodes, similarity)
+    hot = met.where("key is not null").select("key", "node", "size", "at")
+    common.release(spark)
+    if hot.isEmpty():
+        common.discard(met)
+        return found
+    rooted = hot.join(components(found), "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root"))
+    rooted = common.stored(rooted)
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    open_ = rooted.join(split, "key").repartition(n, "key").sortWithinPartitions("key", "size")
+    more = open_.select("key", "node", "size", "at", "root").mapInArrow(_across(similarity), "a long, b long")
+    more = verified(more, docs, nodes, similarity)
+    common.discard(met, rooted)
+    return found.unionByName(more)
+
+
+def deduplicate(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, meet: int = MEET) -> DataFrame:
     """One row of each group of near copies, with all its columns: the one with the smallest doc_id (nulls last), ties by the row's hash."""
     from pyspark.sql import types as T
 
@@ -335,11 +471,14 @@ def deduplicate(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
     tie = F.xxhash64(*[F.to_json(F.struct(c)) if "map" in t or "variant" in t else F.col(c) for c, t in docs.dtypes])
     slim = docs.select("doc_id", tie.alias("__tie"), F.col(text).alias("text"))
     kind = docs.schema["doc_id"].dataType
-    sketch = T.StructType([T.StructField("doc_id", kind), T.StructField("__tie", T.LongType()), T.StructField("__node", T.LongType()), T.StructField("__print", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
-    rows = common.stored(slim.mapInArrow(_nodes("text"), sketch))
+    fields = {"__tie": T.LongType(), "__node": T.LongType(), "__print": T.LongType(), "__size": T.LongType(), "__odd": T.BinaryType(), "__keys": T.ArrayType(T.LongType())}
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(slim))
+    rows = common.stored(slim.mapInArrow(_nodes("text", frequent, similarity), T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t in fields.items())])))
+    frequent.destroy()
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__tie").alias("tie"))
-    nodes = common.stored(rows.groupBy(F.col("__node").alias("node")).agg(F.min(order).alias("best"), F.min("__print").alias("print"), F.min("__bands").alias("bands")))
-    roots_ = components(near_links(slim, nodes, similarity))
+    nodes = common.stored(rows.groupBy(F.col("__node").alias("node")).agg(F.min(order).alias("best"), F.min("__print").alias("print"), F.min("__size").alias("size"), F.min("__odd").alias("odd"), F.min("__keys").alias("keys")))
+    common.discard(rows)
+    roots_ = components(near_links(slim, nodes, similarity, meet))
     joined = nodes.select("node", "best").join(roots_, "node", "left")
     best = joined.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("best", "node")).alias("x"))
     chosen = best.select(F.col("x.node").alias("__node"), F.col("x.best.doc_id").alias("__id"), F.col("x.best.tie").alias("__tie"))

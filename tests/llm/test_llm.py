@@ -217,6 +217,37 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(len(texts))) - linked <= set(kept)
 
 
+def sliding(name, length, step, n):
+    """Texts of one sequence of words, each begun ``step`` words after the one before."""
+    words = [f"{name}{i}" for i in range(length + step * n)]
+    return [" ".join(words[k * step : k * step + length]) for k in range(n)]
+
+
+@pytest.mark.parametrize("meet", [32, 4])
+def test_no_link_at_the_threshold_is_left_out(spark, meet):
+    """Chains in which just neighbours are near, and many whose neighbours are not quite: classes are those of all pairs."""
+    r = random.Random(8)
+    head = [f"head{i}" for i in range(30)]
+    chains = [sliding("a", 104, 11, 60), sliding("b", 104, 12, 20)]  # 89 or 88 of 111 or 112 shingles in common
+    texts = [t for c in chains for t in c] + [t for k in range(40) for t in sliding(f"c{k}x", 49, 5, 2)]  # 40 of 50
+    texts += [" ".join(head + [f"{k}y{i}" for i in range(6)]) for k in range(40)]  # one line in many texts, 26 of 38
+    hub = [f"h{i}" for i in range(204)]  # near to each of those made of it, which are not near to one another: 180 of 220, 160 of 240
+    texts += [" ".join(hub), *(" ".join(f"z{k}{w}" if w in r_ else w for w in hub) for k, r_ in ((k, {hub[10 + k % 40 + 41 * e] for e in range(4)}) for k in range(60)))]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    sets = [set(zip(*(t.split()[i:] for i in range(5)), strict=False)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    want = sorted(min(order[i] for i in range(len(texts)) if label[i] == c) for c in set(label))
+    got = simhash.deduplicate(table(spark, texts, order).repartition(3), meet=meet)
+    assert sorted(x.doc_id for x in got.collect()) == want
+    assert len(set(label[:60])) == 1 and len(set(label[60:80])) == 20
+
+
 def test_a_large_group_of_near_copies(spark):
     r = random.Random(3)
     base = [r.choice(WORDS) + str(r.randrange(50)) for _ in range(200)]
