@@ -38,6 +38,8 @@ WINDOW, GRAM = 13, 5
 #: Different phrases of a block that are indexed and factored in one place.
 BLOCK = 2000
 SLICE_BYTES = 1 << 19
+#: Sum of a block's squared row lengths in bytes up to which its suffixes are copied (16 times as many bytes as they take).
+COPIED = 64 << 20
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
 
@@ -125,6 +127,39 @@ def _shared(a: bytes, b: bytes) -> int:
     return 8 * low
 
 
+def _copied(rows: list[tuple], size: int) -> tuple[list[tuple], list[int]]:
+    """The suffixes (document, row number, place) in order and what each has in common with the one before, by sorting their bytes."""
+    suffixes = sorted((w[at:], doc, i, at) for i, (doc, w) in enumerate(rows) for at in range(0, len(w) - size + 1, 8))
+    return [x[1:] for x in suffixes], [0, *(_shared(suffixes[k - 1][0], suffixes[k][0]) for k in range(1, len(suffixes)))]
+
+
+def _ranked(rows: list[tuple], size: int) -> tuple[list[tuple], list[int]]:
+    """The same without copies of the suffixes, whose bytes grow with the square of a row: by ranks of their first 1, 2, 4, ... words."""
+    count = np.array([len(w) // 8 for _, w in rows])
+    row = np.repeat(np.arange(len(rows)), count)
+    left = np.repeat(np.cumsum(count), count) - np.arange(len(row))  # words to the row's end
+    rank = np.unique(np.frombuffer(b"".join(w for _, w in rows), dtype=">u8").astype(np.uint64), return_inverse=True)[1].astype(np.int32) + np.int32(1)
+    ranks, n = [rank], 1
+    while n < count.max(initial=0):
+        after = np.zeros(len(rank), dtype=np.int64)  # nothing is less than any word
+        after[:-n][left[:-n] > n] = rank[n:][left[:-n] > n]
+        rank = np.unique(rank.astype(np.int64) << 32 | after, return_inverse=True)[1].astype(np.int32) + np.int32(1)
+        ranks.append(rank)
+        n *= 2
+    doc = np.array([d for d, _ in rows], dtype=np.int64)
+    at = np.flatnonzero(left >= size // 8)
+    at = at[np.lexsort((at, doc[row[at]], rank[at]))]
+    x, y = at[:-1].copy(), at[1:].copy()
+    room = np.minimum(left[x], left[y])
+    shared = np.zeros(len(x), dtype=np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        fits = np.flatnonzero(shared + (1 << k) <= room)
+        fits = fits[ranks[k][x[fits] + shared[fits]] == ranks[k][y[fits] + shared[fits]]]
+        shared[fits] += 1 << k
+    place = (count[row[at]] - left[at]) * 8
+    return list(zip(doc[row[at]].tolist(), row[at].tolist(), place.tolist(), strict=True)), [0, *(8 * shared).tolist()]
+
+
 def longest(rows: list[tuple], window: int = WINDOW) -> dict[tuple[int, int], tuple[int, int, int]]:
     """For the suffixes (row number, place in bytes) of ``window`` words or more: length of the longest match with a row of an earlier document, that row, place there.
 
@@ -132,18 +167,17 @@ def longest(rows: list[tuple], window: int = WINDOW) -> dict[tuple[int, int], tu
     ascending documents finds these, with the least common beginning on the way.
     """
     size = 8 * window
-    suffixes = sorted((w[at:], doc, i, at) for i, (doc, w) in enumerate(rows) for at in range(0, len(w) - size + 1, 8))
-    lcp = [0, *(_shared(suffixes[k - 1][0], suffixes[k][0]) for k in range(1, len(suffixes)))]
+    suffixes, lcp = (_copied if sum(len(w) ** 2 for _, w in rows) <= COPIED else _ranked)(rows, size)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for order, step in ((range(len(suffixes)), 0), (range(len(suffixes) - 1, -1, -1), 1)):
         stack: list[tuple[int, int, int]] = []  # document, suffix, common beginning with the one below
         for k in order:
-            _, doc, i, at = suffixes[k]
+            doc, i, at = suffixes[k]
             near = lcp[k + step] if k + step < len(suffixes) else 0
             while stack and stack[-1][0] >= doc:
                 near = min(near, stack.pop()[2])
             if stack and near >= size and near > best.get((i, at), (0,))[0]:
-                _, _, j, there = suffixes[stack[-1][1]]
+                _, j, there = suffixes[stack[-1][1]]
                 best[i, at] = (near, j, there)
             stack.append((doc, k, near))
     return best

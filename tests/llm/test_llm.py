@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -326,6 +327,22 @@ def test_factors_of_a_block():
         assert rows[j][0] < rows[i][0] and rows[i][1][at : at + n] == rows[j][1][there : there + n] and n >= 13
 
 
+def test_suffixes_of_long_rows_are_not_copied():
+    """Both ways to order suffixes agree, and a block of rows that say one word over and over takes no memory by the square of their length."""
+    r = random.Random(6)
+    for _ in range(60):
+        some = [r.getrandbits(64) for _ in range(r.randint(1, 5))]
+        rows = [(r.randint(0, 6), np.array([r.choice(some) for _ in range(r.randint(0, 60))], dtype=np.uint64).tobytes()) for _ in range(r.randint(1, 8))]
+        assert substrings._ranked(rows, 32) == substrings._copied(rows, 32)
+    rows = [(k, np.array([7] * (600 - k) + [1000 + k], dtype=np.uint64).tobytes()) for k in range(100)]
+    tracemalloc.start()
+    got = substrings.factored(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(i, at, n) for i, at, n, _, _ in got] == [(i, 0, 600 - i) for i in range(1, 100)]
+    assert most < 80 << 20
+
+
 @pytest.mark.parametrize("block", [2000, 3])
 def test_factors_hold_in_their_sources(spark, monkeypatch, block):
     monkeypatch.setattr(substrings, "BLOCK", block)
