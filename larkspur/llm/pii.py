@@ -239,37 +239,57 @@ class Network:
     def _ready(self) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By direction: input weights of each pair of codes, recurrent and output weights, scaled for ``emissions``; made once."""
         if not hasattr(self, "_made"):
-            self._made, half = {}, np.float32(0.5)
+            self._made, two = {}, np.float32(2)
             for d, out in (("f", self.w["o"][:HIDDEN]), ("b", self.w["o"][HIDDEN:])):
-                wx = (self.w[f"x{d}1"][:, None] + self.w[f"x{d}2"][None]).reshape(-1, 4 * HIDDEN)
-                wh = np.ascontiguousarray(self.w[f"h{d}"].T * half)  # states are held at twice their size
-                wx[:, : 3 * HIDDEN] *= half
-                wh[: 3 * HIDDEN] *= half
-                self._made[d] = (wx, wh, np.ascontiguousarray(out.T * half))
+                wx = -(self.w[f"x{d}1"][:, None] + self.w[f"x{d}2"][None]).reshape(-1, 4 * HIDDEN)
+                wh = np.ascontiguousarray(self.w[f"h{d}"].T * -two)  # states are held at half their size
+                wx[:, 3 * HIDDEN :] *= two  # a tanh is a sigmoid of twice its argument
+                wh[3 * HIDDEN :] *= two
+                self._made[d] = (wx, wh, np.ascontiguousarray(out.T * two))
         return self._made
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(batch, tags, time) of codes (batch, time): units by rows and windows by columns, one tanh for all gates (a sigmoid is half of one)."""
+    def emissions(self, x: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+        """(batch, tags, time) of codes (batch, time): units by rows and windows by columns, one exp for all gates, which takes half the time of a tanh.
+
+        ``sizes``: even lengths of the windows, longest first, each read as if alone; what lies beyond them means nothing. Cells are
+        held times -2, so that their exp is that of their tanh as a sigmoid.
+        """
         batch, steps = x.shape[0], x.shape[1] // 2
-        pairs = np.ascontiguousarray((x[:, ::2].astype(np.int16) * CODES + x[:, 1::2]).T)
+        pairs = np.ascontiguousarray((x[:, ::2].astype(np.intp) * CODES + x[:, 1::2]).T)
         total = np.empty((steps, 2 * TAGS, batch), dtype=np.float32)
         total[:] = self.w["ob"][:, None]
-        half = np.float32(0.5)
-        taken, z, inner, made = (np.empty(s, dtype=np.float32) for s in ((batch, 4 * HIDDEN), (4 * HIDDEN, batch), (HIDDEN, batch), (2 * TAGS, batch)))
-        for d, (wx, wh, out) in self._ready().items():
-            h, c = (np.zeros((HIDDEN, batch), dtype=np.float32) for _ in range(2))
-            for k in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                np.matmul(wh, h, out=z)
-                z += np.take(wx, pairs[k], axis=0, out=taken, mode="clip").T
-                np.tanh(z, out=z)
-                z[: 3 * HIDDEN] += 1
-                c *= z[HIDDEN : 2 * HIDDEN]
-                c += np.multiply(z[:HIDDEN], z[3 * HIDDEN :], out=inner)
-                c *= half
-                np.tanh(c, out=h)
-                h *= z[2 * HIDDEN : 3 * HIDDEN]
-                total[k] += np.matmul(out, h, out=made)
-        return np.ascontiguousarray(total.reshape(2 * steps, TAGS, batch).transpose(2, 1, 0))
+        cuts = np.unique(sizes) // 2 if sizes is not None else np.array([steps])
+        parts = [(a, b, batch if sizes is None else int((sizes >= 2 * b).sum())) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+        half, one, two, four = map(np.float32, (0.5, 1, 2, -4))
+        with np.errstate(over="ignore"):  # a sigmoid of 1 / (1 + inf) is 0
+            for d, (wx, wh, out) in self._ready().items():
+                h = c = np.zeros((HIDDEN, 0), dtype=np.float32)
+                for a, b, n in parts if d == "f" else parts[::-1]:
+                    taken, z, made, *old = (np.zeros(s, dtype=np.float32) for s in ((n, 4 * HIDDEN), (4 * HIDDEN, n), (2 * TAGS, n), (HIDDEN, n), (HIDDEN, n)))
+                    for new, was in zip(old, (h, c), strict=True):  # the longest go on, or more begin
+                        new[:, : was.shape[1]] = was[:, :n]
+                    (h, c), gates, (i, f, o, g) = old, z[: 3 * HIDDEN], z.reshape(4, HIDDEN, n)
+                    for k in range(a, b) if d == "f" else range(b - 1, a - 1, -1):
+                        np.matmul(wh, h, out=z)
+                        z += wx.take(pairs[k, :n], axis=0, out=taken, mode="clip").T
+                        np.exp(z, out=z)
+                        z += one
+                        np.divide(one, gates, out=gates)
+                        np.divide(four, g, out=g)
+                        g += two
+                        g *= i
+                        c *= f
+                        c += g
+                        np.exp(c, out=h)
+                        h += one
+                        np.divide(one, h, out=h)
+                        h -= half
+                        h *= o
+                        total[k, :, :n] += np.matmul(out, h, out=made)
+        flat, e = total.reshape(2 * steps * TAGS, batch), np.empty((batch, TAGS, 2 * steps), dtype=np.float32)
+        for k in range(0, batch, 16):  # a cache line of columns at once
+            e[k : k + 16] = flat[:, k : k + 16].T.copy().reshape(-1, 2 * steps, TAGS).transpose(0, 2, 1)
+        return e
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """CRF loss per character and its gradients."""
@@ -401,25 +421,20 @@ def emitted(net: Network, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(c) + 1 for c in coded], out=first[1:])
     out, weight = np.zeros((TAGS, int(first[-1])), dtype=np.float32), np.zeros(int(first[-1]), dtype=np.float32)
-    by_size: dict[int, list[tuple[int, int]]] = {}
-    for i, c in enumerate(coded):
-        for at in starts(len(c)):
-            by_size.setdefault(min(WINDOW, -(-len(c) // FILL) * FILL), []).append((i, at))
+    place = [(min(WINDOW, -(-len(c) // FILL) * FILL), i, at) for i, c in enumerate(coded) for at in starts(len(c))]
+    place.sort(key=lambda p: -p[0])  # windows of all lengths are read together, longest first
     edge = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    for size, place in by_size.items():
-        for k in range(0, len(place), AT_ONCE):
-            some = place[k : k + AT_ONCE]
-            x = np.full((len(some), size), 3, dtype=np.uint8)
-            for row, (i, at) in enumerate(some):
-                c = coded[i][at : at + size]
-                x[row, : len(c)] = c
-            e = net.emissions(x)
-            if size == WINDOW:
-                e *= edge
-            for row, (i, at) in enumerate(some):
-                a, n = int(first[i]) + at, min(size, len(coded[i]))
-                out[:, a : a + n] += e[row, :, :n]
-                weight[a : a + n] += edge[:n] if size == WINDOW else 1
+    for k in range(0, len(place), AT_ONCE):
+        some = place[k : k + AT_ONCE]
+        x = np.full((len(some), some[0][0]), 3, dtype=np.uint8)
+        for row, (size, i, at) in enumerate(some):
+            c = coded[i][at : at + size]
+            x[row, : len(c)] = c
+        e = net.emissions(x, np.array([size for size, _, _ in some]))
+        for row, (size, i, at) in enumerate(some):
+            a, n = int(first[i]) + at, min(size, len(coded[i]))
+            out[:, a : a + n] += e[row, :, :n] * edge if n == WINDOW else e[row, :, :n]
+            weight[a : a + n] += edge if n == WINDOW else 1
     weight[first[1:] - 1] = 1
     out /= weight
     out[1:, first[1:] - 1] = APART
