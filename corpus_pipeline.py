@@ -13,27 +13,45 @@ empty tables, very long texts and columns of any name are handled as the operato
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import common, decontaminate, packing, pii, simhash, toxicity
 
 
+def afresh(stage):
+    """The stage, begun with the heap given back that executors took for the one before."""
+
+    @functools.wraps(stage)
+    def inner(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.relieve(spark)
+        return stage(spark, docs, sf_dir)
+
+    return inner
+
+
+@afresh
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.train(docs, common.documents(spark, sf_dir, "labels")))
 
 
+@afresh
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicate(docs)
 
 
+@afresh
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(docs, common.documents(spark, sf_dir, "benchmark"))
 
 
+@afresh
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.redact(docs)
 
 
+@afresh
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

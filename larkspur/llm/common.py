@@ -104,6 +104,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let executors collect garbage and give free heap back to the system: a task on every core, as nothing else runs.
+
+    A JVM keeps the heap that it once grew to, beside the Python workers of all that comes later.
+    """
+    n = max(spark.sparkContext.defaultParallelism, 1)
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc')").write.format("noop").mode("overwrite").save()
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -446,9 +446,11 @@ def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
     keyed = nodes.select("node", "size", F.posexplode("keys").alias("at", "key")).select("key", "node", "size", F.col("at").cast("long").alias("at"))
     met = keyed.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_met(similarity, meet), "a long, b long, key long, size long, at long, node long")
     met = common.stored(met)
+    common.relieve(spark)
     found = verified(close.unionByName(same).unionByName(met.where("key is null").select("a", "b")), docs, nodes, similarity)
     hot = met.where("key is not null").select("key", "node", "size", "at")
     common.release(spark)
+    common.relieve(spark)
     if hot.isEmpty():
         common.discard(met)
         return found

@@ -986,6 +986,20 @@ def test_pipeline_against_its_parts(spark):
     assert {r.doc_id for r in packed} == set(fourth) and all(r.n == r.t for r in packed)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_stages_of_the_pipeline_give_heap_back(spark):
+    """The third run of ``pipeline`` in one session went over an executor's memory, as heaps only grew."""
+    import corpus_pipeline
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(20)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, docs, DATA)
+        assert full() > before, name
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pipeline_of_awkward_documents(spark):
     """Empty tables, nulls, repeated rows, a very long text and columns with clashing names go through every stage."""
