@@ -16,9 +16,9 @@ misses none: shingles are put in one order for all texts, and two texts of 0.8 s
 each. The order is by hash with the shingles of many texts last (counted in a sixteenth of the texts; it decides about the work, not
 about the links). All pairs within a group of up to ``MEET`` texts are candidates, if their sizes and the shingle's places allow 0.8.
 In a larger group each text meets the ``PIVOTS`` least; after their links are known, all its pairs of texts that are not yet in one
-class meet as well, so every link is found or lies within a class. A candidate is dropped where the parities of its shingles by
-residue already differ in too many places, which is exact as well; the others are verified on the whole shingle sets. Exact copies
-are one node from the start.
+class are compared as well, so every link is found or lies within a class. A candidate is dropped where the parities of its shingles
+by residue already differ in too many places, which is exact as well (in the larger groups before it leaves its group, so that what is
+joined are not all pairs of a group); the others are verified on the whole shingle sets. Exact copies are one node from the start.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other (for ``deduplicate``: all of them are copies of one
 another); a text of fewer words than a shingle is one shingle; a text of any length is read whole; an empty table gives an empty
@@ -45,8 +45,8 @@ SHINGLE, SEED, BITS = 3, 42, 3
 NEAR, SIMILARITY, MEET, PIVOTS = 5, 0.8, 32, 8
 #: One text in so many is counted, and a shingle of so many of these comes last in the order.
 COUNTED, FREQUENT = 16, 4
-#: Residues whose parities are compared.
-PARITIES = 2048
+#: Residues whose parities are compared, and pairs of texts that are compared by them at once.
+PARITIES, PAIRS = 2048, 1 << 14
 #: Fingerprints under one variant that are compared with one another in place.
 GROUP = 1024
 SLICE_BYTES = 4 << 20
@@ -352,12 +352,24 @@ def _met(similarity: float, meet: int):
     return _grouped(("key", "node", "size", "at"), whole)
 
 
+def _bits(odd) -> np.ndarray:
+    """A row of words for each of the parities."""
+    return np.frombuffer(b"".join(odd), dtype=np.uint64).reshape(-1, PARITIES // 64)
+
+
+def _alike(m: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sizes m, n and parities x, y of pairs allow the similarity."""
+    shared = least_shared(m, n, similarity)
+    return (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= m + n - 2 * shared) & (np.minimum(m, n) >= shared) & (np.minimum(m, n) > 0)
+
+
 def _across(similarity: float):
-    """Rows (key, node, size, at, root) sorted by key and size -> candidates (a, b) of different roots."""
+    """Rows (key, node, size, at, root, odd) sorted by key and size -> candidates (a, b) of different roots whose parities allow the similarity."""
 
-    def whole(key, node, size, at, root) -> Iterator[pa.RecordBatch]:
+    def whole(key, node, size, at, root, odd) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         for s, e in zip(start.tolist(), np.append(start[1:], len(key)).tolist(), strict=True):
+            bits = _bits(odd[s:e])
             step = max(1, (1 << 20) // (e - s))
             for low in range(s, e, step):
                 high = min(low + step, e)
@@ -365,10 +377,14 @@ def _across(similarity: float):
                 i, j = np.nonzero(root[low:high, None] != root[None, low:end])
                 i, j = i[i < j] + low, j[i < j] + low
                 may = _may(size, at, i, j, similarity)
-                a, b = node[i[may]], node[j[may]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                i, j = i[may], j[may]
+                for k in range(0, len(i), PAIRS):
+                    x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+                    alike = _alike(size[x], size[y], bits[x - s], bits[y - s], similarity)
+                    a, b = node[x[alike]], node[y[alike]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    return _grouped(("key", "node", "size", "at", "root"), whole)
+    return _grouped(("key", "node", "size", "at", "root", "odd"), whole)
 
 
 def _possible(similarity: float):
@@ -377,10 +393,8 @@ def _possible(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(len(m), PARITIES // 64) for c in ("x", "y"))
-            shared = least_shared(m, n, similarity)
-            near = (np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= m + n - 2 * shared) & (np.minimum(m, n) >= shared) & (np.minimum(m, n) > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            x, y = (_bits(batch.column(c).to_pylist()) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array(_alike(m, n, x, y, similarity)))
 
     return run
 
@@ -410,12 +424,17 @@ def _verified(similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Those of the candidates (a, b) that have the similarity."""
-    spark = docs.sparkSession
+def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the candidates (a, b), each once, whose sizes and parities allow the similarity."""
     of = lambda c, n, x: nodes.select(F.col("node").alias(c), F.col("size").alias(n), F.col("odd").alias(x))
     both = pairs.where("a <> b").distinct().join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b")
-    pairs = common.stored(both.select("a", "b", "m", "n", "x", "y").mapInArrow(_possible(similarity), "a long, b long"))
+    return both.select("a", "b", "m", "n", "x", "y").mapInArrow(_possible(similarity), "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the different candidates (a, b) that have the similarity."""
+    spark = docs.sparkSession
+    pairs = common.stored(pairs)
     members = pairs.select(F.col("a").alias("__node")).union(pairs.select("b")).distinct()
     # the text of one row of each node, so that copies do not meet anywhere
     wanted = common.stored(nodes.join(members, nodes["node"] == members["__node"]).select("__node", F.col("best.doc_id").alias("__id"), F.col("best.tie").alias("__best")))
@@ -429,6 +448,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, similarity: fl
     texts = docs.join(wanted, (docs["__tie"] == wanted["__best"]) & docs["doc_id"].eqNullSafe(wanted["__id"])).select("__node", "text")
     sets = common.stored(texts.mapInArrow(_sets, "node long, set binary").dropDuplicates(["node"]))
     asked.destroy()
+    common.relieve(spark)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     out = common.stored(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a long, b long"))
     common.discard(pairs, wanted, sets)
@@ -447,7 +467,8 @@ def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
     met = keyed.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_met(similarity, meet), "a long, b long, key long, size long, at long, node long")
     met = common.stored(met)
     common.relieve(spark)
-    found = verified(close.unionByName(same).unionByName(met.where("key is null").select("a", "b")), docs, nodes, similarity)
+    first = close.unionByName(same).unionByName(met.where("key is null").select("a", "b"))
+    found = verified(possible(first, nodes, similarity), docs, nodes, similarity)
     hot = met.where("key is not null").select("key", "node", "size", "at")
     common.release(spark)
     common.relieve(spark)
@@ -456,10 +477,11 @@ def near_links(docs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY
         return found
     rooted = hot.join(components(found), "node", "left").select("key", "node", "size", "at", F.coalesce("root", "node").alias("root"))
     rooted = common.stored(rooted)
+    common.relieve(spark)
     split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_ = rooted.join(split, "key").repartition(n, "key").sortWithinPartitions("key", "size")
-    more = open_.select("key", "node", "size", "at", "root").mapInArrow(_across(similarity), "a long, b long")
-    more = verified(more, docs, nodes, similarity)
+    open_ = rooted.join(split, "key").join(nodes.select("node", "odd"), "node").repartition(n, "key").sortWithinPartitions("key", "size")
+    more = open_.select("key", "node", "size", "at", "root", "odd").mapInArrow(_across(similarity), "a long, b long")
+    more = verified(more.distinct(), docs, nodes, similarity)
     common.discard(met, rooted)
     return found.unionByName(more)
 
@@ -480,7 +502,10 @@ def deduplicate(docs: DataFrame, text: str = "text", similarity: float = SIMILAR
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__tie").alias("tie"))
     nodes = common.stored(rows.groupBy(F.col("__node").alias("node")).agg(F.min(order).alias("best"), F.min("__print").alias("print"), F.min("__size").alias("size"), F.min("__odd").alias("odd"), F.min("__keys").alias("keys")))
     common.discard(rows)
-    roots_ = components(near_links(slim, nodes, similarity, meet))
+    found = near_links(slim, nodes, similarity, meet)
+    common.relieve(docs.sparkSession)
+    roots_ = components(found)
+    common.relieve(docs.sparkSession)
     joined = nodes.select("node", "best").join(roots_, "node", "left")
     best = joined.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("best", "node")).alias("x"))
     chosen = best.select(F.col("x.node").alias("__node"), F.col("x.best.doc_id").alias("__id"), F.col("x.best.tie").alias("__tie"))

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -257,6 +258,19 @@ def test_a_large_group_of_near_copies(spark):
     assert kept == [0, len(texts) - 1]
 
 
+def test_pairs_of_a_large_group_are_compared_before_they_leave_it():
+    """Of the texts of one shingle all near pairs leave their group, and few others: not as many as all pairs."""
+    hub = [f"h{i}" for i in range(204)]
+    texts = [[f"z{k}{w}" if i in {10 + k % 40 + 41 * e for e in range(4)} else w for i, w in enumerate(hub)] for k in range(300)]
+    sets = [np.unique(simhash.shingles([w.encode() for w in t])) for t in texts]
+    near = {(j, i) for i in range(300) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    one = {"key": [7] * 300, "node": list(range(300)), "size": list(map(len, sets)), "at": [0] * 300, "root": list(range(300)), "odd": list(map(simhash.parities, sets))}
+    whole = pa.RecordBatch.from_pydict(one)
+    got = [(x["b"], x["a"]) for b in simhash._across(0.8)(iter([whole.slice(0, 130), whole.slice(130)])) for x in b.to_pylist()]
+    assert len(near) == 40 * 7 * 6 // 2 + 20 * 7 and near <= set(got)
+    assert len(got) == len(set(got)) < 2 * len(near) < 300 * 299 // 20
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components.components(edges).collect()}
