@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Sides estimated below this many bytes may be broadcast by request.
 BROADCAST_BYTES = 64 << 20
+#: Values that agree but for this many low bits share a bin of ``pairs_below``.
+BIN_BITS = 12
 
 
 def join(left: DataFrame, right: DataFrame, on: Column | list[str] | str, how: str = "inner", hint: str | None = None) -> DataFrame:
@@ -94,3 +96,35 @@ def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high:
     bins = ranges.where(F.col(low) < F.col(high)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(low) / bin_size), F.floor((F.col(high) - 1) / bin_size))))
     binned = points.withColumn("_bin", F.floor(F.col(value) / bin_size))
     return binned.join(bins, "_bin").where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high))).drop("_bin")
+
+
+def pairs_below(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Of the self-join on equal keys and a whole-number value below the other's: per group with pairs, their number _n and the sum _apart
+    of their differences, without making a pair. Values are summed up by bins, then bins by group, so no task reads a group's rows."""
+    at, low = F.col("_at"), F.shiftleft(F.col("_bin"), BIN_BITS)
+    for name in (*keys, value):  # nulls meet nothing
+        df = df.where(F.col(name).isNotNull())
+    each = df.groupBy(*keys, F.col(value).cast("long").alias("_at")).agg(F.count("*").alias("_rows"))
+    zero = F.lit(0).cast("long")
+    each = each.select("*", zero.alias("_n"), zero.alias("_apart"), zero.alias("_over"), F.shiftright(at, BIN_BITS).alias("_bin"))
+    bins = _summed_pairs(each, [*keys, "_bin"], low).withColumn("_at", low)
+    return _summed_pairs(bins, keys, zero).where("_n > 0").select(*keys, "_n", "_apart")
+
+
+def _summed_pairs(parts: DataFrame, keys: list[str], base: Column) -> DataFrame:
+    """Parts that begin at _at, each with its _rows, its own pairs (_n, _apart) and its rows' distances _over from _at, as one part that
+    begins at base. No sum on the way is larger than the result, but for distances within a bin."""
+    from pyspark.sql.window import Window
+
+    upwards = Window.partitionBy(*keys).orderBy("_at")
+    below, step = F.sum("_rows").over(upwards.rowsBetween(Window.unboundedPreceding, -1)), F.col("_at") - F.lag("_at").over(upwards)
+    parts = parts.withColumn("_below", F.coalesce(below, F.lit(0)))
+    parts = parts.withColumn("_step", F.coalesce(F.col("_below") * step - F.lag("_over").over(upwards), F.lit(0)))
+    parts = parts.withColumn("_far", F.sum("_step").over(upwards.rowsBetween(Window.unboundedPreceding, 0)))  # of all rows below, from _at
+    rows, lower = F.col("_rows"), F.col("_below")
+    return parts.groupBy(*keys).agg(
+        F.sum(rows).alias("_rows"),
+        F.sum(F.col("_n") + rows * lower).alias("_n"),
+        F.sum(F.col("_apart") + rows * F.col("_far") + lower * F.col("_over")).alias("_apart"),
+        F.sum(F.col("_over") + rows * (F.col("_at") - base)).alias("_over"),
+    )

@@ -65,7 +65,14 @@ both("join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM {customer} WH
 both("join_cross", "SELECT a.r_name AS a, b.r_name AS b FROM {region} a CROSS JOIN (SELECT * FROM {region}) b")
 both("join_theta", "SELECT a.n_nationkey AS low, b.n_nationkey AS high FROM {nation} a JOIN (SELECT * FROM {nation}) b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 both("join_composite_key", "SELECT a.l_orderkey, a.l_linenumber, b.total FROM {lineitem} a JOIN (SELECT l_orderkey, l_linenumber, round(sum(l_quantity), 2) AS total FROM {lineitem} GROUP BY l_orderkey, l_linenumber) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
-both("join_self", "SELECT a.c_mktsegment AS segment, a.c_nationkey AS nation, count(*) AS n, sum(b.c_custkey - a.c_custkey) AS apart FROM {customer} a JOIN {customer} b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey GROUP BY a.c_mktsegment, a.c_nationkey")
+
+
+@query("join_self", "SELECT a.c_mktsegment AS segment, a.c_nationkey AS nation, count(*) AS n, sum(b.c_custkey - a.c_custkey) AS apart FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_custkey < b.c_custkey GROUP BY a.c_mktsegment, a.c_nationkey")
+def _(spark, d):
+    pairs = joins.pairs_below(table(spark, d, "customer").select("c_mktsegment", "c_nationkey", "c_custkey"), ["c_mktsegment", "c_nationkey"], "c_custkey")
+    return pairs.select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"), F.col("_n").alias("n"), F.col("_apart").alias("apart"))
+
+
 both("join_three_way", "SELECT n_name, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS revenue FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name, c_mktsegment")
 both("join_null_safe", "SELECT a.k AS a, b.k AS b FROM (SELECT nullif(n_regionkey, 1) AS k FROM {nation}) a JOIN (SELECT nullif(r_regionkey, 1) AS k FROM {region}) b ON a.k <=> b.k", duck="SELECT a.k AS a, b.k AS b FROM (SELECT nullif(n_regionkey, 1) AS k FROM nation) a JOIN (SELECT nullif(r_regionkey, 1) AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k")
 both("join_null_keys", "SELECT a.k AS a, b.k AS b FROM (SELECT nullif(n_regionkey, 1) AS k FROM {nation}) a LEFT JOIN (SELECT nullif(r_regionkey, 1) AS k FROM {region}) b ON a.k = b.k")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larkspur import registry
 from larkspur.functions import ranges, scalar, series, user
 from larkspur.operators import aggregates, joins, ordering, recursive, sets, windows
 from larkspur.plans import statistics
@@ -116,6 +117,30 @@ def test_range_join(spark):
     assert sorted(values(got, "v", "id")) == sorted((v, i) for v in range(20) for i, a, b in ((1, 3, 9), (3, 5, 30)) if a <= v < b)
 
 
+def test_pairs_below_without_pairs(spark):
+    far = 2**61
+    many = [("a", 1, x) for x in (5, 5, 5, -9000, 4095, 4096, 4096, 70000, -1, 0)]
+    few = [("a", 2, 7), ("b", 1, 7), ("b", 1, 7), ("c", 1, -far), ("c", 1, far - 1), ("c", 1, far - 1)]
+    rows = many + few + [(None, 1, 8), (None, 1, 9), ("b", None, 8), ("b", None, 9), ("b", 1, None)]
+    want = {}
+    for g, h, x in rows:
+        for _, _, y in (r for r in rows if r[:2] == (g, h) and None not in (g, h, x, r[2]) and x < r[2]):
+            n, apart = want.get((g, h), (0, 0))
+            want[g, h] = n + 1, apart + y - x
+    got = joins.pairs_below(spark.createDataFrame(rows, "g string, h int, x long"), ["g", "h"], "x")
+    assert sorted(values(got)) == sorted((*k, *v) for k, v in want.items())
+    assert values(joins.pairs_below(spark.range(0).select(F.lit(1).alias("g"), "id"), ["g"], "id")) == []
+
+
+def test_self_join_by_group_grows_with_its_rows(spark, tmp_path):
+    """One group of 100,000 customers, each there twice: 19,999,800,000 pairs."""
+    n = 100_000
+    spark.range(2 * n).select((F.col("id") % n).alias("c_custkey"), F.lit("A").alias("c_mktsegment"), F.lit(3).alias("c_nationkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    df = registry.queries()["join_self"](spark, str(tmp_path))
+    assert "Join" not in plan_of(df)
+    assert values(df, "segment", "nation", "n", "apart") == [("A", 3, 4 * (n * (n - 1) // 2), 4 * ((n - 1) * n * (n + 1) // 6))]
+
+
 # aggregates
 
 
