@@ -151,7 +151,14 @@ def _(spark, d):
 both("scalar_subquery", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM {orders})")
 both("correlated_scalar", "SELECT c_custkey, (SELECT max(o_totalprice) FROM {orders} WHERE o_custkey = c_custkey) AS top FROM {customer}")
 both("correlated_in", "SELECT c_custkey FROM {customer} WHERE c_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey = c_custkey % 5)")
-both("lateral_sql", "SELECT c.c_custkey, t.o_orderkey FROM {customer} c, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+
+
+@query("lateral_sql", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+def _(spark, d):
+    """Not by Spark's own LATERAL: it numbers the rows of a LIMIT in the order in which they come out of a shuffle, after a sort of all."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    order = [F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]
+    return joins.lateral_top_n(table(spark, d, "customer").select("c_custkey"), orders, ("c_custkey", "o_custkey"), 2, order).select("c_custkey", "o_orderkey")
 
 
 @query("lateral_topn", "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) t")

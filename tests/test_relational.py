@@ -141,6 +141,23 @@ def test_self_join_by_group_grows_with_its_rows(spark, tmp_path):
     assert values(df, "segment", "nation", "n", "apart") == [("A", 3, 4 * (n * (n - 1) // 2), 4 * ((n - 1) * n * (n + 1) // 6))]
 
 
+def test_lateral_order_outlives_the_shuffle(spark, tmp_path):
+    """Orders of a key reach the limit in many spilled runs, whose rows of like keys come out in any order."""
+    n, folder = 20_000, str(tmp_path)
+    spark.range(7).select(F.nullif("id", F.lit(6)).alias("c_custkey")).unionByName(spark.range(1, 2).toDF("c_custkey")).write.parquet(f"{folder}/customer.parquet")
+    prices = F.when(F.col("id") % 5 == 4, None).otherwise((F.col("id") * 7919 % 1009).cast("double"))
+    spark.range(n).select(F.col("id").alias("o_orderkey"), (F.col("id") % 5).alias("o_custkey"), prices.alias("o_totalprice")).write.parquet(f"{folder}/orders.parquet")
+    price = {k: -1 if k % 5 == 4 else k * 7919 % 1009 for k in range(n)}
+    first = {c: sorted(range(c, n, 5), key=lambda k: (-price[k], k))[:2] for c in range(5)}
+    conf = spark._jvm.org.apache.spark.SparkEnv.get().conf()
+    conf.set("spark.shuffle.spill.numElementsForceSpillThreshold", "100")
+    try:
+        got = values(registry.queries()["lateral_sql"](spark, folder))
+    finally:
+        conf.remove("spark.shuffle.spill.numElementsForceSpillThreshold")
+    assert sorted(got) == sorted((c, k) for c in (0, 1, 1, 2, 3, 4) for k in first[c])
+
+
 # aggregates
 
 
